@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import column_bytes, table
+from lexloom.llm.common import carry, column_bytes, table
 
 #: Distinct words whose ids a task remembers from block to block.
 REMEMBERED = 800_000
@@ -185,11 +185,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool
     `ids_sha256` and `decoded_sha256` stand for the ids, which are decoded again for the second.
     """
     kept = docs.drop("ids", "n_tokens", "ids_sha256", "decoded_sha256")
-    carried = docs.sparkSession.sparkContext.broadcast((Vocabulary(ranks), pattern))
+    carried = carry(docs.sparkSession, (Vocabulary(ranks), pattern))
     extra = ["ids_sha256", "decoded_sha256"] if digests else ["ids"]
 
     def run(batches):
-        encoder = Encoder(*carried.value)
+        encoder = Encoder(*carried())
         for batch in batches:
             columns: list[list] = [[], [], []]
             texts = [t.decode() for t in column_bytes(batch, "text")]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def carry(spark: SparkSession, obj):
+    """A function that gives obj on executors, which need not have this package: classes travel by value."""
+    sent, memo = spark.sparkContext.broadcast(cloudpickle.dumps(obj)), {}
+
+    def get():
+        if not memo:
+            memo[0] = pickle.loads(sent.value)
+        return memo[0]
+
+    return get
+
+
 def bucket_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n (a null id counts as empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

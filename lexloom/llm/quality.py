@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import bucket_of, column_bytes, table, text_or_empty
+from lexloom.llm.common import bucket_of, carry, column_bytes, table, text_or_empty
 
 #: Labelled rows of each class that a model is fitted on, at most; and their bytes (rows beyond are left out whole).
 SAMPLE_ROWS, SAMPLE_BYTES = 2500, 24 << 20
@@ -127,10 +127,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with `score` (probability that a text is good) and `predicted`; one pass, no shuffle. Null text counts as empty;
     columns named score or predicted are replaced. An empty table gives an empty result."""
     kept = docs.drop("score", "predicted")
-    carried = docs.sparkSession.sparkContext.broadcast(model)
+    carried = carry(docs.sparkSession, model)
 
     def run(batches):
-        predict_all = carried.value.scorer()
+        predict_all = carried().scorer()
         for batch in batches:
             s = predict_all(column_bytes(batch, "text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32), pa.int32())], [*batch.schema.names, "score", "predicted"])

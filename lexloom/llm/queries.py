@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from lexloom.llm import bpe, pii, quality, sharding
+from lexloom.llm import bpe, containment, embeddings, html_text, near_dup, pii, quality, sharding
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_pii": pii.op2_pii,
     "op3_bpe": bpe.op3_bpe,
+    "op5_embeddings": embeddings.op5_embeddings,
+    "op6_html": html_text.op6_html,
     "op7_sharding": sharding.op7_sharding,
+    "op9_near_dup": near_dup.op9_near_dup,
+    "op10_containment": containment.op10_containment,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op9_near_dup": near_dup.ORACLE_SQL, "op10_containment": containment.ORACLE_SQL}
