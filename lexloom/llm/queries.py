@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexloom.llm import bpe, containment, embeddings, html_text, near_dup, pii, quality, sharding
+from lexloom.llm import bpe, containment, embeddings, html_text, near_dup, pii, quality, sharding, suffixes
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_pii": pii.op2_pii,
     "op3_bpe": bpe.op3_bpe,
+    "op4_suffixes": suffixes.op4_suffixes,
     "op5_embeddings": embeddings.op5_embeddings,
     "op6_html": html_text.op6_html,
     "op7_sharding": sharding.op7_sharding,
