@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import bpe, containment, embeddings, html_text, near_dup, pii, quality, sharding, suffixes
+from lexloom.llm import bpe, containment, embeddings, html_text, lm, near_dup, pii, quality, sharding, suffixes
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_embeddings": embeddings.op5_embeddings,
     "op6_html": html_text.op6_html,
     "op7_sharding": sharding.op7_sharding,
+    "op8_lm": lm.op8_lm,
     "op9_near_dup": near_dup.op9_near_dup,
     "op10_containment": containment.op10_containment,
 }
