@@ -70,7 +70,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     enough = F.floor(F.log2(F.ceil(F.col("n_item") * PERCENT / 100))).cast("int")
     sketches = sketches.select("item_id", need.alias("need"), enough.alias("least_part"), F.explode("s").alias("h"))
 
-    split = docs.filter("doc_id IS NOT NULL").select("doc_id", _words("text").alias("_w")).filter(F.size("_w") > 0)
+    docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    split = docs.select("doc_id", _words("text").alias("_w"))
     every = F.concat(*[_hashes(k) for k in sizes]) if sizes else F.expr("CAST(array() AS array<bigint>)")
     part = F.floor(F.log2(F.greatest(F.size("_w") * F.lit(max(1, len(sizes))), F.lit(1)))).cast("int")
     looked_up = split.select("doc_id", part.alias("part"), F.explode(every).alias("h"))
@@ -78,9 +79,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     candidates = hits.groupBy("doc_id", "item_id", "need").agg(F.countDistinct("h").alias("found")).filter("found >= need").select("doc_id", "item_id")
     candidates = shared_table(spark, candidates, "candidates")
 
-    again = split.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    again = docs.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", _words("text").alias("_w"))
     texts = F.concat(*[_labelled(k) for k in sizes]) if sizes else F.expr("CAST(array() AS array<struct<_k:int,shingle:string>>)")
-    held = again.select("doc_id", F.explode(F.array_distinct(texts)).alias("x")).select("doc_id", "x._k", "x.shingle")
+    held = again.select("doc_id", F.explode(texts).alias("x")).select("doc_id", "x._k", "x.shingle")
     exact = held.join(_small(shingles, total), ["_k", "shingle"]).join(candidates, ["doc_id", "item_id"], "left_semi")
     exact = exact.groupBy("doc_id", "item_id").agg(F.countDistinct("shingle").alias("n_found")).join(_small(n_item, total), "item_id")
     exact = exact.filter(F.col("n_found") * 100 >= F.col("n_item") * PERCENT)
