@@ -18,6 +18,8 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Spark removes the shuffle files of a query when it is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BASE = U64(0x9E3779B97F4A7C15)
 
 
@@ -39,7 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_table(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(spark).rstrip('/')}/lexloom-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # the table stands for its shuffles, which need no more disk
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -82,11 +89,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def runs(texts: list[bytes], size: int = 1 << 20):
+    """Slices of the list of about `size` bytes: what works on whole arrays of bytes takes some forty times their memory."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        total += len(t)
+        if total >= size:
+            yield texts[start : i + 1]
+            start, total = i + 1, 0
+    if start < len(texts):
+        yield texts[start:]
+
+
 def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all white-space separated words of the texts, and the number of words of each text.
 
     Word equality is equality of bytes, after lower-casing A-Z if asked.
     """
+    found = [_word_hashes(part, lower) for part in runs(texts)]
+    return (np.concatenate([x[i] for x in found]) for i in (0, 1)) if found else (np.zeros(0, U64), np.zeros(0, np.int64))
+
+
+def _word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8) if texts else np.zeros(0, np.uint8)
     if lower:

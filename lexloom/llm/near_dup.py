@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import U64, column_bytes, mix64, shared_table, shingle_hashes, table, word_hashes
+from lexloom.llm.common import U64, column_bytes, mix64, runs, shared_table, shingle_hashes, table, word_hashes
 from lexloom.llm.connect import components
 
 SIDE = 9
@@ -52,15 +52,17 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = shingle_sets(column_bytes(batch, "text"), k)
-            sig = _signatures(sets)
-            with np.errstate(over="ignore"):
-                digest = [mix64(s ^ U64(0xA5A5)).sum(dtype=U64).tobytes() + np.bitwise_xor.reduce(mix64(s * U64(3)), initial=U64(0)).tobytes() for s in sets]
-            rows, at = [], 0
-            for s in sets:
-                rows.append(sig[at].tobytes() if len(s) else None)
-                at += bool(len(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(rows, pa.binary())], ["doc_id", "n", "set", "sig"])
+            sizes, digest, rows = [], [], []
+            for texts in runs(column_bytes(batch, "text")):
+                sets = shingle_sets(texts, k)
+                sig, at = _signatures(sets), 0
+                for s in sets:
+                    sizes.append(len(s))
+                    with np.errstate(over="ignore"):
+                        digest.append(mix64(s ^ U64(0xA5A5)).sum(dtype=U64).tobytes() + np.bitwise_xor.reduce(mix64(s * U64(3)), initial=U64(0)).tobytes())
+                    rows.append(sig[at].tobytes() if len(s) else None)
+                    at += bool(len(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), pa.array(rows, pa.binary())], ["doc_id", "n", "set", "sig"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, set binary, sig binary")
 
@@ -100,20 +102,21 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent
     texts = texts.dropDuplicates(["id"])
 
     def compare(batches):
-        for batch in batches:
-            known: dict[int, np.ndarray] = {}
-            ids_a, ids_b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            own: dict[int, bytes] = {}
-            for ids, texts in ((ids_a, column_bytes(batch, "ta")), (ids_b, column_bytes(batch, "tb"))):
-                own.update(zip(ids, texts))
-            known = dict(zip(own, shingle_sets(list(own.values()), k)))
-            ok = []
-            for a, b in zip(ids_a, ids_b):
-                x, y = known[a], known[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                ids_a, ids_b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                own: dict[int, bytes] = {}
+                for ids, texts in ((ids_a, column_bytes(batch, "ta")), (ids_b, column_bytes(batch, "tb"))):
+                    own.update(zip(ids, texts))
+                known = dict(zip(own, shingle_sets(list(own.values()), k)))
+                ok = []
+                for a, b in zip(ids_a, ids_b):
+                    x, y = known[a], known[b]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    ok.append(100 * both >= percent * (len(x) + len(y) - both))
+                ok = pa.array(ok, pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
     joined = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return shared_table(pairs.sparkSession, joined.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"), "links")
