@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import U64, bucket_of, carry, column_bytes, mix64, shared_table, table, word_hashes
 
 #: Text bytes of a block (a longer text is a block of its own), and bytes of text for each part of a count table.
-BLOCK, PART = 6 << 20, 16 << 20
+BLOCK, PART = 16 << 20, 16 << 20
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
 END, START = U64(0x1E5D0F7E47000001), U64(0x57A47F7E47000002)
@@ -40,6 +40,15 @@ def _unpack(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(x), kind)
 
 
+def _pack_ids(x: np.ndarray) -> bytes:
+    """Byte by byte: frequent words have small ids, so the upper bytes all but vanish."""
+    return _pack(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def _unpack_ids(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(x, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int32)
+
+
 def _blocks(batches):
     ids, train, texts, size = [], [], [], 0
 
@@ -51,7 +60,10 @@ def _blocks(batches):
         inside[ends - 1] = False
         tokens[inside] = words
         vocabulary, index = np.unique(np.concatenate([tokens, [START]]), return_inverse=True)
-        columns = [_pack(x) for x in (counts + 1, np.array(train, bool), vocabulary, index[:-1].astype(np.int32))]
+        order = np.argsort(-np.bincount(index), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        columns = [_pack(counts + 1), _pack(np.array(train, bool)), vocabulary[order].tobytes(), _pack_ids(rank[index[:-1]])]
         return pa.RecordBatch.from_arrays([pa.array([list(ids)], pa.list_(pa.int64())), *[pa.array([c], pa.binary()) for c in columns]], ["ids", "lengths", "train", "vocabulary", "tokens"])
 
     for batch in batches:
@@ -76,7 +88,7 @@ class Block:
 
     def __post_init__(self) -> None:
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
-        start = int(np.searchsorted(self.vocabulary, START))
+        start = int(np.flatnonzero(self.vocabulary == START)[0])
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
         before[self.starts] = start
@@ -203,7 +215,7 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
                 yield _requests(1, row.block, parts, own.vocabulary, own.words_here)
                 yield _requests(2, row.block, parts, own.pair_keys, own.pairs_here)
 
-    one = blocks.select("block", "lengths", "train", "vocabulary", "tokens").repartition(max(1, min(n_blocks, 4096)), "block")
+    one = blocks.select("block", "lengths", "train", "vocabulary", "tokens")
     asked = one.mapInPandas(ask, REQUEST)
     counts = shared_table(spark, asked.groupBy("kind", "part").applyInPandas(_counted, RESPONSE), "counts")
     stats = {1: np.zeros(DISCOUNTED + 3, np.int64), 2: np.zeros(DISCOUNTED + 3, np.int64)}
@@ -253,12 +265,12 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
 
 
 def _open(row) -> Block:
-    return Block(_unpack(row.lengths, np.int64), _unpack(row.train, bool), _unpack(row.vocabulary, U64), _unpack(row.tokens, np.int32))
+    return Block(_unpack(row.lengths, np.int64), _unpack(row.train, bool), np.frombuffer(row.vocabulary, U64), _unpack_ids(row.tokens))
 
 
 def _opened(rows: pd.DataFrame) -> Block:
     row = rows[rows["kind"] == 0].iloc[0]
-    return Block(_unpack(row["lengths"], np.int64), _unpack(row["train"], bool), _unpack(row["b"], U64), _unpack(row["a"], np.int32))
+    return Block(_unpack(row["lengths"], np.int64), _unpack(row["train"], bool), np.frombuffer(row["b"], U64), _unpack_ids(row["a"]))
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
