@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import U64, bucket_of, carry, column_bytes, mix64, shared_table, table, word_hashes
 
 #: Text bytes of a block (a longer text is a block of its own), and bytes of text for each part of a count table.
-BLOCK, PART = 16 << 20, 16 << 20
+BLOCK, PART = 8 << 20, 16 << 20
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
 END, START = U64(0x1E5D0F7E47000001), U64(0x57A47F7E47000002)
