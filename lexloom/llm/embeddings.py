@@ -1,8 +1,8 @@
 """Embedding near-duplicates by product quantisation: coarse inverted lists, residual codes, table look-ups, exact rerank.
 
-The coarse centroids and code books are fitted on a bounded sample; every vector is indexed, and every vector is a query to its
-PROBES nearest lists. A look-up distance is taken with the error of the code it comes from, so quantisation alone never drops a
-true link: only probing can, and tests measure that recall.
+The coarse centroids and code books are fitted on a bounded sample; every vector is indexed, and every vector is compared with
+each list that an exact bound can't rule out. A look-up distance is taken with the error of the code it comes from. So neither
+probing nor quantisation drops a link; where the bound rules out little, the work grows with the square of the vectors.
 """
 
 from __future__ import annotations
@@ -14,13 +14,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import carry, shared_table, table
+from lexloom.llm.common import U64, carry, mix64, shared_table, table
 from lexloom.llm.connect import components
 
-#: Vectors that the index is fitted on, at most; vectors to a list on average; lists at most; lists that a query probes.
-SAMPLE, LIST, MOST_LISTS, PROBES = 20_000, 256, 4096, 16
-#: Rows of a list that one task holds: longer lists are dealt out in blocks, and queries go to all blocks.
+#: Vectors that the index is fitted on, at most; vectors to a list on average; lists at most.
+SAMPLE, LIST, MOST_LISTS = 20_000, 256, 4096
+#: Rows of a cell, about: some lists, or a part of a longer list. A group of rows that meet is two cells at most.
 BLOCK = 4096
+#: For rounding, where bounds are compared; the rerank decides.
+SLACK = 1e-4
 SUBSPACES, CODES = 8, 256
 
 
@@ -30,10 +32,19 @@ class Index:
     books: list[np.ndarray]
     cuts: list[int]
 
-    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
-        d = (self.coarse**2).sum(1) - 2 * x @ self.coarse.T
-        n = min(n, len(self.coarse))
-        return np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(self.coarse) else np.tile(np.arange(n), (len(x), 1))
+    def squares(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances to the centroids."""
+        return np.maximum(0, (x**2).sum(1)[:, None] + (self.coarse**2).sum(1) - 2 * x @ self.coarse.T)
+
+    def possible(self, x: np.ndarray, lists: np.ndarray, radius: np.ndarray, reach: float) -> np.ndarray:
+        """Whether a vector of a list (column) may be within reach of x, whose own lists are given.
+
+        It is within radius of its centroid, and no nearer to the centroid of x than to its own: the difference of the squared
+        distances to two points changes by twice their distance a step at most.
+        """
+        d, between = self.squares(x), np.sqrt(self.squares(self.coarse))[lists]
+        own = d[np.arange(len(x)), lists][:, None]
+        return (np.sqrt(d) <= radius + reach + SLACK) & (d - own <= 2 * reach * between + SLACK)
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and the length of what the codes miss."""
@@ -65,7 +76,7 @@ def fit(sample: np.ndarray, lists: int, seed: int = 5) -> Index:
     dims = sample.shape[1]
     subspaces = min(SUBSPACES, dims)
     index.cuts = [dims * m // subspaces for m in range(subspaces + 1)]
-    residual = sample - coarse[index.nearest(sample, 1)[:, 0]]
+    residual = sample - coarse[index.squares(sample).argmin(1)]
     index.books = [_means(residual[:, a:b], CODES, rng, 5) for a, b in zip(index.cuts, index.cuts[1:])]
     return index
 
@@ -75,13 +86,46 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
+def cells_of(model: Index, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """First cell and number of cells of each list, and the lists of each cell: lists that lie together share one."""
+    middle = model.coarse - model.coarse.mean(0)
+    order = np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable")
+    first, parts, cells, held = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // BLOCK)), [], BLOCK
+    for j in order:
+        if parts[j] > 1 or held + sizes[j] > BLOCK:
+            first[j], held = len(cells), sizes[j] if parts[j] == 1 else BLOCK
+            cells += [[j] for _ in range(parts[j])]
+        else:
+            first[j], held = len(cells) - 1, held + sizes[j]
+            cells[-1].append(j)
+    return first, parts, [np.array(c) for c in cells]
+
+
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """label, a star forest, with i[k] and j[k] in one star."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def links(vectors: DataFrame, at_least: float = 0.9) -> DataFrame:
-    """(a, b), a < b, of the distinct unit-scalable vectors (id long, v array<float>), all of one length, with cosine >= at_least."""
+    """(id, linked, root) of the distinct unit-scalable vectors (id long, v array<float>, members long), all of one length.
+
+    A link is a pair of them with cosine >= at_least. linked is the number of members of an id's links, root an id in its
+    component: an id has one row for each pair of cells that holds a link of its, to be summed and joined, and no row stands
+    for a single pair.
+    """
     spark = vectors.sparkSession
     n = vectors.count()
     picked = vectors.orderBy(F.xxhash64("id")).limit(SAMPLE).toPandas()
     if n < 2:
-        return spark.createDataFrame([], "a long, b long")
+        return spark.createDataFrame([], "id long, linked long, root long")
     index = fit(_unit(picked["v"]), int(np.clip(n // LIST, 1, MOST_LISTS)))
     carried = carry(spark, index)
 
@@ -89,57 +133,75 @@ def links(vectors: DataFrame, at_least: float = 0.9) -> DataFrame:
         for pdf in batches:
             if len(pdf):
                 x, own = _unit(pdf["v"]), carried()
-                d = ((own.coarse**2).sum(1) - 2 * x @ own.coarse.T).argmin(1)
-                codes, missed = own.encode(x, d)
-                yield pd.DataFrame({"list": d.astype(np.int32), "id": pdf["id"], "v": pdf["v"], "code": [c.tobytes() for c in codes], "missed": missed})
-
-    indexed = shared_table(spark, vectors.mapInPandas(assign, "list int, id long, v array<float>, code binary, missed double"), "index")
-    sizes = {r["list"]: -(-r["n"] // BLOCK) for r in indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = carry(spark, sizes)
-
-    def ask(batches):
-        for pdf in batches:
-            if len(pdf):
-                near = carried().nearest(_unit(pdf["v"]), PROBES)
-                row, lists, block = [], [], []
-                for i, own in enumerate(near.tolist()):
-                    for c in own:
-                        for b in range(blocks().get(c, 0)):
-                            row.append(i), lists.append(c), block.append(b)
-                yield pd.DataFrame({"list": np.array(lists, np.int32), "block": np.array(block, np.int32), "id": pdf["id"].to_numpy()[row], "v": pdf["v"].to_numpy()[row]})
-
-    count = F.create_map(*[x for k, b in sizes.items() if b > 1 for x in (F.lit(k), F.lit(b))]) if any(b > 1 for b in sizes.values()) else None
-    held = F.coalesce(F.get(F.array(F.try_element_at(count, F.col("list"))), F.lit(0)), F.lit(1)) if count is not None else F.lit(1)
-    index_rows = indexed.withColumn("block", F.pmod(F.xxhash64("id"), held.cast("long")).cast("int"))
-    queries = vectors.mapInPandas(ask, "list int, block int, id long, v array<float>")
-    reach = np.sqrt(2 - 2 * at_least)
-
-    def search(key, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        if not len(own) or not len(asked):
-            return empty
+                d = own.squares(x)
+                near = d.argmin(1)
+                codes, missed = own.encode(x, near)
+                far = np.sqrt(d[np.arange(len(x)), near])
+                yield pd.DataFrame({"list": near.astype(np.int32), "id": pdf["id"], "v": pdf["v"], "members": pdf["members"], "code": [c.tobytes() for c in codes], "missed": missed, "far": far})
+
+    row = "list int, id long, v array<float>, members long, code binary, missed double"
+    indexed = shared_table(spark, vectors.mapInPandas(assign, row + ", far double"), "index")
+    sizes, radius = np.zeros(len(index.coarse), np.int64), np.full(len(index.coarse), -np.inf)
+    for r in indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect():
+        sizes[r["list"]], radius[r["list"]] = r["n"], r["far"]
+    reach = np.sqrt(max(0, 2 - 2 * at_least))
+    layout = carry(spark, (*cells_of(index, sizes), radius))
+    cells = len(cells_of(index, sizes)[2])
+
+    def meet(batches):
+        """Each row for each pair of cells it may have a link in."""
+        model, (first, parts, held, far) = carried(), layout()
+        step = max(1, (1 << 22) // len(model.coarse))
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                pdf = whole.iloc[at : at + step]
+                lists = pdf["list"].to_numpy()
+                ok = model.possible(_unit(pdf["v"]), lists, far, reach)
+                own = first[lists] + (mix64(pdf["id"].to_numpy()) % parts[lists].astype(U64)).astype(np.int64)
+                near = np.stack([ok[:, c].any(1) for c in held], 1)
+                near[np.arange(len(pdf)), own] = True
+                i, other = np.nonzero(near)
+                for cut in range(0, len(i), 20_000):
+                    k, c = i[cut : cut + 20_000], other[cut : cut + 20_000]
+                    yield pdf.iloc[k].drop(columns="far").assign(a=np.minimum(own[k], c), b=np.maximum(own[k], c), cell=own[k])
+
+    def search(key, rows: pd.DataFrame) -> pd.DataFrame:
         model: Index = carried()
-        x, xid = _unit(own["v"]), own["id"].to_numpy()
-        codes = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1)
-        limit = (reach + own["missed"].to_numpy() + 1e-9) ** 2
-        centre, out = model.coarse[key[0]], []
-        for at in range(0, len(asked), 512):
-            part = asked.iloc[at : at + 512]
-            q, qid = _unit(part["v"]), part["id"].to_numpy()
-            residual, far = q - centre, np.zeros((len(q), len(x)))
+        a, b = key
+        rows = rows.sort_values("cell", kind="stable")
+        x, ids, members, lists = _unit(rows["v"]), rows["id"].to_numpy(), rows["members"].to_numpy(), rows["list"].to_numpy()
+        asking = int((rows["cell"] == a).sum())
+        label, linked = np.arange(len(x)), np.zeros(len(x))
+        codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(x), -1).astype(np.intp)
+        decoded = model.coarse[lists] + np.hstack([book[codes[:, m]] for m, book in enumerate(model.books)])
+        limit = (reach + rows["missed"].to_numpy() + SLACK) ** 2
+        # |q - y|^2 <= limit for the decoded y, as q.y >= least
+        least = ((1 + (decoded**2).sum(1) - limit) / 2 - SLACK).astype(np.float32)
+        centres, place = np.unique(lists, return_inverse=True)
+        for at in range(0, asking, 256):
+            q = x[at : min(at + 256, asking)]
+            start = at if a == b else asking
+            dot = (q @ model.coarse[centres].T).astype(np.float32)[:, place[start:]]
             for m, book in enumerate(model.books):
-                own_part = residual[:, model.cuts[m] : model.cuts[m + 1]]
-                far += ((own_part[:, None, :] - book[None]) ** 2).sum(2)[:, codes[:, m]]
-            i, j = np.nonzero((far <= limit) & (qid[:, None] != xid))
-            for cut in range(0, len(i), 100_000):
-                ii, jj = i[cut : cut + 100_000], j[cut : cut + 100_000]
-                ok = (q[ii] * x[jj]).sum(1) >= at_least
-                out.append(np.column_stack([np.minimum(qid[ii][ok], xid[jj][ok]), np.maximum(qid[ii][ok], xid[jj][ok])]))
-        got = np.unique(np.vstack(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
-
-    found = index_rows.groupBy("list", "block").cogroup(queries.groupBy("list", "block")).applyInPandas(search, "a long, b long")
-    return shared_table(spark, found.distinct(), "links")
+                dot += np.take((q[:, model.cuts[m] : model.cuts[m + 1]] @ book.T).astype(np.float32), codes[start:, m], axis=1)
+            may = dot >= least[start:]
+            if may.sum() * 16 > may.size:
+                i, j = np.nonzero(may & (q @ x[start:].T >= at_least))
+            else:
+                i, j = np.nonzero(may)
+                ok = np.concatenate([(q[i[c : c + 100_000]] * x[start + j[c : c + 100_000]]).sum(1) >= at_least for c in range(0, len(i), 100_000)] or [np.zeros(0, bool)])
+                i, j = i[ok], j[ok]
+            i, j = i + at, j + start
+            if a == b:
+                i, j = i[i < j], j[i < j]
+            linked += np.bincount(i, members[j], len(x)) + np.bincount(j, members[i], len(x))
+            label = _joined(label, i, j)
+        some = linked > 0
+        return pd.DataFrame({"id": ids[some], "linked": linked[some].astype(np.int64), "root": ids[label[some]]})
+
+    pairs = indexed.mapInPandas(meet, row + ", a long, b long, cell long")
+    pairs = pairs.repartition(min(cells * (cells + 1) // 2, 2000), "a", "b")  # not by size: the work goes with its square
+    return shared_table(spark, pairs.groupBy("a", "b").applyInPandas(search, "id long, linked long, root long"), "links")
 
 
 def near_duplicates(rows: DataFrame, at_least: float = 0.9) -> DataFrame:
@@ -158,11 +220,10 @@ def near_duplicates(rows: DataFrame, at_least: float = 0.9) -> DataFrame:
     classes = shared_table(spark, usable.groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("members")), "vectors")
     member = usable.join(classes.select("v", "id", "members"), "v").select("vec_id", "id", "members")
     # one id on several vectors: the vertex is the id, and it stands for its first class in the index
-    pairs = links(classes.select("id", "v").dropDuplicates(["id"]), at_least)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    weight = both.join(classes.select(F.col("id").alias("b"), "members"), "b").groupBy("a").agg(F.sum("members").alias("linked"))
-    found = components(pairs, "a", "b")
-    own = member.join(weight.select(F.col("a").alias("id"), "linked"), "id", "left").join(found, "id", "left")
+    found = links(classes.dropDuplicates(["id"]).select("id", "v", "members"), at_least)
+    weight = found.groupBy("id").agg(F.sum("linked").alias("linked"))
+    found = components(found, "id", "root")
+    own = member.join(weight, "id", "left").join(found, "id", "left")
     own = own.groupBy("vec_id").agg(F.max(F.coalesce("linked", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.min(F.coalesce("component_id", "id")).alias("component_id"))
     out = every.select("vec_id").join(own, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

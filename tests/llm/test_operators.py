@@ -194,6 +194,32 @@ def test_embeddings_recall(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def near_copies(n, dims=64):
+    """A third of the rows are noisy copies of one vector, pairwise of cosine 0.9 and more; the others are in families of 4."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(n // 6, dims))
+    x = np.vstack([base[:1] + 0.2 * rng.normal(size=(n // 3, dims)), np.repeat(base, 4, axis=0) + 0.2 * rng.normal(size=(n // 6 * 4, dims))])
+    return np.float32(x[rng.permutation(len(x))])
+
+
+def test_embeddings_near_copies(spark, monkeypatch):
+    """Far more lists than fit in a cell, cells of less than the group."""
+    x = near_copies(6000)
+    monkeypatch.setattr(embeddings, "LIST", 16)
+    monkeypatch.setattr(embeddings, "BLOCK", 1024)
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(rows).collect()}
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    linked = u @ u.T >= 0.9
+    assert sum(got[i]["n_links"] for i in range(len(x))) == linked.sum() - len(x)
+    assert [got[i]["n_links"] for i in range(len(x))] == (linked.sum(1) - 1).tolist()
+    least = np.arange(len(x))
+    while (after := np.where(linked, least, len(x)).min(1)).tolist() != least.tolist():
+        least = after
+    assert [got[i]["component_id"] for i in range(len(x))] == least.tolist()
+
+
 # page text
 
 
