@@ -220,6 +220,26 @@ def test_embeddings_near_copies(spark, monkeypatch):
     assert [got[i]["component_id"] for i in range(len(x))] == least.tolist()
 
 
+def test_embeddings_bound_keeps_every_list_with_a_link():
+    """1,250 lists over 20,000 vectors, against brute force: 16 nearest lists lose links here, the bound none."""
+    x = near_copies(20_000).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = embeddings.fit(x[:5000], 1250)
+    own = np.concatenate([index.squares(x[at : at + 2000]).argmin(1) for at in range(0, len(x), 2000)])
+    radius = np.full(1250, -np.inf)
+    np.maximum.at(radius, own, np.sqrt(((x - index.coarse[own]) ** 2).sum(1)))
+    links = probed = 0
+    for at in range(0, len(x), 1000):
+        q = x[at : at + 1000]
+        i, j = np.nonzero(q @ x.T >= 0.9)
+        assert index.possible(q, own[at : at + 1000], radius, np.sqrt(0.2))[i, own[j]].all()
+        near = np.zeros((len(q), 1250), bool)
+        np.put_along_axis(near, np.argpartition(index.squares(q), 15, axis=1)[:, :16], True, 1)
+        links, probed = links + len(i), probed + near[i, own[j]].sum()
+    print(links, probed)
+    assert probed < 0.9 * links
+
+
 # page text
 
 
