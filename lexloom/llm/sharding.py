@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,11 +113,14 @@ def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 42, rows_per
 
         def by_batch(batches):
             parts, *own = shared.value
-            for pdf in batches:
-                if len(pdf):
-                    yield put(pdf, np.searchsorted(parts, pdf["_part"].to_numpy()), own)
-
-        placed = staged.mapInPandas(by_batch, schema)
+            for batch in batches:
+                if batch.num_rows:
+                    part, pos = (batch.column(c).to_numpy() for c in RESERVED)
+                    row = np.searchsorted(parts, part)
+                    shard, slot = _place(part, pos, own[0][row], own[1][row], own[2][row], sizes, seed)
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(shard), pa.array(slot)], [*keep, "shard", "slot"])
+
+        placed = staged.mapInArrow(by_batch, schema)  # as they are: texts need not become Python objects
     else:
         rows_of = spark.createDataFrame([(int(p), int(n), c.tolist(), b.tolist()) for p, n, c, b in zip(parts, rows, cum, before)], "_part int, n long, cum array<long>, before array<long>")
 
@@ -130,6 +134,7 @@ def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 42, rows_per
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents are dealt out; size and text_crc32 are those of the text that arrived in the shard."""
     text = text_or_empty().cast("binary")
-    digests = table(spark, sf_dir, "documents").select("doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return shuffle_into_shards(digests).withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+    dealt = shuffle_into_shards(table(spark, sf_dir, "documents"))
+    return dealt.select("doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "shard", "slot", F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard"))

@@ -44,6 +44,18 @@ def test_sharding(spark):
     assert sharding.shuffle_into_shards(df.filter("id < 0"), 8).count() == 0
 
 
+def test_sharding_digests_are_of_what_arrived(spark, monkeypatch):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    deal, seen = sharding.shuffle_into_shards, []
+    monkeypatch.setattr(sharding, "shuffle_into_shards", lambda df: seen.append(df.columns) or deal(df).withColumn("text", F.concat(F.lit("arrived "), F.coalesce("text", F.lit("")))))
+    out = sharding.op7_sharding(spark, SF).collect()
+    assert {"doc_id", "text", "lang", "source", "n_chars"} <= set(seen[0])
+    assert sorted(r["doc_id"] for r in out) == sorted(texts)
+    for r in out:
+        arrived = b"arrived " + texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"]) == (len(arrived) + 1, zlib.crc32(arrived))
+
+
 def test_matrix_sums():
     counts = [0, 5, 100, 1, 37]
     sizes = sharding.shard_sizes(sum(counts), 4)
