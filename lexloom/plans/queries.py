@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.config import CONCEPT_QUERIES, DELTA, ENUMS, FALLBACKS, JURISDICTIONS, KEYWORDS, LIST_CONCEPTS, MATRIX, PASS1_CONCEPTS, SIGNAL_FIELD
+from lexloom.config import CONCEPT_QUERIES, DELTA, ENUMS, FALLBACKS, JURISDICTIONS, KEYWORDS, LIST_CONCEPTS, MATRIX, MAX_TERMS, PASS1_CONCEPTS, SIGNAL_FIELD
 from lexloom.functions.text import percent
 from lexloom.operators import extract as ex
 from lexloom.operators import gaps, store, tagging, tfidf
@@ -285,18 +285,18 @@ _TOP = _TF + (
 )
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.retrieve(_doc_chunks(spark, sf_dir), tfidf.queries_table(spark, _ASKED), 3, 1e-9, _TERMS, tagged=False)
+def _hits(spark: SparkSession, sf_dir: str, terms: int) -> DataFrame:
+    return tfidf.retrieve(_doc_chunks(spark, sf_dir), tfidf.queries_table(spark, _ASKED), 3, 1e-9, terms, tagged=False)
 
 
 @query(_TOP.replace("nm AS", "nm AS").replace(") q AS", "), q AS") + "SELECT law, concept, round(score, 5) AS score, CAST(rk AS INTEGER) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY law, concept ORDER BY score DESC, chunk_id) AS rk FROM s) WHERE rk <= 3")
 def retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(spark, sf_dir).select("law", "concept", F.round("score", 5).alias("score"), "rk")
+    return _hits(spark, sf_dir, _TERMS).select("law", "concept", F.round("score", 5).alias("score"), "rk")
 
 
 @query()
 def retrieve_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.prompt_texts(_hits(spark, sf_dir), _doc_chunks(spark, sf_dir))
+    return tfidf.prompt_texts(_hits(spark, sf_dir, MAX_TERMS), _doc_chunks(spark, sf_dir))
 
 
 _COS = "WITH q AS (SELECT vec_id AS qid, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT qid, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])) AS score FROM embeddings, q) "

@@ -164,3 +164,15 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         ingest_stream(spark, str(folder), s, str(tmp_path / "checkpoint")).awaitTermination()
     assert s.read().count() == 1
+
+
+def test_prompt_takes_the_whole_vocabulary(spark, tmp_path):
+    """The only asked words stand at ranks above 512."""
+    from pyspark.sql import functions as F
+
+    frequent = " ".join(f"w{i} w{i}" for i in range(600))
+    rows = [(1, frequent), (2, "w1 licensed under the apache license")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.concat(F.lit("s"), "doc_id")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = q.retrieve_prompt(spark, str(tmp_path)).collect()
+    assert any("apache license" in str(r) for r in found)
