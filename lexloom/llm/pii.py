@@ -14,6 +14,13 @@ from lexloom.llm.common import table
 #: Order of the kinds where spans begin at one place; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "phone_local")
 BASE = 4
+#: Length of an account number by country (ISO 13616).
+IBAN = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_BY_COUNTRY = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}+(?![A-Za-z0-9])" for n, c in IBAN.items())
 #: A span starts where the last one ended, or not within a run of its own characters.
 PATTERNS = {
     "email": r"(?=[A-Za-z0-9._%+-])(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -21,9 +28,12 @@ PATTERNS = {
     # only whole chains of 14 to 19 digits: shorter and longer ones are dropped anyway
     "card": r"(?=[0-9])(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # by the country's length, whatever words follow; else the longest run. Takes one letter, so a failed number hides none behind it
+    "iban": rf"(?=[A-Z])(?<![A-Za-z0-9])(?=({_BY_COUNTRY}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+(?![A-Za-z0-9])))[A-Z]",
     "phone_local": r"(?=[(0-9])(?<![0-9A-Za-z+().-])(?<![0-9+)]\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
 }
+#: Kinds whose value is the pattern's first group, looked ahead at, of which the pattern takes one character.
+AHEAD = ("iban",)
 #: A cheap sign without which a kind can't occur.
 SIGNS = {"email": "@", "phone": "+"}
 #: Score of a proposal before context, words nearby that raise it, and by how much.
@@ -83,11 +93,12 @@ def _spans(kind: str, hits: Column, pieces: Column) -> Column:
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + F.length(x["p"])
         end = start + F.length(x["h"])
-        near = F.concat(F.substring(x["p"], -WINDOW, WINDOW), F.lit(" "), F.substring(x["q"], 1, WINDOW // 2))
+        taken, after = (start + 1, F.length(x["h"])) if kind in AHEAD else (end, F.lit(1))
+        near = F.concat(F.substring(x["p"], -WINDOW, WINDOW), F.lit(" "), F.substring(x["q"], after, F.lit(WINDOW // 2)))
         run = F.array_append(a["run"], F.struct(start.alias("s"), F.lit(k).alias("k"), end.alias("e"), x["h"].alias("v"), near.alias("near")))
         # short runs: appending to one array would copy it for each of its spans
-        closed = F.struct(end.alias("at"), F.array_append(a["full"], run).alias("full"), empty.alias("run"))
-        return F.when(F.size(a["run"]) >= 127, closed).otherwise(F.struct(end.alias("at"), a["full"].alias("full"), run.alias("run")))
+        closed = F.struct(taken.alias("at"), F.array_append(a["full"], run).alias("full"), empty.alias("run"))
+        return F.when(F.size(a["run"]) >= 127, closed).otherwise(F.struct(taken.alias("at"), a["full"].alias("full"), run.alias("run")))
 
     spans = F.aggregate(pairs, zero, step, lambda a: F.flatten(F.array_append(a["full"], a["run"])))
     return F.filter(spans, lambda x: _confirmed(kind, x["v"]))
@@ -114,7 +125,7 @@ def find(docs: DataFrame) -> DataFrame:
     hits = {}
     for kind, pattern in PATTERNS.items():
         sign = F.contains(text, F.lit(SIGNS[kind])) if kind in SIGNS else text.rlike("[0-9]")
-        hits[f"_hits_{kind}"] = F.when(sign, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
+        hits[f"_hits_{kind}"] = F.when(sign, F.regexp_extract_all(text, F.lit(pattern), F.lit(int(kind in AHEAD)))).otherwise(none)
     out = docs.drop("findings").withColumns(hits)
     out = out.withColumns({f"_pieces_{k}": F.when(F.size(f"_hits_{k}") > 0, F.split(text, p, -1)).otherwise(none) for k, p in PATTERNS.items()})
     every = F.concat(*[_spans(k, F.col(f"_hits_{k}"), F.col(f"_pieces_{k}")) for k in KINDS])

@@ -107,6 +107,17 @@ def plain_spans(text):
     return ",".join(x[2] for x in sorted(out))
 
 
+def test_pii_account_numbers_before_other_words(spark):
+    number, plain = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
+    texts = [f"IBAN {number} Please pay", f"{plain} The rest", f"{number} BIC COBADEFF", f"{number} 12 items", f"{number} ok", f"SE24 {number} AND MORE", f"AB12 34567 89012 34 {number}", f"NO93 8601 1117 947 Oslo, GB29 NWBK 6016 1331 9268 19 IN LONDON, é {plain}.", f"{number} {plain}"]
+    want = [[number], [plain], [number], [number], [number], [number], [number], ["NO93 8601 1117 947", "GB29 NWBK 6016 1331 9268 19", plain], [number, plain]]
+    docs = docs_of(spark, [*enumerate(texts), (100, f"{plain}12"), (101, f"x{plain}"), (102, "DE88 3704 0044 0532 0130 00 Please")])
+    got = {r["doc_id"]: [texts[r["doc_id"]][f["start"] : f["end"]] for f in r["findings"] if f["kind"] == "iban"] if r["doc_id"] < 100 else [tuple(f) for f in r["findings"] if f["kind"] == "iban"] for r in pii.find(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert got[100] == got[101] == got[102] == []
+    assert {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}[0] == "IBAN [iban] Please pay"
+
+
 def test_pii_equals_plain_regex(spark, tmp_path):
     rnd = random.Random(3)
     rows = [(i, "".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 25)))) for i in range(1500)] + [(9000, None), (9001, "9" * 2000), (9002, "+1" + " " * 2000)]
