@@ -176,3 +176,13 @@ def test_prompt_takes_the_whole_vocabulary(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     found = q.retrieve_prompt(spark, str(tmp_path)).collect()
     assert any("apache license" in str(r) for r in found)
+
+
+def test_rules_keep_the_whole_sentence():
+    import json
+
+    from lexloom.operators.extract import rules_backend
+
+    sentence = "The consent " + "of the data subject or of the parent " * 30 + "is given for one purpose."
+    answer = json.loads(rules_backend("LegalBasis", "GDPR", "Article 1", f"A first one. {sentence} A last one."))
+    assert answer["evidence"] == sentence
