@@ -21,9 +21,11 @@ from lexloom.llm.common import carry, column_bytes, table
 
 Block = tuple[str, list[str]]
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: These stand in a line too, with what drawings and formulas are made of.
+INLINE |= frozenset("canvas math noscript object svg annotation mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics circle defs ellipse g line path polygon polyline rect text tspan use".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is no text of the page.
-SILENT = frozenset("script style noscript template svg iframe object math canvas textarea select".split())
+#: Their content is raw, no text of the page: up to the end tag, or to the page's end, as browsers read them.
+SILENT = frozenset("script style iframe textarea".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")

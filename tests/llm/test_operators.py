@@ -273,6 +273,15 @@ def test_html_held_out():
     assert np.mean(got) > 0.98
 
 
+def test_html_keeps_what_stands_in_other_elements():
+    for tag in ("math", "object", "canvas", "svg", "noscript", "template", "select"):
+        assert [t for t, _ in html_text.blocks(f"<p>One</p><{tag}><p>two</p></{tag}><p>three</p>")] == ["One", "two", "three"]
+        assert [t for t, _ in html_text.blocks(f"<p>One</p><{tag}><p>two</p><p>three</p>")] == ["One", "two", "three"]
+    assert [t for t, _ in html_text.blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <svg><path d='M0'/></svg>on</p>")] == ["so x=1 and on"]
+    for tag in ("script", "style", "iframe", "textarea"):
+        assert [t for t, _ in html_text.blocks(f"<p>One</p><{tag}><p>two</p></{tag}><p>three</p>")] == ["One", "three"]
+
+
 def test_html_pages(spark):
     page = "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><a href='/'>Home</a></nav><div class='ad'>Buy now.</div><article><h1>A &amp; B</h1><p>One\n two&nbsp;three <b>bold.<br><p>Next &lt;p&gt;.</p></article><div class='comments'><p>nice post</p></div><footer>&copy; me</footer></body></html>"
     df = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "<<<a<"), (5, "<!-- open"), (6, "<p a='")], "page_id long, html string").withColumn("text", F.lit("clash"))
