@@ -23,6 +23,14 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BASE = U64(0x9E3779B97F4A7C15)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores more as keep it apart from the columns of df (upper and lower case are one)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,7 +55,17 @@ def shared_table(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.lexloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes shared tables that nothing reads any more."""
+    for t in tables:
+        session = t.sparkSession
+        at = session.sparkContext._jvm.org.apache.hadoop.fs.Path(t.lexloom_path)
+        at.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import checkpointed
 
 
+#: Vertices of a partition's forest that are held at once; more edges start a new one.
+HELD = 500_000
+
+
 def _forest(batches):
-    """A spanning star forest of one partition's edges: at most one row a vertex, however many edges there are."""
+    """Spanning star forests of one partition's edges, HELD vertices each or few more: at most one row a vertex and forest, however
+    many edges there are."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -20,15 +25,21 @@ def _forest(batches):
             x = p
         return x
 
+    def stars():
+        out = [(v, root(v)) for v in list(parent)]
+        parent.clear()
+        for at in range(0, len(out), 50_000):
+            part = np.array(out[at : at + 50_000], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["u", "v"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    out = [(v, root(v)) for v in list(parent)]
-    for at in range(0, len(out), 50_000):
-        part = np.array([x for x in out[at : at + 50_000] if x[0] != x[1]], dtype=np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["u", "v"])
+        if len(parent) >= HELD:
+            yield from stars()
+    yield from stars()
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -2,23 +2,27 @@
 
 Each collection holds SIDE keys of two minhashes; the SIDE * SIDE tables are keyed by a pair, one key from each. So 4 * SIDE
 minhashes do the work of 4 * SIDE * SIDE. A pair of similarity 0.8 misses all tables with a chance of 2 * 0.36 ** SIDE.
+
+Pairs are taken from the buckets in two steps, neither of which makes all pairs of a bucket. First each set meets the most central
+set of its buckets, which joins large groups at one pair a set. Then the sets of buckets that still hold several components meet
+where a filter on their rarest shingles, which is exact, can't rule a link out, and only across components.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lexloom.llm.common import U64, column_bytes, mix64, runs, shared_table, shingle_hashes, table, word_hashes
+from lexloom.llm.common import U64, column_bytes, discard, mix64, runs, shared_table, shingle_hashes, table, word_hashes
 from lexloom.llm.connect import components
 
 SIDE = 9
-#: Minhashes that have to agree before two sets are compared: a pair of similarity 0.8 agrees in 28.8 of 36 on average, and in
-#: fewer than 16 with a chance of about one in ten million.
-AGREE = 16
 _N = 4 * SIDE
+#: Sets that differ in size by less than this factor share a size class of the filter.
+WIDTH = 1.03
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -48,7 +52,8 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, set, sig): size and 128-bit digest of each document's shingle set, and its minhashes (empty for an empty set)."""
+    """(doc_id, hash, n, set, sig): a hash of the text, size and 128-bit digest of its shingle set, and its minhashes (none for an
+    empty set)."""
 
     def run(batches):
         for batch in batches:
@@ -62,9 +67,9 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                         digest.append(mix64(s ^ U64(0xA5A5)).sum(dtype=U64).tobytes() + np.bitwise_xor.reduce(mix64(s * U64(3)), initial=U64(0)).tobytes())
                     rows.append(sig[at].tobytes() if len(s) else None)
                     at += bool(len(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), pa.array(rows, pa.binary())], ["doc_id", "n", "set", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), pa.array(rows, pa.binary())], ["doc_id", "hash", "n", "set", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, set binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, n long, set binary, sig binary")
 
 
 def _table_keys(batches):
@@ -82,88 +87,123 @@ def _table_keys(batches):
                     yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(ids)], ["key", "id"])
 
 
-def _agreeing(batches):
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=U64).reshape(-1, _N) for i in (2, 3))
-        ok = pa.array((a == b).sum(axis=1) >= AGREE)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
-
-
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links: sizes and minhashes thin them out, then the full sets of both texts are compared."""
-    left = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    right = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    near = pairs.join(left, "a").join(right, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    near = shared_table(pairs.sparkSession, near.select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long"), "pairs")
-    ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-    sets = reps.select("id", "set").join(ids, "id")
-    texts = docs.join(sets.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("text"))
-    # one text an id: of rows that share an id, the one whose set is the class's decides; any text of that set will do
-    texts = texts.dropDuplicates(["id"])
-
-    def compare(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                ids_a, ids_b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                own: dict[int, bytes] = {}
-                for ids, texts in ((ids_a, column_bytes(batch, "ta")), (ids_b, column_bytes(batch, "tb"))):
-                    own.update(zip(ids, texts))
-                known = dict(zip(own, shingle_sets(list(own.values()), k)))
-                ok = []
-                for a, b in zip(ids_a, ids_b):
-                    x, y = known[a], known[b]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * both >= percent * (len(x) + len(y) - both))
-                ok = pa.array(ok, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
-
-    joined = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return shared_table(pairs.sparkSession, joined.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"), "links")
+def _shared_keys(keys: DataFrame) -> DataFrame:
+    """(key, id, members) of the buckets that hold several ids; counts are combined before they are shuffled."""
+    found = keys.groupBy("key").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("members"), F.max("id").alias("most_id")).filter("members > 1")
+    found = shared_table(keys.sparkSession, found, "buckets")
+    pairs = found.filter("members = 2").select("key", F.explode(F.array("least_id", "most_id")).alias("id"), "members")
+    return pairs.unionByName(keys.join(found.filter("members > 2").select("key", "members"), "key").select("key", "id", "members"))
+
+
+def _shingles_of(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """(id, n, shingles array<long>) of the classes reps (id, doc_id, hash): read again from the text of one row each."""
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for texts in runs(column_bytes(batch, "text")):
+                sets = shingle_sets(texts, k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "n", "shingles"])
+                at += len(texts)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    texts = texts.join(reps.select("id", "doc_id", "hash"), ["doc_id", "hash"]).select("id", "text")
+    return texts.mapInArrow(run, "id long, n long, shingles array<long>").dropDuplicates(["id"])  # repeated rows
+
+
+def _least_overlap(a: Column, b: Column, percent: int) -> Column:
+    """The least number of shared shingles that links sets of these sizes."""
+    return F.ceil((a + b) * F.lit(percent) / F.lit(100 + percent) - 1e-9)
+
+
+def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links, by their full sets in held (id, n, shingles)."""
+    left = held.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    right = held.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    near = pairs.join(held.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(held.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    near = near.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
+    both = F.size(F.array_intersect("sa", "sb")).cast("long")
+    return near.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+
+
+def _across(rest: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of rest (id, c) of different c that a filter on rare shingles can't rule out; no link is among the others.
+
+    With the shingles of both sets in one order, the rarest first, sets that share `need` or more have their first shared one no
+    later than size - need in either. So a set is looked up by the shingles at its start only, the fewer the nearer the sizes: the
+    smaller set of a pair under its size class, the larger under each class that a partner may have.
+    """
+    spark = rest.sparkSession
+    rows = shared_table(spark, held.join(rest, "id").select("id", "c", "n", F.explode("shingles").alias("t")), "rest")
+    often = rows.groupBy("t").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    own = Window.partitionBy("id")
+    # shingles of one set only come first and meet nothing: they count, but need no row
+    place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("f", "t")) - 1
+    placed = rows.join(often, "t").withColumn("at", place)
+    least = F.ceil(F.col("n") * percent / 100 - 1e-9)
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / F.lit(float(np.log(WIDTH)))).cast("int")
+    placed = shared_table(spark, placed.filter(F.col("at") <= F.col("n") - _least_overlap(least, F.col("n"), percent)), "starts")
+    small = placed.filter(F.col("at") <= F.col("n") - _least_overlap(F.col("n"), F.col("n"), percent))
+    small = small.select(F.xxhash64("t", size_class(F.col("n"))).alias("key"), F.col("id").alias("a"), F.col("c").alias("ca"), F.col("at").alias("i"), F.col("n").alias("na"))
+    large = placed.withColumn("s", F.explode(F.sequence(size_class(least), size_class(F.col("n")))))
+    lowest = F.greatest(least, F.floor(F.pow(F.lit(WIDTH), F.col("s"))) - 1)
+    large = large.filter(F.col("at") <= F.col("n") - _least_overlap(lowest, F.col("n"), percent))
+    large = large.select(F.xxhash64("t", "s").alias("key"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("at").alias("j"), F.col("n").alias("nb"))
+    # components first: members of one component never meet, however many there are
+    meet = small.select("key", "ca").distinct().join(large.select("key", "cb").distinct(), "key").filter("ca <> cb")
+    need = _least_overlap(F.col("na"), F.col("nb"), percent)
+    fits = (F.col("na") <= F.col("nb")) & (F.col("na") - F.col("i") >= need) & (F.col("nb") - F.col("j") >= need)
+    small, large = small.alias("x"), large.alias("y")
+    found = meet.join(small, ["key", "ca"]).alias("m").join(large, (F.col("m.key") == F.col("y.key")) & (F.col("m.cb") == F.col("y.cb")) & fits)
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = shared_table(spark, found, "across")
+    discard(rows, placed)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text); similarity 100 * |A & B| >= percent * |A | B|.
 
-    Null, empty and blank texts have no shingles and link with nothing. Documents of equal sets form a class, and only classes
-    are compared, so copies never meet in pairs. In each table a class is paired with the smallest of its bucket; buckets that
-    still hold several components afterwards are compared in full, so that no link is lost to the short cut. Rows that share an
-    id count as one vertex; a row with a null id is a component of its own (null). An empty table gives an empty result.
+    Null, empty and blank texts have no shingles and link with nothing. Rows of equal sets form a class, and only classes are
+    compared, so copies never meet in pairs. Rows that share an id count as one vertex, whose links are those of all its texts; a
+    row with a null id is a component of its own (null). Very long texts are read whole. An empty table gives an empty result;
+    other columns are not looked at.
     """
     spark = docs.sparkSession
     rows = shared_table(spark, sketch(docs, k), "sketches")
-    classes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    reps = shared_table(spark, classes.dropDuplicates(["id"]).select("id", "n", "set", "sig"), "classes")
-    keys = shared_table(spark, _shared_keys(reps.select("id", "sig").mapInArrow(_table_keys, "key long, id long")), "keys")
-    stars = keys.filter("id <> least_id").select(F.col("least_id").alias("a"), F.col("id").alias("b")).distinct()
-    stars = shared_table(spark, stars, "stars")
-    links = verified(stars, reps, docs, k, percent)
-    first = components(links, "a", "b")
-    # What the stars left apart: members of one bucket in several components.
-    at = keys.filter("members > 2").join(first, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
+    full = rows.filter("n > 0 AND doc_id IS NOT NULL")
+    classes = full.groupBy("set").agg(F.min(F.struct("doc_id", "hash")).alias("r"), F.first("sig").alias("sig"))
+    classes = shared_table(spark, classes.select(F.monotonically_increasing_id().alias("id"), "set", "r.doc_id", "r.hash", "sig"), "classes")
+    member = shared_table(spark, full.select("set", "doc_id").join(classes.select("set", "id", F.col("doc_id").alias("least")), "set").select("doc_id", "id", "least").distinct(), "members")
+
+    keys = shared_table(spark, _shared_keys(classes.select("id", "sig").mapInArrow(_table_keys, "key long, id long")), "keys")
+    central = keys.groupBy("id").agg(F.sum("members").alias("weight"))
+    held = shared_table(spark, _shingles_of(docs, classes.join(central, "id", "left_semi"), k), "shingles")
+    pivots = keys.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", "id")).alias("p"))
+    stars = keys.join(pivots, "key").filter("id <> p.id").groupBy("id").agg(F.max("p").alias("p")).select(F.col("id").alias("a"), F.col("p.id").alias("b"))
+    links = shared_table(spark, verified(stars, held, percent), "links")
+    # one id on several texts: its classes are one vertex
+    several = member.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("most")).filter("b <> most").select("doc_id", "b")
+    several = member.join(several, "doc_id").select(F.col("id").alias("a"), "b").filter("a <> b")
+    links = shared_table(spark, links.unionByName(several), "links")
+    final = components(links, "a", "b")
+
+    at = keys.join(final, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
     mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    at = at.join(mixed, "key").select("key", "id", "c", "least_id").filter("id <> least_id")
-    rest = at.select("key", F.col("id").alias("a"), F.col("c").alias("ca")).join(at.select("key", F.col("id").alias("b"), F.col("c").alias("cb")), "key").filter("a < b AND ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    late = verified(shared_table(spark, rest, "rest"), reps, docs, k, percent)
-    same_set = rows.filter("n > 0 AND doc_id IS NOT NULL").join(classes.select("set", F.col("id").alias("rep")), "set").filter("doc_id <> rep")
-    final = components(links.unionByName(late), "a", "b")
-    member = same_set.select("doc_id", "rep").distinct()
-    if late.isEmpty():
-        final = first
-    linked = member.join(final.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("doc_id", F.coalesce("component_id", "rep").alias("component_id"))
-    label = final.select(F.col("id").alias("doc_id"), "component_id").unionByName(linked).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    rest = at.join(mixed, "key").select("id", "c").distinct()
+    late = shared_table(spark, verified(_across(rest, held, percent), held, percent), "links")
+    if not late.isEmpty():
+        final = components(links.unionByName(late), "a", "b")
+    discard(keys, held)
+
+    # the smallest id of a component is that of its classes
+    named = final.join(classes.select("id", "doc_id"), "id")
+    named = named.join(named.groupBy("component_id").agg(F.min("doc_id").alias("label")), "component_id").select("id", "label")
+    label = member.join(named, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "least")).alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(label, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _shared_keys(keys: DataFrame) -> DataFrame:
-    """(key, id, least_id, members) of the buckets that hold several ids; counts are combined before they are shuffled."""
-    found = keys.groupBy("key").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("members"), F.max("id").alias("most_id")).filter("members > 1")
-    found = shared_table(keys.sparkSession, found, "buckets")
-    pairs = found.filter("members = 2").select("key", F.explode(F.array("least_id", "most_id")).alias("id"), "least_id", "members")
-    return pairs.unionByName(keys.join(found.filter("members > 2").drop("most_id"), "key").select("key", "id", "least_id", "members"))
-
-
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import table
+from lexloom.llm.common import fresh, table
 
 #: Order of the kinds where spans begin at one place; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "phone_local")
@@ -113,31 +113,34 @@ def _scored(x: Column) -> Column:
     return F.least(F.lit(1.0), score)
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """docs with `findings`: array of (kind, start, end, score, base) by start, then kind; offsets are code points, end exclusive.
+def find(docs: DataFrame, into: str = "findings") -> DataFrame:
+    """docs with `findings`, or under another name: array of (kind, start, end, score, base, value) by start, then kind; offsets
+    are code points, end exclusive.
 
-    A null or empty text has none. Base kinds always stay; others need a score of at least 0.5 and must not overlap a base
-    span. Repeated rows are searched each for itself; an empty table gives an empty result; columns of docs other than findings
-    are kept (names that begin with `_hits_` or `_pieces_` are reserved).
+    A null or empty text has none; very long texts are searched whole. Base kinds always stay; others need a score of at least
+    0.5 and must not overlap a base span. Repeated rows are searched each for itself; an empty table gives an empty result. All
+    columns of docs are kept, whatever their names, but one of the name of the findings.
     """
+    docs = docs.drop(into)
+    spans = fresh(docs, "_spans")
+    h, q = ({k: fresh(docs, f"_{w}_{k}") for k in KINDS} for w in ("hits", "pieces"))
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.expr("CAST(array() AS array<string>)")
     hits = {}
     for kind, pattern in PATTERNS.items():
         sign = F.contains(text, F.lit(SIGNS[kind])) if kind in SIGNS else text.rlike("[0-9]")
-        hits[f"_hits_{kind}"] = F.when(sign, F.regexp_extract_all(text, F.lit(pattern), F.lit(int(kind in AHEAD)))).otherwise(none)
-    out = docs.drop("findings").withColumns(hits)
-    out = out.withColumns({f"_pieces_{k}": F.when(F.size(f"_hits_{k}") > 0, F.split(text, p, -1)).otherwise(none) for k, p in PATTERNS.items()})
-    every = F.concat(*[_spans(k, F.col(f"_hits_{k}"), F.col(f"_pieces_{k}")) for k in KINDS])
-    found = sum((F.size(f"_hits_{k}") for k in KINDS[1:]), F.size(f"_hits_{KINDS[0]}"))
-    out = out.withColumn("_spans", F.when(found > 0, F.array_sort(every)))
-    base = F.filter("_spans", lambda x: x["k"] < BASE)
+        hits[h[kind]] = F.when(sign, F.regexp_extract_all(text, F.lit(pattern), F.lit(int(kind in AHEAD)))).otherwise(none)
+    out = docs.withColumns(hits)
+    out = out.withColumns({q[k]: F.when(F.size(h[k]) > 0, F.split(text, p, -1)).otherwise(none) for k, p in PATTERNS.items()})
+    every = F.concat(*[_spans(k, F.col(h[k]), F.col(q[k])) for k in KINDS])
+    found = sum((F.size(h[k]) for k in KINDS[1:]), F.size(h[KINDS[0]]))
+    out = out.withColumn(spans, F.when(found > 0, F.array_sort(every)))
+    base = F.filter(spans, lambda x: x["k"] < BASE)
     label = lambda x: F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["k"] + 1)
-    full = F.transform("_spans", lambda x: F.struct(label(x).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), _scored(x).alias("score"), (x["k"] < BASE).alias("base"), x["v"].alias("value")))
+    full = F.transform(spans, lambda x: F.struct(label(x).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), _scored(x).alias("score"), (x["k"] < BASE).alias("base"), x["v"].alias("value")))
     keep = lambda x: x["base"] | ((x["score"] >= ACCEPT) & ~F.exists(base, lambda b: (b["s"] < x["end"]) & (x["start"] < b["e"])))
     nothing = F.expr("CAST(array() AS array<struct<kind:string,start:bigint,end:bigint,score:double,base:boolean,value:string>>)")
-    out = out.withColumn("findings", F.coalesce(F.filter(full, keep), nothing))
-    return out.drop("_spans", *[f"_{w}_{k}" for w in ("hits", "pieces") for k in KINDS])
+    return out.withColumn(into, F.coalesce(F.filter(full, keep), nothing)).drop(spans, *h.values(), *q.values())
 
 
 def _joined(spans: Column) -> Column:
@@ -145,11 +148,13 @@ def _joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs, each found value replaced by its kind in square brackets; a null text stays null."""
+    """docs, each found value replaced by its kind in square brackets; a null text stays null, as do all other columns what they
+    are, whatever their names. Very long texts, repeated rows and empty tables are as in `find`."""
+    findings = fresh(docs, "findings")
     text = F.coalesce(F.col("text"), F.lit(""))
     piece = lambda a, x: F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit("["), x["kind"], F.lit("]"))).otherwise(a["out"]).alias("out"))
-    done = F.aggregate("findings", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), piece, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    return find(docs).withColumn("text", F.when(F.size("findings") > 0, done).otherwise(F.col("text"))).drop("findings")
+    done = F.aggregate(findings, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), piece, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    return find(docs, findings).withColumn("text", F.when(F.size(findings) > 0, done).otherwise(F.col("text"))).drop(findings)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,19 +123,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(good, bad, 0.5 if share is None else min(max(share, 0.02), 0.98))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with `score` (probability that a text is good) and `predicted`; one pass, no shuffle. Null text counts as empty;
-    columns named score or predicted are replaced. An empty table gives an empty result."""
-    kept = docs.drop("score", "predicted")
+def score(docs: DataFrame, model: Model, into: str = "score", predicted: str = "predicted") -> DataFrame:
+    """docs with the probability that a text is good and whether it is THRESHOLD or more (1 or 0), in columns of these names in
+    place of any that docs has; one pass, no shuffle.
+
+    Null text counts as empty; very long texts are scored whole, block by block; repeated rows and rows with null ids are scored
+    like any other. An empty table gives an empty result."""
+    kept = docs.drop(into, predicted)
     carried = carry(docs.sparkSession, model)
 
     def run(batches):
         predict_all = carried().scorer()
         for batch in batches:
             s = predict_all(column_bytes(batch, "text"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32), pa.int32())], [*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32), pa.int32())], [*batch.schema.names, into, predicted])
 
-    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*kept.schema.fields, T.StructField(into, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
     return kept.mapInArrow(run, schema)
 
 

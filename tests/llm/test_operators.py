@@ -372,6 +372,49 @@ def test_near_dup_equals_brute_force(spark, k):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def family(rnd, members, words, low, high):
+    """Copies of one text, each with so many of its words replaced by words of its own."""
+    base = ["w" + str(rnd.randrange(10**6)) for _ in range(words)]
+    for _ in range(members):
+        t = list(base)
+        for at in rnd.sample(range(words), rnd.randint(low, high)):
+            t[at] = "own" + str(rnd.randrange(10**9))
+        yield " ".join(t)
+
+
+def test_near_dup_families_below_the_threshold(spark):
+    """Families of similarity 0.7 that are not links, some that partly are, and a large group of near copies."""
+    rnd = random.Random(5)
+    texts = [t for args in ((40, 100, 14, 18), (60, 100, 1, 12), (60, 37, 0, 6), (30, 200, 8, 12), (25, 6, 0, 2), (20, 60, 3, 5)) for t in family(rnd, *args)]
+    rows = list(enumerate(texts))
+    for k in (1, 2):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs_of(spark, rows), k, 80).collect()}
+        assert got == brute_components(rows, k, 80)
+
+
+@pytest.mark.parametrize("percent", [80, 67])
+def test_near_dup_filter_loses_no_link(spark, percent):
+    """Each set a component of its own, so all that joins them is the filter; and few pairs of families without links pass."""
+    rnd = random.Random(percent)
+    texts = [t for args in ((30, 100, 2, 14), (40, 31, 0, 5), (30, 7, 0, 2), (30, 90, 30, 34)) for t in family(rnd, *args)]
+    sets = {i: set(near_dup.shingle_sets([t.encode()], 1)[0].view(np.int64).tolist()) for i, t in enumerate(texts)}
+    held = spark.createDataFrame([(i, len(s), sorted(s)) for i, s in sets.items()], "id long, n long, shingles array<long>")
+    found = {(r["a"], r["b"]) for r in near_dup._across(held.select("id", F.col("id").alias("c")), held, percent).collect()}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert links <= found and not any(a >= 100 and b >= 100 for a, b in found)
+    apart = near_dup._across(held.select("id", F.lit(1).cast("long").alias("c")), held, percent)
+    assert apart.isEmpty()
+
+
+def test_near_dup_rows_that_share_an_id(spark):
+    rnd = random.Random(2)
+    a, b = (" ".join("w" + str(rnd.randrange(10**6)) for _ in range(60)) for _ in range(2))
+    rows = [(5, a), (5, b), (5, a), (7, a + " more"), (8, b + " other"), (9, "alone in the world"), (None, a), (6, None), (6, a + " more")]
+    got = near_dup.near_duplicates(docs_of(spark, rows), 2, 80).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(5, 5), (7, 5), (8, 5), (9, 9), (None, None), (6, 5)}
+
+
 def test_near_dup_edges(spark):
     out = near_dup.near_duplicates(docs_of(spark, ODD), 2, 80).collect()
     assert len(out) == len(ODD) and {r["component_id"] for r in out if r["doc_id"] in (7, 8)} == {7}
@@ -384,6 +427,17 @@ def test_components(spark):
     assert got == {i: 5 for i in [5, *range(100, 161)]} | {7: 7, 8: 7}
 
 
+def test_components_of_several_forests(spark, monkeypatch):
+    monkeypatch.setattr(connect, "HELD", 3)
+    rnd = random.Random(1)
+    edges = [(i, rnd.randrange(max(0, i - 9), i + 1)) for i in range(1, 400) if i % 50]
+    want: dict[int, int] = {}
+    for a, b in edges:
+        want[a] = want.get(b, b) if a != b else want.get(a, a)
+    got = {r["id"]: r["component_id"] for r in connect.components(spark.createDataFrame(edges, "a long, b long").repartition(3), "a", "b").collect()}
+    assert got == {i: want.get(i, i) for i in got} and len(got) >= 380
+
+
 # decontamination
 
 
@@ -428,3 +482,40 @@ def test_word_hashes_split_like_python():
     h, n = common.word_hashes(texts)
     assert n.tolist() == [len(t.split()) for t in texts]
     assert h[0] == h[2] and len(set(h.tolist())) == len(h) - 1
+
+
+CLASH = ("score", "predicted", "findings", "row", "digest", "_spans", "_hits_email", "_pieces_ip", "Score", "_id")
+
+
+def clashing(docs):
+    return docs.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASH if c != "Score"])
+
+
+@pytest.mark.parametrize("stage", ["quality", "near_duplicates", "decontamination", "personal_data"])
+def test_pipeline_keeps_columns_of_clashing_names(spark, stage):
+    import corpus_pipeline as cp
+
+    extra = [(30, "write to a@b.c", "en", "s", 3), (31, None, None, None, None)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.createDataFrame(extra, DOCS))
+    run = dict(cp.STAGES)[stage]
+    plain, out = run(spark, docs, SF), run(spark, clashing(docs), SF)
+    assert out.columns == clashing(docs).columns
+    assert sorted(plain.collect(), key=str) == sorted(out.select(plain.columns).collect(), key=str)
+    assert all(r[c] == f"own {c}" for r in out.collect() for c in CLASH if c != "Score")
+    assert run(spark, docs.limit(0), SF).count() == 0
+
+
+def test_pipeline_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows, shared and null ids, by stage."""
+    import corpus_pipeline as cp
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (1, long), (None, long), (2, long + " more"), (None, None), (3, ""), (4, " \n"), (4, "\t"), (None, f"so {item} so"), (5, f"so {item} so"), (6, " ".join(f"z{i}" for i in range(30_000)) + " " + item), (7, "one")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOCS)
+    got = lambda stage: sorted(((r["doc_id"], r["text"]) for r in dict(cp.STAGES)[stage](spark, docs, SF).collect()), key=str)
+    assert got("near_duplicates") == sorted([rows[0], *rows[4:8], rows[9], *rows[10:]], key=str)
+    assert got("decontamination") == sorted([*rows[:8], rows[11]], key=str)
+    assert got("personal_data") == sorted(rows, key=str)
+    assert set(got("quality")) <= set(rows)
+    assert cp.encode_tokens(spark, docs, SF).count() == len(rows) and cp.encode_tokens(spark, docs.limit(0), SF).count() == 0
