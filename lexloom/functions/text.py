@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 MARK = "\ue000"
 
 
+#: What Python takes for white space and Java's Unicode class does not.
+SEPARATORS = r"\x1C-\x1F"
+
+
 def strip(x: Column) -> Column:
-    """White space of all of Unicode off both ends."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """White space off both ends, as Python's str has it: that of all of Unicode and the four information separators."""
+    return F.regexp_replace(x, rf"(?U)^[\s{SEPARATORS}]+|[\s{SEPARATORS}]+$", "")
 
 
 def collapse(x: Column) -> Column:

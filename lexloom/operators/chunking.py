@@ -1,4 +1,4 @@
-"""Hierarchical chunks of laws by structure patterns: expressions over one row a document, no shuffle but for the final order."""
+"""Hierarchical chunks of laws by structure patterns: expressions over one row a document, no shuffle but for the order in each document."""
 
 from __future__ import annotations
 
@@ -66,8 +66,8 @@ def chunk(docs: DataFrame, min_chars: int = MIN_CHUNK, max_chars: int = MAX_CHUN
     """docs (law, text) as (law, chunk_id, article_ref, parent_ref, level, concept_tags, text, char_offset, seq).
 
     A top segment without inner segments stays itself, one with them gives way to them; three-level laws keep articles beside their
-    clauses of min_chars or more; chunks over max_chars are split at blank lines. seq is the order in the law. With `laws`, docs
-    holds no others, and the plan only the patterns of these.
+    clauses of min_chars or more; chunks over max_chars are split at blank lines. seq is the order in the document, so no task holds
+    more than one. With `laws`, docs holds no others, and the plan only the patterns of these.
     """
     base = docs.select(F.upper("law").alias("law"), "text").withColumn("_doc", F.monotonically_increasing_id())
     wanted = None if laws is None else {law.upper() for law in laws}
@@ -106,7 +106,7 @@ def _chunk_one(docs: DataFrame, patterns: list, min_chars: int, max_chars: int)
     text = F.coalesce(F.col("p.text"), F.col("x.text"))
     head = F.coalesce(F.col("p.text"), F.col("x.head"))
     rows = rows.withColumns({"_text": strip(text), "_head": head, "_at": F.col("x.start") + F.col("p.start")})
-    order = F.row_number().over(Window.partitionBy("law").orderBy("_doc", "a", "b", "c", "d")) - 1
+    order = F.row_number().over(Window.partitionBy("_doc").orderBy("a", "b", "c", "d")) - 1
     return rows.select(
         "law", chunk_id(F.col("law"), F.col("x.ref"), F.col("_head")).alias("chunk_id"), F.col("x.ref").alias("article_ref"), F.col("x.parent").alias("parent_ref"), F.col("x.level").alias("level"),
         F.col("_text").alias("text"), F.col("_at").alias("char_offset"), order.cast("long").alias("seq"),

@@ -85,3 +85,20 @@ def deltas(cov: DataFrame, threshold: float = MANDATE, both_ways: bool = True) -
 def value_laws(cov: DataFrame, column: str) -> DataFrame:
     """(value, laws): who has what."""
     return cov.select("law", F.explode(column).alias("value")).groupBy("value").agg(F.array_sort(F.collect_set("law")).alias("laws"))
+
+
+def cell(cov: DataFrame, dimension: str, law: str) -> DataFrame:
+    """The one row of the matrix for a dimension and a law, in either case; none where either is unknown."""
+    return matrix(cov).filter((F.col("dimension") == dimension) & (F.col("law") == law.upper()))
+
+
+def summaries(cov: DataFrame, threshold: float = MANDATE) -> DataFrame:
+    """(law_a, law_b, summary) of each ordered pair of laws, in words."""
+    pairs = cov.select(F.col("law").alias("law_a")).join(F.broadcast(cov.select(F.col("law").alias("law_b"))), F.col("law_a") != F.col("law_b"))  # few laws
+    values = F.when(F.size("missing") > 0, F.array_join(F.array_sort("missing"), ", ")).otherwise(F.lit("(structural gap)"))
+    line = F.concat(F.lit("  "), "dimension", F.lit(": "), values, F.when(F.col("note") != "", F.concat(F.lit("\n    → "), "note")).otherwise(F.lit("")))
+    said = deltas(cov, threshold).groupBy("law_a", "law_b").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("t")))).alias("lines"))
+    head = F.concat(F.lit("Obligations in "), "law_a", F.lit(" not present in "), "law_b", F.lit(":\n\n"))
+    none = F.concat(F.lit("No gaps found: "), "law_a", F.lit(" and "), "law_b", F.lit(" appear equivalent."))
+    text = F.when(F.col("lines").isNull(), none).otherwise(F.concat(head, F.array_join(F.transform("lines", lambda x: x["t"]), "\n")))
+    return pairs.join(said, ["law_a", "law_b"], "left").select("law_a", "law_b", text.alias("summary"))

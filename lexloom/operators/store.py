@@ -9,15 +9,21 @@ from pyspark.sql import functions as F
 
 from lexloom.config import STRUCTURAL_LEVELS
 from lexloom.functions.text import short_hash, sorted_set
+from lexloom.sources.shared import discard, filesystem, shared_table
 
 
 def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """One row a key, the first by order. The least row is combined before the shuffle, so a hot key costs one row a task."""
-    return rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), order).alias("_r")).select("_r.*")
+    """One row a key, the first by order; among equals the same one every time. The least row is combined before the shuffle, so a
+    hot key costs one row a task."""
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), _order(rows, order)).alias("_r")).select("_r.*")
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("_r")).select("_r.*")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), _order(rows, order)).alias("_r")).select("_r.*")
+
+
+def _order(rows: DataFrame, order: str) -> Column:
+    return F.struct(F.col(order), F.xxhash64(*rows.columns))
 
 
 def new_rows(store: DataFrame, rows: DataFrame, key: str = "chunk_id", order: str = "seq") -> DataFrame:
@@ -31,22 +37,27 @@ def replaced(store: DataFrame, rows: DataFrame, key: str = "chunk_id", order: st
 
 
 class ParquetStore:
-    """A table in a folder, partitioned by law. ingest() appends and can be run again: known keys are left alone."""
+    """A table in a folder, partitioned by law, with one row a key."""
+
+    stamp = "ingested_at"
 
     def __init__(self, spark: SparkSession, path: str, key: str = "chunk_id"):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
 
     def exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        fs, at = filesystem(self.spark, self.path)
+        return fs.exists(at)
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
 
-    def ingest(self, rows: DataFrame, order: str = "seq") -> int:
-        fresh = new_rows(self.read(), rows, self.key, order) if self.exists() else first_wins(rows, self.key, order)
-        fresh = fresh.withColumn("ingested_at", F.current_timestamp()).persist()
+    def ingest(self, rows: DataFrame, order: str = "seq", replace: bool = False) -> int:
+        """The number of rows written. Known keys are left alone, the first of equal new ones wins; with replace the last does, and
+        takes the place of a known one, in whatever law that stands. Either can be run again."""
+        if replace and self.exists():
+            return self._replace(rows, order)
+        fresh = last_wins(rows, self.key, order) if replace else new_rows(self.read(), rows, self.key, order) if self.exists() else first_wins(rows, self.key, order)
+        fresh = fresh.withColumn(self.stamp, F.current_timestamp()).persist()
         try:
             n = fresh.count()
             if n:
@@ -55,6 +66,49 @@ class ParquetStore:
             fresh.unpersist()
         return n
 
+    def _replace(self, rows: DataFrame, order: str) -> int:
+        """Only the laws that lose or gain rows are written anew; what they will hold is written beside them first."""
+        old = self.read()
+        new = shared_table(self.spark, last_wins(rows, self.key, order).withColumn(self.stamp, F.current_timestamp()), "new")
+        touched = new.select("law").union(old.join(new.select(self.key), self.key, "left_semi").select("law")).distinct()
+        kept = old.join(touched, "law", "left_semi").join(new.select(self.key), self.key, "left_anti").select(old.columns)
+        whole = shared_table(self.spark, kept.unionByName(new.select([c for c in old.columns if c in new.columns]), allowMissingColumns=True), "whole")
+        gone = [r["law"] for r in touched.join(whole.select("law").distinct(), "law", "left_anti").collect()]
+        n = new.count()
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("law").parquet(self.path)
+        for law in gone:  # every row of it has moved to another law
+            fs, at = filesystem(self.spark, f"{self.path}/law={law}")
+            fs.delete(at, True)
+        self.spark.catalog.refreshByPath(self.path)
+        discard(new, whole)
+        return n
+
+    def stats(self) -> dict[str, int]:
+        """Rows by law, and in all under an empty name."""
+        return {r["law"] or "": r["n"] for r in stats(self.read()).collect()}
+
+
+class StatementStore(ParquetStore):
+    """Statements under their ids, last one wins, with the columns that coverage questions ask for."""
+
+    stamp = "stored_at"
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, "statement_id")
+
+    def store_many(self, statements: DataFrame, replace: bool = True) -> int:
+        """statements (law, article_ref, stmt, statement_json; seq, if order matters), typed and valid."""
+        order = F.col("seq") if "seq" in statements.columns else F.monotonically_increasing_id()
+        ident = statement_id(F.col("law"), F.col("article_ref"), F.col("stmt.statementId"), F.col("stmt.description"))
+        rows = statements.select(
+            ident.alias("statement_id"), F.upper("law").alias("law"), "article_ref", source_clause(F.col("stmt.source_clause"), F.col("article_ref")).alias("source_clause"), "statement_json", "stmt",
+            *([F.col("warnings")] if "warnings" in statements.columns else []), *[c.alias(n) for n, c in denormalised("stmt").items()], order.alias("seq"),
+        )
+        return self.ingest(rows, "seq", replace)
+
+    def for_law(self, law: str) -> DataFrame:
+        return statements_for_law(self.read(), law)
+
 
 def by_concept(chunks: DataFrame, concept: str, law: str | None = None) -> DataFrame:
     out = chunks.filter(F.array_contains("concept_tags", concept))

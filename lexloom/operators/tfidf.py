@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.config import CONCEPT_QUERIES, MAX_TERMS, TOP_K
+from lexloom.sources.shared import shared_table
 
 #: Accented Latin letters and what is left of them without the accent.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
@@ -21,8 +22,14 @@ def terms(text: Column) -> Column:
 
 
 def counts(chunks: DataFrame) -> DataFrame:
-    """(law, chunk_id, term, tf)"""
-    return chunks.select("law", "chunk_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("law", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(law, chunk_id, term, tf). Terms are counted within the row of their chunk, from their sorted array: no shuffle. chunk_id is a
+    key; rows that repeat one are chunks of their own here."""
+    rows = chunks.select("law", "chunk_id", F.sort_array(terms(F.col("text"))).alias("s")).filter(F.size("s") > 0)
+    first = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    rows = rows.withColumn("i", first)
+    after = F.concat(F.slice("i", F.lit(2), F.greatest(F.size("i") - 1, F.lit(0))), F.array(F.size("s")))
+    runs = F.zip_with("i", after, lambda a, b: F.struct(F.get("s", a).alias("term"), (b - a).cast("long").alias("tf")))
+    return rows.select("law", "chunk_id", F.inline(runs))
 
 
 def fit(chunks: DataFrame, tf: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
@@ -32,7 +39,22 @@ def fit(chunks: DataFrame, tf: DataFrame, max_terms: int = MAX_TERMS) -> DataFra
     vocabulary = tf.groupBy("law", "term").agg(F.sum("tf").alias("ctf"), F.count(F.lit(1)).alias("df"))
     rank = F.row_number().over(Window.partitionBy("law").orderBy(F.desc("ctf"), "term"))
     kept = vocabulary.withColumn("_k", rank).filter(F.col("_k") <= max_terms).drop("_k")
-    return kept.join(F.broadcast(n), "law").select("law", "term", "ctf", "df", (F.log((F.lit(1) + F.col("n")) / (F.lit(1) + F.col("df"))) + 1).alias("idf"))
+    return kept.join(n, "law").select("law", "term", "ctf", "df", (F.log((F.lit(1) + F.col("n")) / (F.lit(1) + F.col("df"))) + 1).alias("idf"))
+
+
+def fitted(chunks: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
+    """The vocabulary as a table that was written once: what reads it is planned with its true size, so it is broadcast if small."""
+    return shared_table(chunks.sparkSession, fit(chunks, counts(chunks), max_terms), "vocabulary")
+
+
+def save(vocabulary: DataFrame, path: str) -> None:
+    """Replaces the laws that the vocabulary holds and leaves those of others."""
+    vocabulary.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("law").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """A saved vocabulary, to be used without another fit."""
+    return spark.read.schema("term string, ctf long, df long, idf double, law string").parquet(path).select("law", "term", "ctf", "df", "idf")
 
 
 def weights(tf: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -41,6 +63,7 @@ def weights(tf: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def norms(w: DataFrame) -> DataFrame:
+    """Rows of a chunk stand together, so their sums are combined before the shuffle."""
     return w.groupBy("law", "chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
@@ -49,28 +72,57 @@ def vectors(w: DataFrame) -> DataFrame:
     return w.join(norms(w), ["law", "chunk_id"]).select("law", "chunk_id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def queries_table(spark, queries: dict[str, str] | None = None) -> DataFrame:
-    return spark.createDataFrame(list((queries or CONCEPT_QUERIES).items()), "concept string, query string")
+def queries_table(spark: SparkSession, queries: dict[str, str] | None = None) -> DataFrame:
+    return spark.createDataFrame(list((CONCEPT_QUERIES if queries is None else queries).items()), "concept string, query string")
+
 
+def asked(concepts: DataFrame, queries: DataFrame) -> DataFrame:
+    """(concept, query): the query text of each concept, or else its name."""
+    return concepts.select("concept").distinct().join(queries, "concept", "left").select("concept", F.coalesce("query", "concept").alias("query"))
 
-def retrieve(chunks: DataFrame, queries: DataFrame, top_k: int = TOP_K, min_score: float = 0.0, max_terms: int = MAX_TERMS, tagged: bool = True) -> DataFrame:
+
+def retrieve(chunks: DataFrame, queries: DataFrame, top_k: int = TOP_K, min_score: float = 0.0, max_terms: int = MAX_TERMS, tagged: bool = True, vocabulary: DataFrame | None = None) -> DataFrame:
     """(law, concept, chunk_id, score, rk) for all laws and queries (concept, query) at once. Only chunks that carry the concept's
-    tag are candidates; ties go by chunk_id; candidates without a common term score 0."""
-    tf = counts(chunks)
-    vocabulary = fit(chunks, tf, max_terms)
-    w = weights(tf, vocabulary)
-    asked = F.broadcast(queries)  # one row a concept
+    tag are candidates; ties go by chunk_id; candidates without a common term score 0.
+
+    Chunks are read twice: for the vocabulary, unless one is given, and for the products, whose terms are summed up in the task that
+    reads them. Of the candidates that score 0 only as many as could be wanted are made.
+    """
+    vocabulary = fitted(chunks, max_terms) if vocabulary is None else vocabulary
+    idf = vocabulary.select("law", "term", "idf")
     q = queries.select("concept", F.explode(terms(F.col("query"))).alias("term")).groupBy("concept", "term").agg(F.count(F.lit(1)).alias("tf"))
-    qw = q.join(vocabulary.select("law", "term", "idf"), "term").select("law", "concept", "term", ((1 + F.log("tf")) * F.col("idf")).alias("qw"))
+    qw = shared_table(chunks.sparkSession, q.join(idf, "term").select("law", "concept", "term", ((1 + F.log("tf")) * F.col("idf")).alias("qw")), "asked")
     qn = qw.groupBy("law", "concept").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    dots = w.join(qw, ["law", "term"]).groupBy("law", "concept", "chunk_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    cand = chunks.select("law", "chunk_id", *(["concept_tags"] if tagged else [])).crossJoin(asked.select("concept"))
-    cand = (cand.filter(F.expr("array_contains(concept_tags, concept)")) if tagged else cand).select("law", "concept", "chunk_id")
-    scored = cand.join(dots, ["law", "concept", "chunk_id"], "left").join(norms(w), ["law", "chunk_id"], "left").join(qn, ["law", "concept"], "left")
-    score = F.coalesce(F.try_divide("dot", F.col("norm") * F.col("qn")), F.lit(0.0))
-    scored = scored.select("law", "concept", "chunk_id", score.alias("score")).filter(F.col("score") >= min_score)
-    rank = F.row_number().over(Window.partitionBy("law", "concept").orderBy(F.desc("score"), "chunk_id"))
-    return scored.withColumn("rk", rank).filter(F.col("rk") <= top_k)
+    by_term = qw.groupBy("law", "term").agg(F.collect_list(F.struct("concept", "qw")).alias("asking"))
+    w = weights(counts(chunks), vocabulary).join(by_term, ["law", "term"], "left")
+    # a row for the length of the chunk's vector, under no concept, and one for each concept that asks for the term
+    none = F.array(F.struct(F.lit(None).cast("string").alias("concept"), F.col("w").alias("qw")))
+    parts = w.select("law", "chunk_id", "w", F.explode(F.concat(none, F.coalesce("asking", F.expr("CAST(array() AS array<struct<concept:string,qw:double>>)")))).alias("x"))
+    sums = parts.groupBy("law", "chunk_id", "x.concept").agg(F.sum(F.col("w") * F.col("x.qw")).alias("v"))
+    own = sums.filter("concept IS NULL").select("law", "chunk_id", F.sqrt("v").alias("norm"))
+    scored = sums.filter("concept IS NOT NULL").join(own, ["law", "chunk_id"]).join(qn, ["law", "concept"])
+    scored = scored.select("law", "concept", "chunk_id", F.coalesce(F.try_divide("v", F.col("norm") * F.col("qn")), F.lit(0.0)).alias("score"))
+    every = queries.agg(F.array_sort(F.collect_set("concept")).alias("every"))  # one row
+    tags = F.array_intersect("concept_tags", "every") if tagged else F.col("every")
+    cand = chunks.select("law", "chunk_id", *(["concept_tags"] if tagged else [])).crossJoin(F.broadcast(every)).select("law", "chunk_id", F.explode(tags).alias("concept"))
+    if tagged:
+        scored = scored.join(cand.distinct(), ["law", "concept", "chunk_id"], "left_semi")
+    scored = scored.filter(F.col("score") >= min_score)
+    if min_score <= 0:
+        place = F.row_number().over(Window.partitionBy("law", "concept").orderBy("chunk_id"))
+        first = _top(scored, top_k).select("law", "concept", "chunk_id")
+        rest = cand.withColumn("_k", place).filter(F.col("_k") <= 2 * top_k).drop("_k").join(first, ["law", "concept", "chunk_id"], "left_anti")
+        scored = _top(scored, top_k).drop("rk").unionByName(rest.distinct().withColumn("score", F.lit(0.0)))
+    return _top(scored, top_k)
+
+
+def _top(scored: DataFrame, k: int) -> DataFrame:
+    """Scores that differ by the order of summation only are ties."""
+    rank = F.row_number().over(Window.partitionBy("law", "concept").orderBy(F.desc(F.round("score", 12)), "chunk_id"))
+    return scored.withColumn("rk", rank).filter(F.col("rk") <= k)
+
+
+NOTHING = "[No relevant text found for {concept} in {law}]"
 
 
 def prompt_texts(hits: DataFrame, chunks: DataFrame, separator: str = "\n\n---\n\n") -> DataFrame:
@@ -81,6 +133,17 @@ def prompt_texts(hits: DataFrame, chunks: DataFrame, separator: str = "\n\n---\n
     return grouped.select("law", "concept", F.array_join(F.transform("p", lambda x: x["t"]), separator).alias("prompt"))
 
 
+def nearest(rows: DataFrame, queries: DataFrame, top_k: int | None = TOP_K, min_score: float = -1.0) -> DataFrame:
+    """(qid, id, score, rk) of rows (id, vector) for each of a stated set of queries (qid, vector), by cosine; ties go by id. Without
+    top_k all that reach min_score, unranked. Every row meets every query: the set is to be small beside the rows."""
+    asked = queries.select("qid", F.col("vector").alias("q"))
+    scored = rows.select("id", "vector").crossJoin(asked).select("qid", "id", cosine(F.col("vector"), F.col("q")).alias("score")).filter(F.col("score") >= min_score)
+    if top_k is None:
+        return scored
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("rk", rank).filter(F.col("rk") <= top_k)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Of two dense arrays, in double precision; 0 where a length is 0."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

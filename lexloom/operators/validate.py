@@ -7,6 +7,7 @@ plain column expressions over typed statements.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass
 
@@ -44,6 +45,11 @@ def _many(name: str, kind: str, least: int = 1, other: str = "") -> Field:
     return Field(name, kind, least > 0, True, least, other=other or "".join(f"_{c.lower()}" if c.isupper() else c for c in name))
 
 
+# What the ids of each class begin with.
+ID_PREFIX = {
+    "Jurisdiction": "jur", "Regulation": "reg", "Actor": "act", "PersonalData": "dat", "ProcessingActivity": "prc", "DataTransfer": "xfr", "Purpose": "pur", "LegalBasis": "lb", "Constraint": "con", "Right": "rig",
+    "RetentionPolicy": "ret", "ConsentWithdrawal": "wdr", "PolicyStatement": "stmt", "PrivacyPolicy": "pol",
+}
 SOURCE = Field("source_clause", "str", other="sourceClause")
 CLASSES: dict[str, list[Field]] = {
     "Jurisdiction": [_id("jurisdictionId"), _text("name"), _text("description", False)],
@@ -75,10 +81,15 @@ def ddl(name: str) -> str:
     return f"struct<{', '.join(parts)}>"
 
 
-def _value(kind: str, x, at: list[str], errors: list[str]):
+def new_id(name: str, at: list[str], seed: str) -> str:
+    """The id of an object that was given none: the same for the same place of the same seed, however often it is computed."""
+    return f"{ID_PREFIX[name]}_{hashlib.sha1('|'.join([seed, name, *at]).encode()).hexdigest()[:8]}"
+
+
+def _value(kind: str, x, at: list[str], errors: list[str], seed: str):
     loc = ".".join(at)
     if kind in CLASSES:
-        return checked(kind, x, at, errors)
+        return checked(kind, x, at, errors, seed)
     if kind == "int":
         if isinstance(x, bool):
             return int(x)
@@ -101,8 +112,9 @@ def _value(kind: str, x, at: list[str], errors: list[str]):
     return x.strip()
 
 
-def checked(name: str, x, at: list[str], errors: list[str]) -> dict | None:
-    """The value with fields by their first names; what is wrong goes to errors as location and message."""
+def checked(name: str, x, at: list[str], errors: list[str], seed: str = "") -> dict | None:
+    """The value with fields by their first names; what is wrong goes to errors as location and message. Ids that are left out are made
+    up from the seed and the place."""
     if not isinstance(x, dict):
         errors.append(f"{'.'.join(at) or name}: not an object")
         return None
@@ -113,7 +125,7 @@ def checked(name: str, x, at: list[str], errors: list[str]) -> dict | None:
         if key is None:
             if f.required:
                 errors.append(f"{'.'.join(here)}: missing")
-            out[f.name] = [] if f.many else None if f.nullable else ""
+            out[f.name] = [] if f.many else None if f.nullable else new_id(name, at, seed) if f is CLASSES[name][0] and f.name.endswith("Id") else ""
             continue
         v = x[key]
         if v is None and f.nullable:
@@ -124,22 +136,23 @@ def checked(name: str, x, at: list[str], errors: list[str]) -> dict | None:
                 continue
             if len(v) < f.least:
                 errors.append(f"{'.'.join(here)}: at least {f.least} needed")
-            out[f.name] = [_value(f.kind, y, [*here, str(i)], errors) for i, y in enumerate(v)]
+            out[f.name] = [_value(f.kind, y, [*here, str(i)], errors, seed) for i, y in enumerate(v)]
         else:
-            out[f.name] = _value(f.kind, v, here, errors)
+            out[f.name] = _value(f.kind, v, here, errors, seed)
     if name == "DataTransfer" and out.get("mechanism") == "AdequacyDecision" and not out.get("adequacyDecisionRef"):
         errors.append(f"{'.'.join([*at, 'adequacyDecisionRef'])}: needed with AdequacyDecision")
     return out
 
 
-def validate_json(name: str, raw: str | None) -> tuple[str | None, list[str]]:
-    """(normalised JSON or None, errors); JSON that does not parse or is no object is an error."""
+def validate_json(name: str, raw: str | None, seed: str | None = None) -> tuple[str | None, list[str]]:
+    """(normalised JSON or None, errors); JSON that does not parse or is no object is an error. The seed of new ids is the JSON itself
+    unless one is given."""
     try:
         value = json.loads(raw or "")
     except ValueError:
         return None, [f"{name}: not JSON"]
     errors: list[str] = []
-    out = checked(name, value, [], errors)
+    out = checked(name, value, [], errors, (raw or "") if seed is None else seed)
     return (None if errors else json.dumps(out)), errors
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.config import CONCEPT_QUERIES, DELTA, ENUMS, FALLBACKS, JURISDICTIONS, KEYWORDS, LIST_CONCEPTS, MATRIX, MAX_TERMS, PASS1_CONCEPTS, SIGNAL_FIELD
+from lexloom.config import DELTA, ENUMS, FALLBACKS, JURISDICTIONS, KEYWORDS, MATRIX, MAX_TERMS, PASS1_CONCEPTS, PIPEDA_KEYWORDS
 from lexloom.functions.text import percent
 from lexloom.operators import extract as ex
 from lexloom.operators import gaps, store, tagging, tfidf
 from lexloom.operators.chunking import chunk, chunk_id, large_pieces, reference, segments
+from lexloom.operators.prompts import GUIDES, body
 from lexloom.operators.validate import ddl, statement_rules, validate
+from lexloom.plans.chunk_sql import chunk_sql, listed, pieces_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,13 +47,9 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.unionByName(right)
 
 
-def _list(values: list[str]) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
 _STATEMENTS = (
     "WITH stmt AS (SELECT 's' || s_suppkey AS statement_id, n_name AS law, "
-    + ", ".join(f"CASE WHEN s_acctbal > {least} THEN [{_list(ENUMS[enum])}[CAST(s_suppkey * {step} % {len(ENUMS[enum])} + 1 AS BIGINT)]] ELSE CAST([] AS VARCHAR[]) END AS {c}" for c, enum, step, least in _ARRAYS)
+    + ", ".join(f"CASE WHEN s_acctbal > {least} THEN [{listed(ENUMS[enum])}[CAST(s_suppkey * {step} % {len(ENUMS[enum])} + 1 AS BIGINT)]] ELSE CAST([] AS VARCHAR[]) END AS {c}" for c, enum, step, least in _ARRAYS)
     + ", false AS has_retention, false AS has_dpia, false AS has_consent_withdrawal FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'c' || c_custkey, n_name, "
     + ", ".join("CAST([] AS VARCHAR[])" for _ in _ARRAYS)
     + ", c_acctbal > 6000, c_mktsegment = 'BUILDING', c_acctbal < 2000 FROM customer JOIN nation ON c_nationkey = n_nationkey), "
@@ -119,10 +117,10 @@ def q9_matrix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.matrix(_cov(spark, sf_dir)).withColumns({"vals": F.array_join("vals", ","), "rate": F.round("rate", 6)})
 
 
-_WIDE = ["NATION_0", "NATION_1", "NATION_2"]
+_WIDE = [f"NATION_{i}" for i in range(25)]
 
 
-@query(_STATEMENTS + " UNION ALL ".join(f"SELECT {i} AS ord, '{label}' AS dimension, " + ", ".join(f"(SELECT round({f'{c} / total' if c in gaps.FLAGS else f'CAST(len({c}) AS DOUBLE)'}, 6) FROM cov WHERE law = '{law}') AS {law}" for law in _WIDE) for i, (label, c) in enumerate(MATRIX)))
+@query(_STATEMENTS + " UNION ALL ".join(f"SELECT {i} AS ord, '{label}' AS dimension, " + ", ".join(f"max(round({f'{c} / total' if c in gaps.FLAGS else f'CAST(len({c}) AS DOUBLE)'}, 6)) FILTER (law = '{law}') AS {law}" for law in _WIDE) + " FROM cov" for i, (label, c) in enumerate(MATRIX)))
 def q9_matrix_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = gaps.matrix_wide(_cov(spark, sf_dir), _WIDE)
     return out.select("ord", "dimension", *[F.round(law, 6).alias(law) for law in _WIDE])
@@ -166,7 +164,10 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("doc_id", "start", chunk_id(F.col("law"), reference(F.col("text")), F.col("text")).alias("chunk_id"))
 
 
-@query()
+_LONG = "WITH RECURSIVE long AS (SELECT doc_id, text AS body FROM documents WHERE length(text) > 4000), " + pieces_sql("long", "doc_id", "\n", "chr(10)")
+
+
+@query(_LONG + " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY d) - 1 AS INTEGER) AS pos, length(text) AS n, CAST(start AS BIGINT) AS start, sha1(text) AS digest FROM pieces")
 def split_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = _documents(spark, sf_dir).filter(F.length("text") > 4000)
     rows = long.select("doc_id", F.posexplode(large_pieces(F.col("text"), 4000, "\n", "\n")).alias("pos", "x"))
@@ -255,24 +256,22 @@ _TF = (
     f"WITH w AS (SELECT lang AS law, printf('%08d', doc_id) AS chunk_id, regexp_extract_all(translate(lower(text), '{tfidf.ACCENTED}', '{tfidf.PLAIN}'), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS a FROM documents), "
     "t AS (SELECT law, chunk_id, unnest(list_concat(a, list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]))) AS term FROM w), "
     "tf AS (SELECT law, chunk_id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT lang AS law, count(*) AS n FROM documents GROUP BY 1), "
-    "v AS (SELECT * FROM (SELECT law, term, sum(tf) AS ctf, count(*) AS df, row_number() OVER (PARTITION BY law ORDER BY sum(tf) DESC, encode(term)) AS k FROM tf GROUP BY 1, 2) WHERE k <= 512), "
+    f"v AS (SELECT * FROM (SELECT law, term, sum(tf) AS ctf, count(*) AS df, row_number() OVER (PARTITION BY law ORDER BY sum(tf) DESC, encode(term)) AS k FROM tf GROUP BY 1, 2) WHERE k <= {MAX_TERMS}), "
     "idf AS (SELECT v.law, term, ctf, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM v JOIN n USING (law)), "
     "x AS (SELECT law, chunk_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (law, term)), nm AS (SELECT law, chunk_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY 1, 2) "
 )
-_TERMS = 512
 
 
 @query(_TF + "SELECT law, term, CAST(ctf AS BIGINT) AS ctf, df, round(idf, 6) AS idf FROM idf")
 def tfidf_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _doc_chunks(spark, sf_dir)
-    return tfidf.fit(chunks, tfidf.counts(chunks), _TERMS).withColumn("idf", F.round("idf", 6))
+    return tfidf.fit(chunks, tfidf.counts(chunks)).withColumn("idf", F.round("idf", 6))
 
 
 @query(_TF + "SELECT law, term, count(*) AS n, round(sum(w / norm), 4) AS total FROM x JOIN nm USING (law, chunk_id) GROUP BY 1, 2")
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _doc_chunks(spark, sf_dir)
-    tf = tfidf.counts(chunks)
-    v = tfidf.vectors(tfidf.weights(tf, tfidf.fit(chunks, tf, _TERMS)))
+    v = tfidf.vectors(tfidf.weights(tfidf.counts(chunks), tfidf.fitted(chunks)))
     return v.groupBy("law", "term").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 4).alias("total"))
 
 
@@ -285,59 +284,89 @@ _TOP = _TF + (
 )
 
 
-def _hits(spark: SparkSession, sf_dir: str, terms: int) -> DataFrame:
-    return tfidf.retrieve(_doc_chunks(spark, sf_dir), tfidf.queries_table(spark, _ASKED), 3, 1e-9, terms, tagged=False)
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf.retrieve(_doc_chunks(spark, sf_dir), tfidf.queries_table(spark, _ASKED), 3, 1e-9, tagged=False)
+
 
+_RANKED = "r AS (SELECT law, concept, chunk_id, score, CAST(rk AS INTEGER) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY law, concept ORDER BY round(score, 12) DESC, chunk_id) AS rk FROM s) WHERE rk <= 3) "
 
-@query(_TOP.replace("nm AS", "nm AS").replace(") q AS", "), q AS") + "SELECT law, concept, round(score, 5) AS score, CAST(rk AS INTEGER) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY law, concept ORDER BY score DESC, chunk_id) AS rk FROM s) WHERE rk <= 3")
+
+@query(_TOP.replace(") q AS", "), q AS") + ", " + _RANKED + "SELECT law, concept, round(score, 5) AS score, rk FROM r")
 def retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(spark, sf_dir, _TERMS).select("law", "concept", F.round("score", 5).alias("score"), "rk")
+    return _hits(spark, sf_dir).select("law", "concept", F.round("score", 5).alias("score"), "rk")
 
 
-@query()
+@query(
+    _TOP.replace(") q AS", "), q AS") + ", " + _RANKED + "SELECT r.law, r.concept, string_agg('[Source: ' || r.law || ' | ' || d.source || ' | score=' || printf('%.3f', score) || ']' || chr(10) || d.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rk) AS prompt "
+    "FROM r JOIN documents d ON printf('%08d', d.doc_id) = r.chunk_id GROUP BY 1, 2"
+)
 def retrieve_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.prompt_texts(_hits(spark, sf_dir, MAX_TERMS), _doc_chunks(spark, sf_dir))
+    return tfidf.prompt_texts(_hits(spark, sf_dir), _doc_chunks(spark, sf_dir))
+
+
+_CAND = (
+    ", cand AS (SELECT lang AS law, printf('%08d', doc_id) AS chunk_id, c AS concept FROM (SELECT *, unnest({tags}) AS c FROM documents)), "
+    "every AS (SELECT law, concept, chunk_id, coalesce(score, 0) AS score FROM cand LEFT JOIN s USING (law, concept, chunk_id) WHERE concept IN (SELECT concept FROM z1)) "
+    "SELECT law, concept, chunk_id, round(score, 5) AS score, CAST(rk AS INTEGER) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY law, concept ORDER BY round(score, 12) DESC, chunk_id) AS rk FROM every) WHERE rk <= 40"
+)
+#: Texts that few of the tagged chunks share a term with, and a concept without a query of its own.
+_SPARSE = {"Licence": "apache 2.0 zzyzx", "Shout": "Shout"}
+
+
+@query((_TOP.replace(") q AS", "), z1 AS (SELECT unnest(" + listed(list(_SPARSE)) + ") AS concept), q AS").replace(", ".join(f"('{c}', string_split('{t}', ' '))" for c, t in _ASKED.items()), "('Licence', ['apache', 'zzyzx']), ('Shout', ['shout'])") + _CAND).replace("{tags}", _TAGS))
+def retrieve_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by tag, with those that score zero; the default of a concept without a query is its name."""
+    chunks = _doc_chunks(spark, sf_dir).withColumn("concept_tags", tagging.tags(F.col("text"), WORDS))
+    known = tfidf.queries_table(spark, {"Licence": _SPARSE["Licence"]})
+    queries = tfidf.asked(spark.createDataFrame([(c,) for c in _SPARSE], "concept string"), known)
+    return tfidf.retrieve(chunks, queries, 40).select("law", "concept", "chunk_id", F.round("score", 5).alias("score"), "rk")
 
 
 _COS = "WITH q AS (SELECT vec_id AS qid, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT qid, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])) AS score FROM embeddings, q) "
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated query set (ids divisible by 100) against all rows."""
-    rows = read(spark, sf_dir, "embeddings")
-    q = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe"))
-    return rows.crossJoin(q).select("qid", "vec_id", tfidf.cosine(F.col("embedding"), F.col("qe")).alias("score"))
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All rows, and a stated query set: ids divisible by 100."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return rows, rows.filter("id % 100 = 0").withColumnRenamed("id", "qid")
 
 
 @query(_COS + "SELECT qid, vec_id, round(score, 6) AS score, CAST(rk AS INTEGER) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rk FROM s) WHERE rk <= 5")
 def rank_by_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
-    return _scores(spark, sf_dir).withColumn("rk", rank).filter("rk <= 5").select("qid", "vec_id", F.round("score", 6).alias("score"), "rk")
+    return tfidf.nearest(*_vectors(spark, sf_dir), 5).select("qid", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rk")
 
 
 @query(_COS + "SELECT qid, vec_id, round(score, 6) AS score FROM s WHERE score >= 0.3")
 def embedding_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir).filter("score >= 0.3").withColumn("score", F.round("score", 6))
+    return tfidf.nearest(*_vectors(spark, sf_dir), None, 0.3).select("qid", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT doc_id, concept, CASE WHEN NOT list_contains({_TAGS}, concept) THEN 'no tag' END AS skipped FROM documents, (SELECT unnest({_list(list(WORDS))}) AS concept)")
+@query(f"SELECT doc_id, concept, CASE WHEN NOT list_contains({_TAGS}, concept) THEN 'no tag' END AS skipped FROM documents, (SELECT unnest({listed(list(WORDS))}) AS concept)")
 def extract_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.plan(_tagged(spark, sf_dir), list(WORDS)).select("doc_id", "concept", "skipped")
 
 
-@query("SELECT count(*) AS calls, count(DISTINCT conv_id) AS requests FROM conversations")
+_TURNS = "WITH t AS (SELECT conv_id, role <> 'user' AS ok, role = 'system' AS gone, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations), b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY ok DESC, n DESC) AS k FROM t), d AS (SELECT * FROM b WHERE k = 1) "
+
+
+@query(_TURNS + "SELECT (SELECT count(*) FROM t) AS calls, count(*) AS requests, count(*) FILTER (gone) AS absent, count(*) FILTER (NOT ok) AS failed, round(coalesce(count(*) FILTER (NOT ok) * 100.0 / nullif(count(*) - count(*) FILTER (gone), 0), 0), 6) AS failure_pct FROM d")
 def pipeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation is a request, its turns are the attempts."""
+    """A conversation is a request, its turns are the attempts: those of the user fail, those of the system tell of absence."""
+    return ex.stats(_log(spark, sf_dir)).withColumn("failure_pct", F.round("failure_pct", 6))
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations")
-    log = rows.select(F.lit("L").alias("law"), F.col("conv_id").cast("string").alias("article_ref"), F.lit("Purpose").alias("concept"), F.row_number().over(_turns()).alias("attempt"), (F.col("role") == "assistant").alias("success"), F.lit(False).alias("absent"), F.lit(None).cast("string").alias("json_str"), F.expr("CAST(array() AS array<string>)").alias("errors"))
-    return ex.stats(log).select("calls", "requests")
+    return rows.select(F.lit("L").alias("law"), F.col("conv_id").cast("string").alias("article_ref"), F.lit("Purpose").alias("concept"), F.row_number().over(_turns()).alias("attempt"), (F.col("role") != "user").alias("success"), (F.col("role") == "system").alias("absent"), F.concat(F.lit("n"), F.row_number().over(_turns())).alias("json_str"), F.expr("CAST(array() AS array<string>)").alias("errors"))
 
 
-def _turns():
-    from pyspark.sql import Window
+@query(_TURNS + "SELECT CAST(conv_id AS VARCHAR) AS article_ref, ok AS success, gone AS absent, 'n' || n AS json_str, CAST((SELECT max(n) FROM t WHERE t.conv_id = d.conv_id) AS INTEGER) AS attempts FROM d")
+def attempt_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each request the attempt that succeeded last, or else the last."""
+    return ex.results(_log(spark, sf_dir)).select("article_ref", "success", "absent", "json_str", "attempts")
+
 
+def _turns():
     return Window.partitionBy("conv_id").orderBy("turn")
 
 
@@ -369,7 +398,7 @@ def _chunked(name: str, law: str) -> None:
         rows = chunk(_statutes(spark).filter(F.col("law") == law), laws=[law])
         return rows.withColumn("concept_tags", F.array_join("concept_tags", ","))
 
-    QUERIES[name] = run
+    QUERIES[name], ORACLE_SQL[name] = run, chunk_sql(law, STATUTES[law])
 
 
 for _name, _law in (("chunk_gdpr", "GDPR"), ("chunk_ccpa", "CCPA"), ("chunk_pipeda", "PIPEDA"), ("chunk_lgpd", "LGPD"), ("chunk_generic", "OTHER"), ("chunk_flat", "FLAT")):
@@ -416,17 +445,29 @@ def wrap_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("i", ex.wrap(F.col("concept"), F.col("j")).alias("wrapped"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{FALLBACKS[c]}', {str(c in LIST_CONCEPTS).lower()}, '{SIGNAL_FIELD[c]}')" for c in PASS1_CONCEPTS) + ") AS t(concept, fallback, listed, signal)")
-def concept_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(c, c in LIST_CONCEPTS, SIGNAL_FIELD[c]) for c in PASS1_CONCEPTS], "concept string, listed boolean, signal string")
-    return df.select("concept", ex.fallback(F.col("concept"), F.lit(None).cast("string")).alias("fallback"), "listed", "signal")
+_PICK = f"{listed(PASS1_CONCEPTS)}[CAST(event_id % {len(PASS1_CONCEPTS)} + 1 AS BIGINT)]"
+_DEFAULT = "CASE concept " + " ".join(f"WHEN '{c}' THEN '{FALLBACKS[c]}'" for c in PASS1_CONCEPTS) + " END"
+
+
+@query(f"SELECT event_id, concept, coalesce(CASE WHEN value >= 50 THEN props END, {_DEFAULT}) AS json_str FROM (SELECT event_id, value, props, {_PICK} AS concept FROM events)")
+def concept_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands for a concept without an answer."""
+    concept = F.element_at(F.array(*[F.lit(c) for c in PASS1_CONCEPTS]), (F.col("event_id") % len(PASS1_CONCEPTS) + 1).cast("int"))
+    rows = read(spark, sf_dir, "events").select("event_id", concept.alias("concept"), F.when(F.col("value") >= 50, F.col("props")).alias("raw"))
+    return rows.select("event_id", "concept", ex.fallback(F.col("concept"), F.col("raw")).alias("json_str"))
+
 
+_CODES = [*JURISDICTIONS, "XX"]
+_PLACES = "(VALUES " + ", ".join(f"('{k}', '{v[0]}', '{v[1]}', '{v[2]}')" for k, v in JURISDICTIONS.items()) + ") AS j(law, id, name, about)"
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v[0]}', '{v[1]}')" for k, v in [*JURISDICTIONS.items(), ("XX", ("XX", "XX", ""))]) + ") AS t(law, id, name)")
+
+@query(f"WITH c AS (SELECT n_name, upper({listed(_CODES)}[CAST(n_nationkey % {len(_CODES)} + 1 AS BIGINT)]) AS law FROM nation) SELECT n_name, c.law, coalesce(j.id, c.law) AS id, coalesce(j.name, c.law) AS name, coalesce(j.about, '') AS about, n_name AS source FROM c LEFT JOIN {_PLACES} ON j.law = c.law")
 def jurisdictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(k,) for k in [*JURISDICTIONS, "XX"]], "law string")
-    r = ex.regulation(F.col("law"), F.lit("Article 1"))
-    return df.select("law", F.get_json_object(r, "$.jurisdiction[0].jurisdictionId").alias("id"), F.get_json_object(r, "$.jurisdiction[0].name").alias("name"))
+    """The regulation that a law stands for, or a generic one; codes in either case."""
+    code = F.element_at(F.array(*[F.lit(c.lower()) for c in _CODES]), (F.col("n_nationkey") % len(_CODES) + 1).cast("int"))
+    df = read(spark, sf_dir, "nation").select("n_name", code.alias("law"))
+    of = lambda path: F.get_json_object(ex.regulation(F.col("law"), F.col("n_name")), path)
+    return df.select("n_name", of("$.name").alias("law"), of("$.jurisdiction[0].jurisdictionId").alias("id"), of("$.jurisdiction[0].name").alias("name"), of("$.description").alias("about"), of("$.source_clause").alias("source"))
 
 
 def _typed(spark: SparkSession) -> DataFrame:
@@ -452,13 +493,26 @@ def percent_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(0, 0.125), (1, 0.375), (2, 0.3), (3, 0.0), (4, 1.0)], "i int, x double").select("i", percent(F.col("x")).alias("shown"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {len(words)})" for c, words in KEYWORDS.items()) + ") AS t(concept, n)")
-def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(c, w) for c, words in KEYWORDS.items() for w in words], "concept string, keyword string")
-    return df.groupBy("concept").agg(F.count(F.lit(1)).cast("int").alias("n"))
+_SAID = [(law, f"So {w.upper() if i % 2 else w}, it says") for table in (KEYWORDS, PIPEDA_KEYWORDS) for words in table.values() for i, w in enumerate(words) for law in ("GDPR", "pipeda")]
+_BY_TABLE = ["list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(t, {listed([w])[1:-1]})" for w in words) + f" THEN '{c}' END" for c, words in table.items()) + "], lambda x: x IS NOT NULL)" for table in (PIPEDA_KEYWORDS, KEYWORDS)]
 
 
-@query()
+@query(f"SELECT law, text, array_to_string(CASE WHEN law = 'pipeda' THEN {_BY_TABLE[0]} ELSE {_BY_TABLE[1]} END, ',') AS tags FROM (SELECT *, lower(text) AS t FROM (SELECT unnest({listed([law for law, _ in _SAID])}) AS law, unnest({listed([t for _, t in _SAID])}) AS text))")
+def law_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every keyword of either table, in both cases, under a law of each table."""
+    return tagging.tag(spark.createDataFrame(_SAID, "law string, text string")).select("law", "text", F.array_join("concept_tags", ",").alias("tags"))
+
+
+_ASKS = list(GUIDES)
+_BODIES = "CASE concept " + " ".join(f"WHEN '{c}' THEN {listed([body(c)])[1:-1]}" for c in _ASKS) + " END"
+
+
+@query(f"SELECT doc_id, concept, 'Law: ' || lang || chr(10) || 'Provision: ' || source || chr(10) || {_BODIES} || chr(10) || chr(10) || 'Text:' || chr(10) || text AS prompt FROM (SELECT *, {listed(_ASKS)}[CAST(doc_id % {len(_ASKS)} + 1 AS BIGINT)] AS concept FROM documents)")
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([("GDPR", "Article 6", c, q) for c, q in CONCEPT_QUERIES.items()], "law string, article_ref string, concept string, text string")
-    return ex.prompts(df)
+    concept = F.element_at(F.array(*[F.lit(c) for c in _ASKS]), (F.col("doc_id") % len(_ASKS) + 1).cast("int"))
+    return ex.prompts(_documents(spark, sf_dir).withColumnRenamed("source", "article_ref").withColumn("concept", concept)).select("doc_id", "concept", "prompt")
+
+
+@query(_delta_sql("a.law <> b.law").replace("WITH stmt", "WITH dl AS (WITH stmt", 1) + "), p AS (SELECT a.n_name AS law_a, b.n_name AS law_b FROM nation a, nation b WHERE a.n_name <> b.n_name AND a.n_name IN (SELECT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey UNION SELECT n_name FROM nation JOIN customer ON c_nationkey = n_nationkey) AND b.n_name IN (SELECT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey UNION SELECT n_name FROM nation JOIN customer ON c_nationkey = n_nationkey)), l AS (SELECT law_a, law_b, string_agg('  ' || dimension || ': ' || CASE WHEN missing = '' THEN '(structural gap)' ELSE array_to_string(list_sort(string_split(missing, ',')), ', ') END || CASE WHEN note <> '' THEN chr(10) || '    → ' || note ELSE '' END, chr(10) ORDER BY ord) AS t FROM dl GROUP BY 1, 2) SELECT law_a, law_b, CASE WHEN t IS NULL THEN 'No gaps found: ' || law_a || ' and ' || law_b || ' appear equivalent.' ELSE 'Obligations in ' || law_a || ' not present in ' || law_b || ':' || chr(10) || chr(10) || t END AS summary FROM p LEFT JOIN l USING (law_a, law_b)")
+def q8_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gaps.summaries(_cov(spark, sf_dir))

@@ -12,36 +12,68 @@ from lexloom.operators import extract as ex
 from lexloom.operators import store as st
 from lexloom.operators import tfidf
 from lexloom.operators.chunking import chunk
+from lexloom.operators.retriever import fitted_embedder
 from lexloom.operators.validate import ddl, statement_rules, validate
 from lexloom.plans.report import Report
+from lexloom.sources import xmi
 from lexloom.sources.laws import parse_specs, read_laws
+from lexloom.sources.shared import shared_table
 
 
 def ingest(spark: SparkSession, laws: dict[str, str], store: st.ParquetStore, min_chars: int = MIN_CHUNK, max_chars: int = MAX_CHUNK) -> int:
     return store.ingest(chunk(read_laws(spark, laws), min_chars, max_chars, list(laws)))
 
 
-def extract(chunks: DataFrame, out: str, backend: ex.Backend | None = None, top_k: int = TOP_K, retries: int = RETRIES, articles: str | None = None, use_tags: bool = True) -> DataFrame:
+def extract(chunks: DataFrame, out: str, backend: ex.Backend | None = None, top_k: int = TOP_K, retries: int = RETRIES, articles: str | None = None, use_tags: bool = True, vocabulary: str | None = None) -> DataFrame:
     """Attempts, as written to `out`. The passages of a concept are retrieved once a law, not once an article; with the rule-based
-    back end the article's own text is read as well."""
+    back end the article's own text is read as well. An actor is always asked for: no keyword tags one, and a statement needs one."""
     spark = chunks.sparkSession
     own = chunks.filter(F.col("level").isin(st.STRUCTURAL_LEVELS)).filter(st.article_filter(F.col("article_ref"), articles))
     rows = own.groupBy("law", "article_ref").agg(F.array_distinct(F.flatten(F.collect_list("concept_tags"))).alias("concept_tags"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n\n").alias("own_text"))
     planned = ex.plan(rows, PASS1_CONCEPTS, use_tags)
-    hits = tfidf.prompt_texts(tfidf.retrieve(chunks, tfidf.queries_table(spark), top_k), chunks)
+    terms = fitted_embedder(chunks, vocabulary).vocabulary if vocabulary else None
+    asked = tfidf.asked(spark.createDataFrame([(c,) for c in PASS1_CONCEPTS], "concept string"), tfidf.queries_table(spark))
+    hits = tfidf.prompt_texts(tfidf.retrieve(chunks, asked, top_k, vocabulary=terms), chunks)
     wanted = planned.filter(F.col("skipped").isNull() | (F.col("concept") == "Actor")).join(hits, ["law", "concept"], "left")
     text = F.concat_ws("\n\n", "own_text", "prompt") if backend else F.col("own_text")
     ex.extract(wanted.select("law", "article_ref", "concept", text.alias("text")), backend, retries).write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
 
+def built(attempts: DataFrame, out: str | None = None, backend: ex.Backend | None = None, retries: int = RETRIES) -> DataFrame:
+    """(law, article_ref, statement_json, errors): the statement of each article, put together by rule, or by a back end whose attempts
+    are written to `out`."""
+    done = ex.results(attempts)
+    if backend is None:
+        return ex.assemble(done).select("law", "article_ref", "statement_json", F.transform("missing", lambda m: F.concat(m, F.lit(": nothing found"))).alias("errors"))
+    ex.assembled(done, backend, retries).write.mode("overwrite").parquet(out)
+    last = F.max_by(F.struct("statement_json", "errors"), "attempt").alias("b")
+    return attempts.sparkSession.read.parquet(out).groupBy("law", "article_ref").agg(last).select("law", "article_ref", "b.statement_json", "b.errors")
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """rows of `built`, typed, with warnings, and with all that speaks against a statement as `errors` (none: it is valid)."""
+    known = validate(rows.withColumn("concept", F.lit("PolicyStatement")).withColumnRenamed("errors", "before"), "concept", "statement_json")
+    ruled = statement_rules(known.withColumn("stmt", F.from_json("normal", ddl("PolicyStatement"))))
+    # what validation says is said of what a missing part left; the parts come first
+    return ruled.withColumn("errors", F.concat("before", F.when(F.col("valid"), F.col("rule_errors")).otherwise(F.col("errors"))))
+
+
+def rejects(rows: DataFrame) -> DataFrame:
+    """(law, article_ref, statement_json, errors): articles without a valid statement, and why."""
+    return judged(rows).filter(F.size("errors") > 0).select("law", "article_ref", "statement_json", "errors")
+
+
+def valid(rows: DataFrame) -> DataFrame:
+    """(law, article_ref, statement_json, stmt, warnings) of the valid statements, as a StatementStore takes them."""
+    return judged(rows).filter(F.size("errors") == 0).select("law", "article_ref", "statement_json", "stmt", "warnings")
+
+
 def statements(attempts: DataFrame) -> DataFrame:
-    """Valid statements with id, typed tree, denormalised columns, rule warnings and errors."""
-    built = ex.assemble(ex.results(attempts)).withColumn("concept", F.lit("PolicyStatement"))
-    ok = validate(built, "concept", "statement_json").filter("valid").withColumn("stmt", F.from_json("normal", ddl("PolicyStatement")))
-    out = statement_rules(ok).filter(F.size("rule_errors") == 0)
+    """Valid statements with id, typed tree, denormalised columns and rule warnings."""
+    rows = valid(built(attempts))
     ident = st.statement_id(F.col("law"), F.col("article_ref"), F.col("stmt.statementId"), F.col("stmt.description"))
-    return out.select(ident.alias("statement_id"), "law", "article_ref", st.source_clause(F.col("stmt.source_clause"), F.col("article_ref")).alias("source_clause"), "statement_json", "stmt", "warnings", *[c.alias(n) for n, c in st.denormalised("stmt").items()])
+    return rows.select(ident.alias("statement_id"), "law", "article_ref", st.source_clause(F.col("stmt.source_clause"), F.col("article_ref")).alias("source_clause"), "statement_json", "stmt", "warnings", *[c.alias(n) for n, c in st.denormalised("stmt").items()])
 
 
 def analyse(rows: DataFrame, path: str | None = None) -> str:
@@ -64,24 +96,32 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--dry-run", action="store_true")
     p.add_argument("--url", help="OpenAI-compatible endpoint; without it the rules answer")
     p.add_argument("--model", default="")
+    p.add_argument("--hosted", action="store_true", help="the endpoint speaks the messages protocol; its key is in LEXLOOM_API_KEY")
     p.add_argument("--report")
+    p.add_argument("--xmi", help="folder for a file of each statement")
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("lexloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    store = st.ParquetStore(spark, f"{a.work}/chunks")
-    backend = ex.dry_run_backend if a.dry_run else ex.HttpBackend(a.url, a.model) if a.url else None
+    store, done = st.ParquetStore(spark, f"{a.work}/chunks"), st.StatementStore(spark, f"{a.work}/statements")
+    kind = ex.HostedBackend if a.hosted else ex.HttpBackend
+    backend = ex.dry_run_backend if a.dry_run else kind(a.url, a.model) if a.url else None
+    if isinstance(backend, ex.HttpBackend) and a.stage in ("extract", "assemble", "all"):
+        backend.check()
     if a.stage in ("ingest", "all"):
         print(f"{ingest(spark, parse_specs(a.laws), store)} new chunks")
     if a.stage in ("extract", "all"):
-        print(extract(store.read(), f"{a.work}/attempts", backend, a.top_k, a.retries, a.articles, not a.no_concept_tags).transform(ex.stats).first())
+        print(extract(store.read(), f"{a.work}/attempts", backend, a.top_k, a.retries, a.articles, not a.no_concept_tags, f"{a.work}/vocabulary").transform(ex.stats).first())
     if a.stage in ("assemble", "all"):
-        statements(spark.read.parquet(f"{a.work}/attempts")).write.mode("overwrite").partitionBy("law").parquet(f"{a.work}/statements")
+        rows = shared_table(spark, built(spark.read.parquet(f"{a.work}/attempts"), f"{a.work}/assembly", backend, a.retries), "built")
+        rejects(rows).write.mode("overwrite").parquet(f"{a.work}/rejects")
+        print(f"{done.store_many(valid(rows))} statements stored, {spark.read.parquet(f'{a.work}/rejects').count()} articles without one")
+        if a.xmi and done.exists():
+            print(f"{xmi.write_statements(done.read(), a.xmi)} XMI files")
     if a.stage in ("analyse", "all"):
-        rows = spark.read.parquet(f"{a.work}/statements")
-        print("The repository is empty." if rows.isEmpty() else analyse(rows, a.report))
+        print("The repository is empty." if not done.exists() or done.read().isEmpty() else analyse(done.read(), a.report))
     return 0
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import xml.etree.ElementTree as ET
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.config import ENUMS
 from lexloom.operators.validate import CLASSES
+from lexloom.sources.shared import filesystem
 
 NS = "http://example.org/lexloom/policy"
 XMI = "http://www.omg.org/XMI"
@@ -59,6 +60,30 @@ def statements_xmi(statements: DataFrame) -> DataFrame:
     return statements.select("law", F.concat(F.lower("law"), F.lit("_"), slug(F.col("article_ref")), F.lit(".xmi")).alias("file"), run("statement_json").alias("xmi"))
 
 
+def write_statements(statements: DataFrame, folder: str) -> int:
+    """A file LAW_ARTICLE.xmi of each statement in the folder, in whatever store that is; returns how many. Of statements of one name
+    the last id stays. Files are written by the driver, one at a time, as rows come in."""
+    rows = statements_xmi(statements.groupBy("law", "article_ref").agg(F.max_by("statement_json", "statement_id").alias("statement_json")))
+    n = 0
+    for r in rows.toLocalIterator():
+        put(statements.sparkSession, f"{folder.rstrip('/')}/{r['file']}", r["xmi"])
+        n += 1
+    return n
+
+
+def put(spark: SparkSession, path: str, text: str) -> None:
+    fs, at = filesystem(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_ecore(spark: SparkSession, path: str) -> None:
+    put(spark, path, ecore())
+
+
 def ecore() -> str:
     """The model as one flat package: an enumeration for each vocabulary, a class for each class, all references contained."""
     E = "http://www.eclipse.org/emf/2002/Ecore"

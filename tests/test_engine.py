@@ -116,7 +116,7 @@ def test_store_is_idempotent(spark, tmp_path):
 
 def test_retries_and_absence():
     answers = iter(["nonsense", '{"name": "x", "role": "Nobody"}', '```json\n{"name": "x", "role": "ThirdParty"}\n```'])
-    got = ex.attempts_of("Actor", "GDPR", "Article 1", "text", lambda s, u: next(answers))
+    got = ex.attempts_of("Actor", "GDPR", "Article 1", "text", lambda s, u, n: next(answers))
     assert [g[1] for g in got] == [False, False, True]
     assert ex.attempts_of("Right", "GDPR", "Article 1", "text", ex.dry_run_backend)[0][2]
     with pytest.raises(ValueError):
