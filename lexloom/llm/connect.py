@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import checkpointed
 
 
+#: So few edges that one task can hold them: they are finished there, which spares the rounds.
+FEW = 100_000
 #: Vertices of a partition's forest that are held at once; more edges start a new one.
 HELD = 500_000
 
@@ -47,7 +49,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Rows with a null end and loops are no edges; repeated edges count once; no edges give an empty result. Every round is two
     shuffles of at most one row a vertex and edge and is checkpointed; the number of rounds grows with the logarithm of the
-    longest path.
+    longest path, and ends where FEW edges are left or nothing changes.
     """
     e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
     e = e.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").mapInArrow(_forest, "u long, v long").distinct()
@@ -55,6 +57,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = checkpointed(e)
     while True:
         seen = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if seen["n"] <= FEW and seen != state:
+            e = checkpointed(e.repartition(1).mapInArrow(_forest, "u long, v long").filter("u <> v"))
+            state = seen
         if seen == state or not seen["n"]:
             return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component_id")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
         state = seen

@@ -4,7 +4,7 @@ Each collection holds SIDE keys of two minhashes; the SIDE * SIDE tables are key
 minhashes do the work of 4 * SIDE * SIDE. A pair of similarity 0.8 misses all tables with a chance of 2 * 0.36 ** SIDE.
 
 Pairs are taken from the buckets in two steps, neither of which makes all pairs of a bucket. First each set meets the most central
-set of its buckets, which joins large groups at one pair a set. Then the sets of buckets that still hold several components meet
+set of its buckets, which joins large groups at one pair a set; and again, as far as components still share buckets. Then the sets of buckets that still hold several components meet
 where a filter on their rarest shingles, which is exact, can't rule a link out, and only across components.
 """
 
@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.llm.common import U64, column_bytes, discard, mix64, runs, shared_table, shingle_hashes, table, word_hashes
+from lexloom.llm.common import U64, column_bytes, discard, forget, mix64, runs, shared_table, shingle_hashes, table, word_hashes
 from lexloom.llm.connect import components
 
 SIDE = 9
 _N = 4 * SIDE
+#: Rounds of pairs with the sets that lead the buckets, as long as they find links; pairs of a set in each but the first; leaders.
+ROUNDS, PICKS, LEADERS = 3, 4, 8
 #: Sets that differ in size by less than this factor share a size class of the filter.
 WIDTH = 1.03
 
@@ -56,6 +58,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
     empty set)."""
 
     def run(batches):
+        forget()
         for batch in batches:
             sizes, digest, rows = [], [], []
             for texts in runs(column_bytes(batch, "text")):
@@ -95,6 +98,36 @@ def _shared_keys(keys: DataFrame) -> DataFrame:
     return pairs.unionByName(keys.join(found.filter("members > 2").select("key", "members"), "key").select("key", "id", "members"))
 
 
+def _mixed(keys: DataFrame, found: DataFrame) -> DataFrame:
+    """keys (key, id, weight) with the component c of each id and its size, of the buckets that hold several components."""
+    sizes = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("size"))
+    at = keys.join(found.join(sizes, "component_id"), "id", "left").select("key", "id", "weight", F.coalesce("component_id", "id").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
+    several = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+    return at.join(several, "key")
+
+
+def _stars(keys: DataFrame, found: DataFrame, met: DataFrame | None, picks: int) -> DataFrame:
+    """(a, b): for each id of a mixed bucket, of the ids that lead its buckets and are of another component, so many that lead most of
+    them; pairs that have met are left out.
+
+    A bucket is led by the most central ids of its largest component, which most of what may be linked to it at all is linked to; and by
+    that of the next component.
+    """
+    at = _mixed(keys, found).withColumn("r", F.struct("size", "weight"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("size"), F.desc("weight"), "id"))
+    first = at.withColumn("k", place).filter(F.col("k") <= LEADERS)
+    top = first.filter("k = 1").select("key", F.col("c").alias("c1"))
+    next_ = at.join(top, "key").filter("c <> c1").groupBy("key").agg(F.max(F.struct("r", "id", "c")).alias("x")).select("key", "x.r", "x.id", "x.c")
+    lead = first.select("key", "r", "id", "c").unionByName(next_).select("key", F.col("r").alias("rb"), F.col("id").alias("b"), F.col("c").alias("cb"))
+    often = at.join(lead, "key").filter("c <> cb").groupBy("id", "b").agg(F.count(F.lit(1)).alias("n"), F.max("rb").alias("r"))
+    if met is not None:
+        known = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+        often = often.join(known.select(F.col("a").alias("id"), "b"), ["id", "b"], "left_anti")
+    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), F.desc("r"), "b"))
+    picked = often.withColumn("k", best).filter(F.col("k") <= picks)
+    return picked.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+
+
 def _shingles_of(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     """(id, n, shingles array<long>) of the classes reps (id, doc_id, hash): read again from the text of one row each."""
 
@@ -149,15 +182,21 @@ def _across(rest: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     lowest = F.greatest(least, F.floor(F.pow(F.lit(WIDTH), F.col("s"))) - 1)
     large = large.filter(F.col("at") <= F.col("n") - _least_overlap(lowest, F.col("n"), percent))
     large = large.select(F.xxhash64("t", "s").alias("key"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("at").alias("j"), F.col("n").alias("nb"))
-    # components first: members of one component never meet, however many there are
-    meet = small.select("key", "ca").distinct().join(large.select("key", "cb").distinct(), "key").filter("ca <> cb")
+    # components first: members of one component never meet, however many there are; then the side of fewer members, so that a large
+    # component is laid beside a small one only where the sizes and places fit
+    sides = small.groupBy("key", "ca").agg(F.count(F.lit(1)).alias("ma")).join(large.groupBy("key", "cb").agg(F.count(F.lit(1)).alias("mb")), "key")
+    meet = shared_table(spark, sides.filter("ca <> cb"), "meet")
     need = _least_overlap(F.col("na"), F.col("nb"), percent)
     fits = (F.col("na") <= F.col("nb")) & (F.col("na") - F.col("i") >= need) & (F.col("nb") - F.col("j") >= need)
-    small, large = small.alias("x"), large.alias("y")
-    found = meet.join(small, ["key", "ca"]).alias("m").join(large, (F.col("m.key") == F.col("y.key")) & (F.col("m.cb") == F.col("y.cb")) & fits)
+
+    def met(pairs: DataFrame, one: DataFrame, c1: str, other: DataFrame, c2: str) -> DataFrame:
+        one = pairs.select("key", "ca", "cb").join(one, ["key", c1]).alias("m")
+        return one.join(other.alias("y"), (F.col("m.key") == F.col("y.key")) & (F.col(f"m.{c2}") == F.col(f"y.{c2}")) & fits).select("a", "b")
+
+    found = met(meet.filter("ma <= mb"), small, "ca", large, "cb").unionByName(met(meet.filter("ma > mb"), large, "cb", small, "ca"))
     found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     out = shared_table(spark, found, "across")
-    discard(rows, placed)
+    discard(rows, placed, meet)
     return out
 
 
@@ -176,25 +215,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = shared_table(spark, classes.select(F.monotonically_increasing_id().alias("id"), "set", "r.doc_id", "r.hash", "sig"), "classes")
     member = shared_table(spark, full.select("set", "doc_id").join(classes.select("set", "id", F.col("doc_id").alias("least")), "set").select("doc_id", "id", "least").distinct(), "members")
 
-    keys = shared_table(spark, _shared_keys(classes.select("id", "sig").mapInArrow(_table_keys, "key long, id long")), "keys")
+    keys = _shared_keys(classes.select("id", "sig").mapInArrow(_table_keys, "key long, id long"))
+    keys = shared_table(spark, keys, "keys")
     central = keys.groupBy("id").agg(F.sum("members").alias("weight"))
+    weighted = shared_table(spark, keys.join(central, "id").select("key", "id", "weight"), "keys")
     held = shared_table(spark, _shingles_of(docs, classes.join(central, "id", "left_semi"), k), "shingles")
-    pivots = keys.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", "id")).alias("p"))
-    stars = keys.join(pivots, "key").filter("id <> p.id").groupBy("id").agg(F.max("p").alias("p")).select(F.col("id").alias("a"), F.col("p.id").alias("b"))
-    links = shared_table(spark, verified(stars, held, percent), "links")
     # one id on several texts: its classes are one vertex
     several = member.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("most")).filter("b <> most").select("doc_id", "b")
-    several = member.join(several, "doc_id").select(F.col("id").alias("a"), "b").filter("a <> b")
-    links = shared_table(spark, links.unionByName(several), "links")
-    final = components(links, "a", "b")
-
-    at = keys.join(final, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
-    mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    rest = at.join(mixed, "key").select("id", "c").distinct()
+    links = member.join(several, "doc_id").select(F.col("id").alias("a"), "b").filter("a <> b")
+    found, met = components(links, "a", "b"), None
+    for n in range(ROUNDS):
+        pairs = shared_table(spark, _stars(weighted, found, met, PICKS if n else 1), "stars")
+        new = shared_table(spark, verified(pairs, held, percent), "links")
+        if new.isEmpty():
+            break
+        links, met = links.unionByName(new), pairs if met is None else met.unionByName(pairs)
+        found = components(links, "a", "b")
+    rest = _mixed(weighted, found).select("id", "c").distinct()
     late = shared_table(spark, verified(_across(rest, held, percent), held, percent), "links")
-    if not late.isEmpty():
-        final = components(links.unionByName(late), "a", "b")
-    discard(keys, held)
+    final = found if late.isEmpty() else components(links.unionByName(late), "a", "b")
+    discard(keys, weighted, held)
 
     # the smallest id of a component is that of its classes
     named = final.join(classes.select("id", "doc_id"), "id")
