@@ -12,8 +12,6 @@ import base64
 import gc
 import hashlib
 import heapq
-import sys
-import types
 from array import array
 
 import pyarrow as pa
@@ -21,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import carry, column_bytes, table
+from lexloom.llm.common import carry, column_bytes, remembered, table
 
 #: Distinct words whose ids a task remembers from block to block.
 REMEMBERED = 800_000
@@ -37,7 +35,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Vocabulary:
-    """tokens: bytes by id; pairs: id of what two ids merge to, under first << 32 | second."""
+    """tokens: bytes by id; pairs: id of what two ids merge to, under first << 32 | second. All 256 bytes have to be tokens."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -48,7 +46,14 @@ class Vocabulary:
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     self.pairs[a << 32 | b] = rank
-        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        missing = [b for b in range(256) if bytes([b]) not in ranks]
+        if missing:
+            raise ValueError(f"the vocabulary has no token for the bytes {missing}")
+        self.single = [ranks[bytes([b])] for b in range(256)]
+        digest = hashlib.sha256()
+        for token, rank in sorted(ranks.items()):
+            digest.update(b"%d %d " % (rank, len(token)) + token)
+        self.digest = digest.hexdigest()
 
 
 def replay(vocabulary: Vocabulary, words: list[bytes]) -> list[bytes]:
@@ -141,8 +146,7 @@ class Encoder:
 
         self.vocabulary, self.find = vocabulary, regex.compile(pattern).findall
         # a Python worker serves many tasks: what it has merged for one it knows for the next
-        place = sys.modules.setdefault("_lexloom_worker", types.ModuleType("_lexloom_worker"))
-        self.known: dict[str, bytes] = place.__dict__.setdefault(f"words {hash((pattern, len(vocabulary.ranks), len(vocabulary.pairs)))}", {})
+        self.known: dict[str, bytes] = remembered(f"words {vocabulary.digest} {pattern}")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; the texts are one block, whose new words are merged together."""
@@ -181,8 +185,9 @@ def _blocks(texts: list[str], size: int = 4 << 20):
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool = False) -> DataFrame:
     """docs with `ids` (binary: little-endian unsigned 32-bit integers) and `n_tokens`, in place of columns of these names.
 
-    Null text counts as empty: no ids. Repeated rows are encoded alike; an empty table gives an empty result. With digests,
-    `ids_sha256` and `decoded_sha256` stand for the ids, which are decoded again for the second.
+    Null text counts as empty: no ids. Repeated rows are encoded alike, very long texts whole; null ids make no difference; an empty
+    table gives an empty result. With digests, `ids_sha256` and `decoded_sha256` stand for the ids, which are decoded again for
+    the second. A vocabulary without a token for each byte is refused.
     """
     kept = docs.drop("ids", "n_tokens", "ids_sha256", "decoded_sha256")
     carried = carry(docs.sparkSession, (Vocabulary(ranks), pattern))

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +12,14 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.sources.shared import discard, shared_dir, shared_table  # noqa: F401
+
 U64 = np.uint64
 #: LUT of the ASCII white space that separates words: 0x20 and 0x09-0x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Spark removes the shuffle files of a query when it is done.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BASE = U64(0x9E3779B97F4A7C15)
 
 
@@ -35,39 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="lexloom-checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at
-
-
-def shared_table(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(spark).rstrip('/')}/lexloom-{what}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")  # the table stands for its shuffles, which need no more disk
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.lexloom_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes shared tables that nothing reads any more."""
-    for t in tables:
-        session = t.sparkSession
-        at = session.sparkContext._jvm.org.apache.hadoop.fs.Path(t.lexloom_path)
-        at.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()
@@ -85,6 +52,17 @@ def carry(spark: SparkSession, obj):
     return get
 
 
+def remembered(what: str) -> dict:
+    """A dictionary that a Python worker, which serves many tasks, keeps from one to the next."""
+    place = sys.modules.setdefault("_lexloom_worker", types.ModuleType("_lexloom_worker"))
+    return place.__dict__.setdefault(what, {})
+
+
+def forget() -> None:
+    """Frees what the worker has kept for other operators."""
+    sys.modules.pop("_lexloom_worker", None)
+
+
 def bucket_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n (a null id counts as empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
