@@ -27,49 +27,80 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Their content is raw, no text of the page: up to the end tag, or to the page's end, as browsers read them.
 SILENT = frozenset("script style iframe textarea".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
+START = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"""[>"']""")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order: text with references decoded and white space made one space, and features of its ancestors.
+class _Open:
+    """The open elements, with the features they give to what stands in them: kept up to date as elements come and go, so that no
+    block walks up to the root. With weights, the features that have one are added up instead."""
 
-    Unclosed and stray tags, bare `<` and unended comments are read as browsers read them or nearly so; nothing is dropped but
-    comments, declarations and the content of SILENT elements.
-    """
-    out: list[Block] = []
-    stack: list[tuple[str, list[str]]] = []
-    run: list[str] = []
-    linked = total = 0
+    def __init__(self, weights: dict[str, float] | None):
+        self.weights, self.sum = weights, 0.0
+        self.stack: list[tuple[str, list[str], str]] = []
+        self.count: dict[str, int] = {}
+        self.active: dict[str, int] = {}
+        self.own: list[int] = []  # places of elements that stand on lines of their own
 
-    def flush() -> None:
-        nonlocal linked, total
-        text = "".join(run)
-        run.clear()
-        if "&" in text:
-            text = entities.unescape(text)
-        text = " ".join(text.split())
-        if text:
-            out.append((text, _above(stack) + _form(text, linked / max(1, total))))
-        linked = total = 0
-
-    def add(text: str) -> None:
-        nonlocal linked, total
-        run.append(text)
-        total += len(text)
-        if any(x[0] == "a" for x in stack):
-            linked += len(text)
-
-    at, end = 0, len(page)
+    def push(self, name: str, words: list[str]) -> None:
+        parent = self.stack[-1][2] if self.stack else ""
+        given: list[str] = []
+        if name not in INLINE:
+            self.own.append(len(self.stack))
+            if name not in ("html", "body"):
+                given = [f"in {name}", *(f"class {w}" for w in words), *([f"{parent} > {name}"] if parent else ())]
+                parent = name
+        self.stack.append((name, given, parent))
+        self.count[name] = self.count.get(name, 0) + 1
+        for f in given:
+            n = self.active[f] = self.active.get(f, 0) + 1
+            if n == 1 and self.weights:
+                self.sum += self.weights.get(f, 0.0)
+
+    def cut(self, at: int) -> None:
+        """Closes the elements from a place on."""
+        while len(self.stack) > at:
+            name, given, _ = self.stack.pop()
+            self.count[name] -= 1
+            if self.own and self.own[-1] == len(self.stack):
+                self.own.pop()
+            for f in given:
+                if self.active[f] > 1:
+                    self.active[f] -= 1
+                else:
+                    del self.active[f]
+                    if self.weights:
+                        self.sum -= self.weights.get(f, 0.0)
+        if not self.active:
+            self.sum = 0.0
+
+    def close(self, name: str) -> None:
+        """The innermost open element of this name and what is open in it; none, if there is none."""
+        if self.count.get(name):
+            at = len(self.stack) - 1
+            while self.stack[at][0] != name:
+                at -= 1
+            self.cut(at)
+
+    def leaf(self) -> str:
+        return f"leaf {self.stack[-1][2] if self.stack else ''}"
+
+
+def _tags(page: str):
+    """(kind, from, to, name, attributes) of the page's pieces, in order: text, start, end.
+
+    Every piece is looked at once: a tag whose quotes are not closed ends at the next `>`, and so do all tags after it.
+    """
+    at, end, quoted, last = 0, len(page), True, page.rfind(">")
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
-            add(page[at:])
-            break
+            yield "text", at, end, "", ""
+            return
         if lt > at:
-            add(page[at:lt])
+            yield "text", at, lt, "", ""
         after = page[lt + 1 : lt + 2]
         if page.startswith("<!--", lt):
             close = page.find("-->", lt + 4)
@@ -79,57 +110,79 @@ def blocks(page: str) -> list[Block]:
             close = page.find(">", lt)
             at = end if close < 0 else close + 1
             continue
-        m = TAG.match(page, lt) or LOOSE.match(page, lt)
+        m = START.match(page, lt) if lt < last else None
         if not m:
-            add("<")
+            yield "text", lt, lt + 1, "", ""
             at = lt + 1
             continue
-        at, closing, name = m.end(), m[1], m[2].lower()
-        if name in SILENT and not closing:
-            if not m[3].rstrip().endswith("/"):
+        stop, from_ = -1, m.end()
+        while quoted and stop < 0:
+            found = STOP.search(page, from_)
+            if found and found[0] == ">":
+                stop = found.start()
+                continue
+            from_ = page.find(found[0], found.end()) + 1 if found else 0
+            quoted = from_ > 0
+        if stop < 0:
+            stop = page.find(">", m.end())
+        name, attributes, at = m[2].lower(), page[m.end() : stop], stop + 1
+        if name in SILENT and not m[1]:
+            if not attributes.rstrip().endswith("/"):
                 close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = close.end() if close else end
             continue
+        yield "end" if m[1] else "start", lt, at, name, attributes
+
+
+def blocks(page: str, weights: dict[str, float] | None = None) -> list[Block] | list[tuple[str, float]]:
+    """Leaf blocks in page order: text with references decoded and white space made one space, and features of its ancestors; with
+    weights, the sum of the weights of the features in their place.
+
+    Unclosed and stray tags, bare `<` and unended comments are read as browsers read them or nearly so; nothing is dropped but
+    comments, declarations and the content of SILENT elements. Time goes with the length of the page, however deep it nests.
+    """
+    out: list = []
+    run: list[str] = []
+    open_ = _Open(weights)
+    linked = total = 0
+
+    def flush() -> None:
+        nonlocal linked, total
+        text = "".join(run)
+        run.clear()
+        if "&" in text:
+            text = entities.unescape(text)
+        text = " ".join(text.split())
+        if text:
+            form = [open_.leaf(), *_form(text, linked / max(1, total))]
+            out.append((text, [*open_.active, *form] if weights is None else open_.sum + sum(weights.get(f, 0.0) for f in form)))
+        linked = total = 0
+
+    for kind, from_, to, name, attributes in _tags(page):
+        if kind == "text":
+            run.append(page[from_:to])
+            total += to - from_
+            if open_.count.get("a"):
+                linked += to - from_
+            continue
         if name not in INLINE:
             flush()
         elif name == "br":
             run.append(" ")
         if name in VOID:
             continue
-        if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+        if kind == "end":
+            open_.close(name)
             continue
-        if name in CLOSES:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES[name]:
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-        if not m[3].rstrip().endswith("/"):
-            named = NAMES.findall(m[3]) if "=" in m[3] else ()
-            stack.append((name, [w for x in named for w in WORD.findall("".join(x).lower())]))
+        if name in CLOSES and open_.own and open_.stack[open_.own[-1]][0] in CLOSES[name]:
+            open_.cut(open_.own[-1])
+        if not attributes.rstrip().endswith("/"):
+            named = NAMES.findall(attributes) if "=" in attributes else ()
+            open_.push(name, [w for x in named for w in WORD.findall("".join(x).lower())])
     flush()
     return out
 
 
-def _above(stack: list[tuple[str, list[str]]]) -> list[str]:
-    out, parent = [], ""
-    for tag, words in stack:
-        if tag in INLINE or tag in ("html", "body"):
-            continue
-        out.append(f"in {tag}")
-        out += [f"class {w}" for w in words]
-        if parent:
-            out.append(f"{parent} > {tag}")
-        parent = tag
-    out.append(f"leaf {parent}")
-    return list(dict.fromkeys(out))
-
-
 def _form(text: str, linked: float) -> list[str]:
     out = ["any", "size " + ("1" if len(text) < 25 else "2" if len(text) < 80 else "3" if len(text) < 250 else "4")]
     if linked > 0.6:
@@ -154,13 +207,13 @@ class Field:
         get = self.weights.get
         return np.array([sum(get(f, 0.0) for f in own) for _, own in page])
 
-    def decode(self, page: list[Block]) -> list[int]:
-        """Viterbi."""
-        if not page:
+    def decode(self, scores: list[float]) -> list[int]:
+        """Viterbi, from the scores of the blocks."""
+        if not len(scores):
             return []
         (s00, s01), (s10, s11) = self.steps.tolist()
         best0, best1, back = 0.0, 0.0, []
-        for i, s in enumerate(self.scores(page).tolist()):
+        for i, s in enumerate(scores):
             if i:
                 a, b = best0 + s00, best1 + s10
                 c, d = best0 + s01, best1 + s11
@@ -297,15 +350,15 @@ def trained() -> Field:
 
 
 def main_text(field: Field, page: str) -> str:
-    own = blocks(page)
-    return "\n\n".join(text for (text, _), label in zip(own, field.decode(own)) if label)
+    own = blocks(page, field.weights)
+    return "\n\n".join(text for (text, _), label in zip(own, field.decode([s for _, s in own])) if label)
 
 
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """pages (with html) and `text`, `n_chars` in place of columns of these names; one pass, no shuffle.
 
-    Null and empty pages, and pages without an article, give empty text. Repeated rows are read alike; an empty table gives an
-    empty result.
+    Null and empty pages, and pages without an article, give empty text. Very long and deeply nested pages are read whole, in time
+    that goes with their length. Repeated rows are read alike, whatever their ids; an empty table gives an empty result.
     """
     kept = pages.drop("text", "n_chars")
     carried = carry(pages.sparkSession, field or trained())
