@@ -3,52 +3,55 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import U64, mix64, shared_table, table, text_or_empty
+from lexloom.llm.common import U64, fresh, mix64, shared_table, table, text_or_empty
 
-#: Largest matrix sent to every executor; a larger one is joined by partition instead.
-MATRIX_BYTES = 32 << 20
-RESERVED = ("_part", "_pos")
+#: Partitions that share a matrix. The driver draws what each group of so many sends to each shard, a task the matrix of its group.
+GROUP = 256
 
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
     return np.array([rows // shards + (s < rows % shards) for s in range(shards)], dtype=np.int64)
 
 
-def communication_matrix(counts: list[int], sizes: np.ndarray, seed: int) -> np.ndarray:
+def communication_matrix(counts: list[int] | np.ndarray, sizes: np.ndarray, seed) -> np.ndarray:
     """counts[p] rows leave partition p; entry (p, s) of them go to shard s. All row and column sums are exact, and the
     matrix has the law that a uniform random permutation of all rows would induce."""
     rng, left = np.random.default_rng(seed), sizes.copy()
     out = np.zeros((len(counts), len(sizes)), dtype=np.int64)
     for p, n in enumerate(counts):
-        # one hypergeometric draw a shard: exact at any size, unlike the marginals method on very large populations
         rest, need = int(left.sum()), int(n)
         for s in range(len(sizes)):
             rest -= int(left[s])
-            got = need if s == len(sizes) - 1 else _draw(rng, int(left[s]), rest, need)
+            got = need if s == len(sizes) - 1 else draw(rng, int(left[s]), rest, need)
             out[p, s] = got
             need -= got
         left -= out[p]
     return out
 
 
-def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if n == 0 or good == 0:
-        return 0
-    if bad == 0:
-        return n
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n))
-    # numpy's bound on populations: a normal draw of the same mean and variance, kept in the support
+def draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n rows drawn from good + bad are good: a hypergeometric variate, of populations of any size, by inversion.
+
+    The probabilities around the mode follow from each other by their ratios; what lies beyond 12 standard deviations is less
+    than the rounding of the sum.
+    """
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
     total = good + bad
-    mean = n * good / total
-    var = mean * (bad / total) * ((total - n) / max(1, total - 1))
-    return int(min(max(round(rng.normal(mean, var**0.5)), n - bad, 0), n, good))
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    spread = 12 * (n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5 + 12
+    low, high = max(low, int(mode - spread)), min(high, int(mode + spread))
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log((good - k) / (k + 1)) + np.log((n - k) / (bad - n + k + 1))
+    p = np.concatenate(([0.0], np.cumsum(steps)))
+    cumulative = np.cumsum(np.exp(p - p.max()))
+    return low + int(np.searchsorted(cumulative, rng.random() * cumulative[-1], side="right").clip(0, high - low))
 
 
 def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 8) -> np.ndarray:
@@ -84,53 +87,54 @@ def _place(part: np.ndarray, pos: np.ndarray, rows: np.ndarray, cum: np.ndarray,
 def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 42, rows_per_file: int = 1_000_000) -> DataFrame:
     """All rows of df with `shard` (0..shards-1) and `slot` (gapless from 0 in each shard), exchanged and in slot order.
 
-    Sizes differ by one row at most. Every row goes somewhere, whatever it holds: null ids, empty texts and repeated rows
-    are rows like any other. An empty table gives an empty result. Columns of df named shard or slot are replaced; names that
-    begin with `_part` or `_pos` are refused.
+    Sizes differ by one row at most. Every row goes somewhere, whatever it holds: null ids, empty or very long texts and repeated
+    rows are rows like any other, so a group of equal texts is spread over all shards as evenly as any rows are (a group of a
+    third of all rows could not lie in one of eight shards of equal counts). An empty table gives an empty result. Columns of df
+    named shard or slot are replaced, others kept, whatever their names.
+
+    The driver holds two numbers a partition and a matrix of groups of GROUP partitions; each task draws the matrix of its group,
+    which has the same law, given what the group sends to each shard.
     """
     spark = df.sparkSession
-    if set(RESERVED) & set(df.columns):
-        raise ValueError(f"columns {RESERVED} are reserved")
     df = df.drop("shard", "slot")
+    id_, part_, pos_ = (fresh(df, c) for c in ("_id", "_part", "_pos"))
     # Written once, partition and position of a row stay what they are when an executor is lost or the scan is split anew.
     low = (1 << 33) - 1
-    staged = shared_table(spark, df.withColumn("_id", F.monotonically_increasing_id()).withColumns({"_part": F.shiftright("_id", 33).cast("int"), "_pos": F.col("_id").bitwiseAND(F.lit(low))}).drop("_id"), "shards")
-    found = sorted((r["_part"], r["n"]) for r in staged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
-    counts = [n for _, n in found]
-    sizes = shard_sizes(sum(counts), shards)
-    matrix = communication_matrix(counts, sizes, seed)
-    cum, before = matrix.cumsum(axis=1), np.vstack([np.zeros((1, shards), np.int64), matrix.cumsum(axis=0)])[:-1]
-    parts, rows = np.array([p for p, _ in found], dtype=np.int64), np.array(counts, dtype=np.int64)
-    schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    keep = [c for c in df.columns]
-
-    def put(pdf: pd.DataFrame, row: np.ndarray, own: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pd.DataFrame:
-        shard, slot = _place(pdf["_part"].to_numpy(), pdf["_pos"].to_numpy(), own[0][row], own[1][row], own[2][row], sizes, seed)
-        return pdf[keep].assign(shard=shard, slot=slot)
-
-    if matrix.nbytes <= MATRIX_BYTES:
-        shared = spark.sparkContext.broadcast((parts, rows, cum, before))
-
-        def by_batch(batches):
-            parts, *own = shared.value
-            for batch in batches:
-                if batch.num_rows:
-                    part, pos = (batch.column(c).to_numpy() for c in RESERVED)
-                    row = np.searchsorted(parts, part)
-                    shard, slot = _place(part, pos, own[0][row], own[1][row], own[2][row], sizes, seed)
-                    yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(shard), pa.array(slot)], [*keep, "shard", "slot"])
-
-        placed = staged.mapInArrow(by_batch, schema)  # as they are: texts need not become Python objects
-    else:
-        rows_of = spark.createDataFrame([(int(p), int(n), c.tolist(), b.tolist()) for p, n, c, b in zip(parts, rows, cum, before)], "_part int, n long, cum array<long>, before array<long>")
-
-        def by_part(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-            return put(pdf, np.zeros(len(pdf), np.int64), tuple(np.array(own[c].tolist()) for c in ("n", "cum", "before")))
-
-        placed = staged.groupBy("_part").cogroup(rows_of.groupBy("_part")).applyInPandas(by_part, schema)
+    staged = df.withColumn(id_, F.monotonically_increasing_id()).withColumns({part_: F.shiftright(id_, 33).cast("int"), pos_: F.col(id_).bitwiseAND(F.lit(low))})
+    staged = shared_table(spark, staged.drop(id_), "shards")
+    found = sorted((r[0], r[1]) for r in staged.groupBy(part_).agg(F.count(F.lit(1))).collect())
+    parts, counts = (np.array(x, dtype=np.int64) for x in (zip(*found) if found else ((), ())))
+    sizes = shard_sizes(int(counts.sum()), shards)
+    of_groups = [int(counts[at : at + GROUP].sum()) for at in range(0, len(counts), GROUP)]
+    matrix = communication_matrix(of_groups, sizes, [seed, 0])
+    shared = spark.sparkContext.broadcast((parts, counts, matrix, matrix.cumsum(axis=0) - matrix))
+    keep = list(df.columns)
+
+    def place(batches):
+        parts, counts, matrix, before = shared.value
+        drawn: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, pos = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in (part_, pos_))
+            row = np.searchsorted(parts, part)
+            cum, first = np.empty((len(row), len(sizes)), np.int64), np.empty((len(row), len(sizes)), np.int64)
+            for g in np.unique(row // GROUP).tolist():
+                if g not in drawn:
+                    own = communication_matrix(counts[g * GROUP : (g + 1) * GROUP], matrix[g], [seed, 1, g])
+                    drawn[g] = own.cumsum(axis=1), before[g] + own.cumsum(axis=0) - own
+                here = row // GROUP == g
+                cum[here], first[here] = (x[row[here] - g * GROUP] for x in drawn[g])
+            shard, slot = _place(part, pos, counts[row], cum, first, sizes, seed)
+            # as they are: texts need not become Python objects
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], pa.array(shard), pa.array(slot)], [*keep, "shard", "slot"])
+
+    placed = staged.mapInArrow(place, T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
     files = max(1, -(-int(sizes.max(initial=0)) // rows_per_file))
     per = max(1, -(-int(sizes.max(initial=1)) // files))
-    return placed.repartition(shards * files, "shard", F.floor(F.col("slot") / per)).sortWithinPartitions("shard", "slot")
+    target = fresh(placed, "_file")
+    placed = placed.withColumn(target, (F.col("shard") * files + F.floor(F.col("slot") / per)).cast("int"))
+    return placed.repartitionById(shards * files, target).drop(target).sortWithinPartitions("shard", "slot")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
