@@ -1,9 +1,9 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, confirmed by exact shingle containment.
 
-An item's sketch is the bottom-k MinHash of its shingles. A document that holds four fifths of an item's shingles holds about
-that share of the sketch as well, however long the document is; so the search looks the document's shingles up in the sketches.
-Documents and items are partitioned by size, and an item is only looked up by the partitions that can hold enough of it.
-DataFrame functions only.
+An item's sketch is the bottom-k MinHash of its shingles, with a k that goes with its size: a document that holds four fifths of an
+item lacks at most `slack` of its shingles, so of a sketch of slack + FOUND it holds FOUND at least, however long the document is.
+The search looks the document's shingles up in the sketches and loses no item. Documents and items are partitioned by size, and an
+item is only met by the partitions that can hold enough of it. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import shared_table, table
 
-SHINGLE, PERCENT, SKETCH = 5, 80, 16
-#: Of a full sketch so many have to be found; a document at the threshold has 12.8 of 16 on average and fewer than 6 with a
-#: chance of about one in 100,000 even for the smallest item that fills a sketch.
+SHINGLE, PERCENT = 5, 80
+#: Of a sketch so many have to be found, or all that an item of few shingles must have.
 FOUND = 6
 #: Rows of the item tables that are broadcast at most; larger ones are joined by shuffle.
 BROADCAST_ROWS = 400_000
@@ -52,7 +51,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Words are lower-cased and split at white space; an item of fewer than five words is one shingle. Null and empty texts hold
     nothing and are held by nothing, as are rows with null ids. What rows that share an id hold adds up, as far as each row is
-    large enough for its partition. Empty tables give an empty result; other columns are not looked at.
+    large enough for its partition. Very long texts are searched whole; items of equal text are found alike, each under its id; an
+    item at the threshold exactly is held. Empty tables give an empty result; other columns are not looked at.
     """
     spark = docs.sparkSession
     words = items.filter("item_id IS NOT NULL").select("item_id", _words("text").alias("_w")).filter(F.size("_w") > 0).withColumn("_k", F.least(F.size("_w"), F.lit(SHINGLE)))
@@ -64,18 +64,21 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     sizes = [r["_k"] for r in shingles.select("_k").distinct().collect()]
     total = shingles.count()
     n_item = shingles.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
-    sketches = _item_hashes(shingles).groupBy("item_id").agg(F.slice(F.array_sort(F.collect_set("h")), 1, SKETCH).alias("s")).join(n_item, "item_id")
+    # distinct hashes: shingles that share one, if any do, are found together, so no more are lacking than of the shingles
+    sketches = _item_hashes(shingles).groupBy("item_id").agg(F.array_sort(F.collect_set("h")).alias("s")).join(n_item, "item_id")
+    least = F.ceil(F.col("n_item") * PERCENT / 100 - 1e-9)
+    slack = (F.col("n_item") - least).cast("int")
     # the partitions, by the power of two of the number of shingles, whose documents are large enough
-    need = F.when(F.size("s") < SKETCH, F.ceil(F.col("n_item") * PERCENT / 100)).otherwise(F.lit(FOUND)).cast("long")
-    enough = F.floor(F.log2(F.ceil(F.col("n_item") * PERCENT / 100))).cast("int")
-    sketches = sketches.select("item_id", need.alias("need"), enough.alias("least_part"), F.explode("s").alias("h"))
+    enough = F.floor(F.log2(least)).cast("int")
+    sketches = sketches.select("item_id", slack.alias("slack"), enough.alias("least_part"), F.slice("s", F.lit(1), slack + FOUND).alias("s"))
+    sketches = sketches.select("item_id", (F.size("s") - F.col("slack")).cast("long").alias("need"), "least_part", F.explode("s").alias("h"))
 
     docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     split = docs.select("doc_id", _words("text").alias("_w"))
     every = F.concat(*[_hashes(k) for k in sizes]) if sizes else F.expr("CAST(array() AS array<bigint>)")
     part = F.floor(F.log2(F.greatest(F.size("_w") * F.lit(max(1, len(sizes))), F.lit(1)))).cast("int")
     looked_up = split.select("doc_id", part.alias("part"), F.explode(every).alias("h"))
-    hits = looked_up.join(_small(sketches, SKETCH * total), "h").filter("part >= least_part")
+    hits = looked_up.join(_small(sketches, total), "h").filter("part >= least_part")
     candidates = hits.groupBy("doc_id", "item_id", "need").agg(F.countDistinct("h").alias("found")).filter("found >= need").select("doc_id", "item_id")
     candidates = shared_table(spark, candidates, "candidates")
 

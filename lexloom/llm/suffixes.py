@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import U64, column_bytes, mix64, shared_table, shingle_hashes, table, word_hashes
@@ -153,16 +153,14 @@ def _runs(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), pa.array(start[at], pa.int64()), pa.array(start[end] + PASSAGE, pa.int64())], ["doc_id", "lo", "hi"])
 
 
-def _merged(spans: Column) -> Column:
-    """Sorted (lo, hi) spans, those that touch made one."""
-    empty = F.expr("CAST(array() AS array<struct<lo:bigint,hi:bigint>>)")
-
-    def step(out: Column, x: Column) -> Column:
-        last = F.element_at(out, -1)
-        grown = F.array_append(F.slice(out, F.lit(1), F.size(out) - 1), F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi")))
-        return F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["hi"] >= x["lo"]), grown).otherwise(F.array_append(out, x))
-
-    return F.aggregate(spans, empty, step)
+def _merged(found: DataFrame) -> DataFrame:
+    """(doc_id, spans) of found (doc_id, lo, hi): in order, those that touch or overlap made one. A window over each document's spans."""
+    before = Window.partitionBy("doc_id").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("doc_id").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max("hi").over(before)
+    rows = found.withColumn("new", F.when(last.isNull() | (F.col("lo") > last), 1).otherwise(0)).withColumn("run", F.sum("new").over(upto))
+    runs = rows.groupBy("doc_id", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -192,7 +190,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     often = every.groupBy("passage").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("passage")
     found = found.unionByName(every.join(often, "passage").select("doc_id", "lo", (F.col("lo") + PASSAGE).alias("hi")))
     whole = member.filter("copies > 1").select("doc_id", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))
-    spans = found.unionByName(whole).distinct().groupBy("doc_id").agg(_merged(F.array_sort(F.collect_list(F.struct("lo", "hi")))).alias("spans"))
+    spans = _merged(found.unionByName(whole).distinct())
     return spans.join(rows.groupBy("doc_id").agg(F.max("n").alias("n_words")), "doc_id")
 
 
