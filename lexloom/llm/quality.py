@@ -99,17 +99,22 @@ def _dictionary(texts: list[bytes]) -> bytes:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: int, rows: int = SAMPLE_ROWS) -> list[bytes]:
-    """Whole texts of at most `rows` training documents with this label, chosen by a hash of their ids."""
+    """Whole texts of at most `rows` training documents with this label, chosen by a hash of their ids, and of at most SAMPLE_BYTES in
+    all: sizes come to the driver first, then only the texts that fit. Of rows that share an id the shortest text counts."""
     picked = labels.filter(F.col("quality") == target).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows)
-    got = docs.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-    # the driver takes rows one partition after another and stops at SAMPLE_BYTES
-    out, size = [], 0
-    for r in got.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").toLocalIterator():
-        t = r["text"].encode()
-        if size + len(t) <= SAMPLE_BYTES:
-            out.append(t)
-            size += len(t)
-    return out
+    got = docs.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")  # SAMPLE_ROWS ids
+    known = got.groupBy("doc_id").agg(F.min(F.struct(F.octet_length("text").alias("n"), F.xxhash64("text").alias("h"))).alias("x"))
+    fits, size = [], 0
+    for r in sorted(known.select("doc_id", "x.n", "x.h", F.xxhash64("doc_id", F.lit(7)).alias("o")).collect(), key=lambda r: (r["o"], r["doc_id"])):
+        if size + r["n"] <= SAMPLE_BYTES:
+            fits.append((r["doc_id"], r["h"]))
+            size += r["n"]
+    if not fits:
+        return []
+    place = {x: i for i, x in enumerate(fits)}
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(fits, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("h", T.LongType())])))
+    texts = docs.withColumn("h", F.xxhash64("text")).join(wanted, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).collect()
+    return [r["text"].encode() for r in sorted(texts, key=lambda r: place[r["doc_id"], r["h"]])]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
