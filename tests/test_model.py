@@ -329,3 +329,49 @@ def test_fallback_of_a_law_without_structure(spark):
     rows = spark.createDataFrame([("X", f"ref {i:03}", ["T"], "clause") for i in range(150)] + [("Y", "a", ["T"], "article"), ("Y", "a", ["T"], "article"), ("Y", "b", ["T"], "clause")], "law string, article_ref string, concept_tags array<string>, level string")
     assert [r["article_ref"] for r in store.articles(rows, "x").collect()] == [f"ref {i:03}" for i in range(100)]
     assert [r["article_ref"] for r in store.articles(rows, "y").collect()] == ["a"]
+
+
+def test_metamodel(spark, tmp_path):
+    from lexloom.sources import metamodel
+
+    text = metamodel.dumped()
+    classes, enums = metamodel.parsed(text)
+    assert metamodel.differences(classes, enums) == [] and enums == ENUMS
+    (tmp_path / "m.json").write_text(text.replace('"Actor"', '"Agent"', 1).replace('"Days"', '"Day"'))
+    with pytest.raises(ValueError):
+        metamodel.read(spark, str(tmp_path / "m.json"))
+    (tmp_path / "m.json").write_text(text.replace('"Days"', '"Day"').replace('"evidence"', '"proof"'))
+    assert metamodel.differences(*metamodel.read(spark, str(tmp_path / "m.json"))) == ["LegalBasis.evidence: field missing", "LegalBasis.proof: field unknown", "RetentionUnit: values ['Day', 'Days']"]
+    with pytest.raises(FileNotFoundError):
+        metamodel.read(spark, str(tmp_path / "none.json"))
+
+
+def test_columns_of_answers(spark):
+    raw = ['```json\n{"a": 1}\n```', '{"a": 1}', "```\nnope\n```", '{"X": {"_a": [{"_b": 1}]}}', "broken", None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string")
+    out = {r["i"]: (r["f"], r["u"]) for r in df.select("i", ex.strip_fences(F.col("raw")).alias("f"), ex.unwrapped(F.col("raw")).alias("u")).collect()}
+    assert [out[i][0] for i in range(4)] == ['{"a": 1}', '{"a": 1}', "pe", raw[3]]  # "nope": leading letters of json go
+    assert out[3][1] == '{"a": [{"b": 1}]}' and out[4][1] is None and out[5][1] is None
+
+
+def test_empty_policy(spark):
+    from lexloom.operators.validate import empty_policy_error
+
+    df = spark.sql("SELECT 1 AS i, named_struct('statements', array(1)) AS p UNION ALL SELECT 2, named_struct('statements', CAST(array() AS array<int>)) UNION ALL SELECT 3, named_struct('statements', CAST(NULL AS array<int>))")
+    assert {r["i"]: r["e"] for r in df.select("i", empty_policy_error(F.col("p")).alias("e")).collect()} == {1: False, 2: True, 3: True}
+    assert validate_json("LegalBasis", '{"type": "x", "evidence": "e", "jurisdiction": []}')[1] == ["type: not one of " + ", ".join(ENUMS["LegalBasisType"]), "jurisdiction: at least 1 needed"]
+
+
+def test_law_files(spark, tmp_path):
+    from lexloom.sources.laws import laws_with_vocabulary, read_laws
+
+    (tmp_path / "a.txt").write_bytes(b"one\r\ntwo\rthree \xff\n")
+    (tmp_path / "b.md").write_text("# b\n")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF")
+    rows = {r["law"]: r["text"] for r in read_laws(spark, {"a": str(tmp_path / "a.txt"), "B": str(tmp_path / "b.md"), "PIPEDA": str(tmp_path / "c.pdf")}, lambda content, width: [f"{len(content)} bytes", f"{width}"]).collect()}
+    assert rows == {"A": "one\ntwo\nthree �\n", "B": "# b\n", "PIPEDA": "4 bytes\n\n0.5"}
+    with pytest.raises(FileNotFoundError):
+        read_laws(spark, {"A": str(tmp_path / "none.txt")})
+    chunks = spark.createDataFrame([("A",), ("A",), ("B",)], "law string")
+    assert [r["law"] for r in laws_with_vocabulary(chunks, chunks.filter("law = 'B'")).collect()] == ["B"]
+    assert read_laws(spark, {}).count() == 0
