@@ -3,7 +3,8 @@
 Of each document the suffixes at minimiser positions are kept: in every window of PASSAGE words the position of the least
 GRAM-word hash. Equal passages hold equal minimisers, so sorting the kept suffixes brings them next to each other: neighbours
 that share a GRAM are compared, and a match is extended left and right, over every passage that the minimiser stands for. A word
-is repeated if and only if a run of PASSAGE words around it occurs twice in the table.
+is repeated if and only if a run of PASSAGE words around it occurs twice in the table. Passages are told apart by 128 bits of their
+words, as is a copy from another text; a GRAM by 64 bits, which only chooses what is compared.
 """
 
 from __future__ import annotations
@@ -20,14 +21,19 @@ PASSAGE, GRAM = 50, 16
 HOT = 20_000
 
 
-def passages(words: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    """Hash of the PASSAGE words from each position, from the hashes of the GRAM words there."""
-    n = len(words) - PASSAGE + 1
-    out = np.zeros(max(0, n), U64)
-    at = [*range(0, PASSAGE - GRAM, GRAM), PASSAGE - GRAM]
+def passages(words: np.ndarray) -> np.ndarray:
+    """Two independent hashes of the PASSAGE words from each position, 128 bits that tell passages apart: a polynomial in each of two
+    bases, by prefix sums over the mixed hashes of the words."""
+    n = max(0, len(words) - PASSAGE + 1)
+    out = np.empty((n, 2), U64)
     with np.errstate(over="ignore"):
-        for a in at:
-            out = mix64(out * U64(0x100000001B3) + gram[a : a + max(0, n)])
+        for side, base in enumerate((U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95))):
+            power, total = U64(1), np.zeros(n, U64)
+            value = mix64(words ^ (base * U64(side + 1)))
+            for i in range(PASSAGE):
+                total += value[i : i + n] * power
+                power *= base
+            out[:, side] = mix64(total)
     return out
 
 
@@ -91,7 +97,7 @@ def _extended(batches):
         wanted, hot = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         for i, words in enumerate(_read(column_bytes(batch, "text"))):
             gram = shingle_hashes(words, GRAM)
-            own, hashes = minimisers(gram), passages(words, gram)
+            own, hashes = minimisers(gram), passages(words)
             starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
             ends = np.append(starts[1:], len(own))
             hot_here = dict(zip(wanted[i], hot[i]))
@@ -109,14 +115,14 @@ def _neighbours(batches):
     held: list[pa.RecordBatch] = []
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
-        blobs = [np.frombuffer(x, U64) for x in rows.column("passages").to_pylist()]
+        blobs = [np.frombuffer(x, U64).reshape(-1, 2) for x in rows.column("passages").to_pylist()]
         sizes = np.array([len(x) for x in blobs], dtype=np.int64)
-        flat = np.concatenate(blobs) if blobs else np.zeros(0, U64)
+        flat = np.concatenate(blobs) if blobs else np.zeros((0, 2), U64)
         doc = np.repeat(rows.column("doc_id").to_numpy(), sizes)
         first = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else np.zeros(0, np.int64)
         start = np.repeat(rows.column("start").to_numpy(), sizes) + np.arange(len(flat)) - np.repeat(first, sizes)
-        order = np.argsort(flat, kind="stable")
-        same = flat[order][1:] == flat[order][:-1]
+        order = np.lexsort((flat[:, 1], flat[:, 0]))
+        same = (flat[order][1:] == flat[order][:-1]).all(axis=1)
         again = np.zeros(len(flat), bool)
         again[order[1:]] |= same
         again[order[:-1]] |= same
@@ -186,9 +192,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     texts = docs.join(wanted, "doc_id").select("doc_id", "text", "at", "hot")
     extended = shared_table(spark, texts.mapInArrow(_extended, "gram long, hot boolean, doc_id long, start int, passages binary"), "extended")
     found = extended.filter("NOT hot").drop("hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(_neighbours, "doc_id long, lo long, hi long")
-    every = extended.filter("hot").mapInArrow(_passage_rows, "passage long, doc_id long, lo long")
-    often = every.groupBy("passage").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("passage")
-    found = found.unionByName(every.join(often, "passage").select("doc_id", "lo", (F.col("lo") + PASSAGE).alias("hi")))
+    every = extended.filter("hot").mapInArrow(_passage_rows, "passage long, other long, doc_id long, lo long")
+    often = every.groupBy("passage", "other").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("passage", "other")
+    found = found.unionByName(every.join(often, ["passage", "other"]).select("doc_id", "lo", (F.col("lo") + PASSAGE).alias("hi")))
     whole = member.filter("copies > 1").select("doc_id", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))
     spans = _merged(found.unionByName(whole).distinct())
     return spans.join(rows.groupBy("doc_id").agg(F.max("n").alias("n_words")), "doc_id")
@@ -196,14 +202,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 def _passage_rows(batches):
     for batch in batches:
-        blobs = [np.frombuffer(x, U64) for x in batch.column(4).to_pylist()]
+        blobs = [np.frombuffer(x, U64).reshape(-1, 2) for x in batch.column(4).to_pylist()]
         sizes = np.array([len(x) for x in blobs], dtype=np.int64)
         if not sizes.sum():
             continue
         flat = np.concatenate(blobs)
         first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         start = np.repeat(batch.column(3).to_numpy(), sizes) + np.arange(len(flat)) - np.repeat(first, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(flat.astype(np.int64)), pa.array(np.repeat(batch.column(2).to_numpy(), sizes)), pa.array(start.astype(np.int64))], ["passage", "doc_id", "lo"])
+        yield pa.RecordBatch.from_arrays([*[pa.array(flat[:, i].astype(np.int64)) for i in (0, 1)], pa.array(np.repeat(batch.column(2).to_numpy(), sizes)), pa.array(start.astype(np.int64))], ["passage", "other", "doc_id", "lo"])
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
