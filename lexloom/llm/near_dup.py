@@ -21,7 +21,8 @@ from lexloom.llm.connect import components
 
 SIDE = 9
 _N = 4 * SIDE
-#: Rounds of pairs with the sets that lead the buckets, as long as they find links; pairs of a set in each but the first; leaders.
+#: Rounds of pairs with the sets that lead the buckets, as long as they find links; in each but the first, pairs of a set and leaders
+#: of a bucket.
 ROUNDS, PICKS, LEADERS = 3, 4, 8
 #: Sets that differ in size by less than this factor share a size class of the filter.
 WIDTH = 1.03
@@ -99,23 +100,24 @@ def _shared_keys(keys: DataFrame) -> DataFrame:
 
 
 def _mixed(keys: DataFrame, found: DataFrame) -> DataFrame:
-    """keys (key, id, weight) with the component c of each id and its size, of the buckets that hold several components."""
+    """keys (key, id, weight, ...) with the component c of each id and its size, of the buckets that hold several components."""
     sizes = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("size"))
-    at = keys.join(found.join(sizes, "component_id"), "id", "left").select("key", "id", "weight", F.coalesce("component_id", "id").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
+    at = keys.select("key", "id", "weight").join(found.join(sizes, "component_id"), "id", "left")
+    at = at.select("key", "id", "weight", F.coalesce("component_id", "id").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
     several = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    return at.join(several, "key")
+    return shared_table(keys.sparkSession, at.join(several, "key"), "mixed")
 
 
-def _stars(keys: DataFrame, found: DataFrame, met: DataFrame | None, picks: int) -> DataFrame:
+def _stars(at: DataFrame, met: DataFrame | None, picks: int, leaders: int) -> DataFrame:
     """(a, b): for each id of a mixed bucket, of the ids that lead its buckets and are of another component, so many that lead most of
     them; pairs that have met are left out.
 
     A bucket is led by the most central ids of its largest component, which most of what may be linked to it at all is linked to; and by
     that of the next component.
     """
-    at = _mixed(keys, found).withColumn("r", F.struct("size", "weight"))
+    at = at.withColumn("r", F.struct("size", "weight"))
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("size"), F.desc("weight"), "id"))
-    first = at.withColumn("k", place).filter(F.col("k") <= LEADERS)
+    first = at.withColumn("k", place).filter(F.col("k") <= leaders)
     top = first.filter("k = 1").select("key", F.col("c").alias("c1"))
     next_ = at.join(top, "key").filter("c <> c1").groupBy("key").agg(F.max(F.struct("r", "id", "c")).alias("x")).select("key", "x.r", "x.id", "x.c")
     lead = first.select("key", "r", "id", "c").unionByName(next_).select("key", F.col("r").alias("rb"), F.col("id").alias("b"), F.col("c").alias("cb"))
@@ -223,15 +225,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # one id on several texts: its classes are one vertex
     several = member.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("most")).filter("b <> most").select("doc_id", "b")
     links = member.join(several, "doc_id").select(F.col("id").alias("a"), "b").filter("a <> b")
-    found, met = components(links, "a", "b"), None
+    found, met, mixed = components(links, "a", "b"), None, weighted
     for n in range(ROUNDS):
-        pairs = shared_table(spark, _stars(weighted, found, met, PICKS if n else 1), "stars")
+        mixed = _mixed(mixed, found)  # buckets of one component stay so
+        pairs = shared_table(spark, _stars(mixed, met, *((PICKS, LEADERS) if n else (1, 1))), "stars")
         new = shared_table(spark, verified(pairs, held, percent), "links")
         if new.isEmpty():
             break
         links, met = links.unionByName(new), pairs if met is None else met.unionByName(pairs)
         found = components(links, "a", "b")
-    rest = _mixed(weighted, found).select("id", "c").distinct()
+    rest = _mixed(mixed, found).select("id", "c").distinct()
     late = shared_table(spark, verified(_across(rest, held, percent), held, percent), "links")
     final = found if late.isEmpty() else components(links.unionByName(late), "a", "b")
     discard(keys, weighted, held)
