@@ -399,6 +399,14 @@ def test_html_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_repeated_rows_and_columns_of_any_name(spark):
+    page = "<body><nav><a href='/'>Home</a></nav><article><h1>Title</h1>" + "<p>A sentence that goes on for a while and ends here.</p>" * 3000 + "</article></body>"
+    rows = [(1, page, "u", "own"), (1, page, "u", "own"), (None, page, None, "own"), (2, None, "u", "own")]
+    out = html_text.extract(spark.createDataFrame(rows, "page_id long, html string, url string, n_chars string")).collect()
+    assert [r["n_chars"] for r in sorted(out, key=lambda r: str(r["page_id"]))] == [len(r["text"]) for r in sorted(out, key=lambda r: str(r["page_id"]))]
+    assert sorted((str(r["page_id"]), r["text"].count("A sentence"), r["text"].startswith("Title")) for r in out) == [("1", 3000, True), ("1", 3000, True), ("2", 0, False), ("None", 3000, True)]
+
+
 def test_html_time_goes_with_length():
     """Pages that stall a parser which looks back or ahead from each tag; and what they mean stays the same."""
     import time
@@ -646,3 +654,35 @@ def test_pipeline_odd_rows(spark):
     assert got("personal_data") == sorted(rows, key=str)
     assert set(got("quality")) <= set(rows)
     assert cp.encode_tokens(spark, docs, SF).count() == len(rows) and cp.encode_tokens(spark, docs.limit(0), SF).count() == 0
+
+
+NAMES = ("_w", "part", "h", "hash", "key", "set", "id", "n", "gram", "block", "list", "held", "score", "spans", "_spans", "findings", "digest", "lang", "ids", "label")
+
+
+@pytest.mark.parametrize("operator", ["pii", "bpe", "suffixes", "lm", "near_dup", "containment", "quality"])
+def test_odd_tables_and_columns_of_any_name(spark, operator):
+    """Nulls, empty, blank and long texts, repeated rows, null ids: as many rows with further columns as without; none of an empty table."""
+    items = spark.createDataFrame([(1, "same text here"), (1, "same text here"), (2, None), (None, "one")], "item_id long, text string").withColumn("_w", F.lit("x"))
+    long = " ".join(f"v{i % 700}" for i in range(900))
+    docs = docs_of(spark, [*ODD, (20, long), (21, long), (21, long), (None, long)])
+    vocabulary = bpe.public_vocabulary()
+    model = quality.train(docs, spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int"))
+    run = {
+        "pii": lambda d: pii.find(d).select("doc_id", "findings"),
+        "bpe": lambda d: bpe.encode(d, *vocabulary).select("doc_id", "ids"),
+        "suffixes": suffixes.repeated_passages,
+        "lm": lm.score,
+        "near_dup": near_dup.near_duplicates,
+        "containment": lambda d: containment.contaminated(d, items),
+        "quality": lambda d: quality.score(d, model, "_score").select("doc_id", "_score"),
+    }[operator]
+    rows = lambda df: sorted(repr(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in df.collect())
+    extra = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in NAMES])
+    plain = rows(run(docs))
+    assert plain == rows(run(extra)) and run(extra.limit(0)).count() == 0
+    if operator == "suffixes":
+        assert {r.split(",")[0][1:] for r in plain} >= {"20", "21"}
+    elif operator == "containment":
+        assert {(r["doc_id"], r["item_id"]) for r in run(docs).collect()} == {(7, 1), (8, 1)}
+    else:
+        assert len(plain) == len(ODD) + 4
