@@ -347,7 +347,7 @@ def test_metamodel(spark, tmp_path):
 
 
 def test_columns_of_answers(spark):
-    raw = ['```json\n{"a": 1}\n```', '{"a": 1}', "```\nnope\n```", '{"X": {"_a": [{"_b": 1}]}}', "broken", None]
+    raw = ['```json\n{"a": 1}\n```', '{"a": 1}', "```nope\n```", '{"X": {"_a": [{"_b": 1}]}}', "broken", None]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string")
     out = {r["i"]: (r["f"], r["u"]) for r in df.select("i", ex.strip_fences(F.col("raw")).alias("f"), ex.unwrapped(F.col("raw")).alias("u")).collect()}
     assert [out[i][0] for i in range(4)] == ['{"a": 1}', '{"a": 1}', "pe", raw[3]]  # "nope": leading letters of json go
