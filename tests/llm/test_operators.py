@@ -399,6 +399,26 @@ def test_html_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def plain_article(page):
+    """What stands in the article element of the driver's pages, by regular expressions."""
+    import html
+
+    inside = re.search(r"<article>(.*?)(?:</article>|<footer|$)", page, re.S)
+    parts = re.split(r"</?(?:h[1-6]|p|ul|li|div|article)\b[^>]*>", re.sub(r"<!--.*?-->", "", inside[1], flags=re.S)) if inside else []
+    texts = [" ".join(html.unescape(re.sub(r"</?\w+[^>]*>", "", x.replace("<br>", " "))).split()) for x in parts]
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_html_equals_the_article_of_each_page(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    out = html_text.op6_html(spark, sf).collect()
+    assert sorted(r["page_id"] for r in out) == sorted(pages)
+    for r in out:
+        want = plain_article(pages[r["page_id"]] or "")
+        assert (r["text"], r["n_chars"]) == (want, len(want))
+
+
 def test_html_repeated_rows_and_columns_of_any_name(spark):
     page = "<body><nav><a href='/'>Home</a></nav><article><h1>Title</h1>" + "<p>A sentence that goes on for a while and ends here.</p>" * 3000 + "</article></body>"
     rows = [(1, page, "u", "own"), (1, page, "u", "own"), (None, page, None, "own"), (2, None, "u", "own")]
@@ -619,6 +639,35 @@ def test_word_hashes_split_like_python():
     assert h[0] == h[2] and len(set(h.tolist())) == len(h) - 1
 
 
+def test_pipeline_equals_plain_python(spark):
+    """All five stages over whole texts: scores by the model's own arithmetic, sets, and the tokenizer's library."""
+    import tiktoken
+
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.train(docs.select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    scores = model.scorer()([(t or "").encode() for t in texts.values()])
+    kept = {i: t for (i, t), s in zip(texts.items(), scores) if s >= 0.3}
+    kept = {i: kept[i] for i, (_, c) in brute_components(list(kept.items()), 5, 80).items() if i == c}
+    shingles = lambda w, k: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+    items = [(min(5, len(w)), shingles(w, min(5, len(w)))) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if (w := words(r["text"]))]
+    kept = {i: t for i, t in kept.items() if not any(100 * len(own & shingles(words(t), k)) >= 80 * len(own) for k, own in items)}
+    findings = {r["doc_id"]: r["findings"] for r in pii.find(spark.createDataFrame(list(kept.items()), "doc_id long, text string")).collect()}
+    for i, t in kept.items():
+        out, at = "", 0
+        for f in findings[i]:
+            if f["start"] >= at:
+                out += t[at : f["start"]] + f"[{f['kind']}]"
+            at = max(at, f["end"])
+        kept[i] = (out + t[at:]) if t else t
+    ranks, pattern = bpe.public_vocabulary()
+    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    want = {i: other.encode_ordinary(t or "") for i, t in kept.items()}
+    assert {r["doc_id"]: np.frombuffer(r["ids"], np.uint32).tolist() for r in cp.run(spark, SF).collect()} == want and len(want) > 50
+
+
 CLASH = ("score", "predicted", "findings", "row", "digest", "_spans", "_hits_email", "_pieces_ip", "Score", "_id")
 
 
