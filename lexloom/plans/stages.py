@@ -76,6 +76,26 @@ def statements(attempts: DataFrame) -> DataFrame:
     return rows.select(ident.alias("statement_id"), "law", "article_ref", st.source_clause(F.col("stmt.source_clause"), F.col("article_ref")).alias("source_clause"), "statement_json", "stmt", "warnings", *[c.alias(n) for n, c in st.denormalised("stmt").items()])
 
 
+#: Failures in per cent of the requests that were not absent, above which the summary says so.
+HINT = 20.0
+
+
+def summary(attempts: DataFrame, assembly: DataFrame | None = None, stored: int = 0, files: int = 0) -> str:
+    """What a run has done, in words; two rows reach the driver."""
+    s = ex.stats(attempts).first()
+    used = attempts.agg(F.sum("tokens_in").alias("read"), F.sum("tokens_out").alias("written"), F.countDistinct("law").alias("laws"), F.countDistinct("law", "article_ref").alias("articles")).first()
+    lines = [f"Laws: {used['laws']}", f"Articles: {used['articles']}", f"First pass: {s['requests']} requests, {s['calls']} calls, {s['requests'] - s['absent'] - s['failed']} answered, {s['absent']} absent, {s['failed']} failed"]
+    if s["requests"] > s["absent"]:
+        lines.append(f"Failed of those not absent: {s['failure_pct']:.1f}%" + (", the model may be too small" if s["failure_pct"] > HINT else ""))
+    read, written = used["read"] or 0, used["written"] or 0
+    if assembly is not None:
+        a = assembly.agg(F.count(F.lit(1)).alias("calls"), F.count_if("success").alias("ok"), F.countDistinct("law", "article_ref").alias("n"), F.sum("tokens_in").alias("read"), F.sum("tokens_out").alias("written")).first()
+        lines.append(f"Second pass: {a['calls']} calls, {a['ok']} put together, {a['n'] - a['ok']} failed")
+        read, written = read + (a["read"] or 0), written + (a["written"] or 0)
+    lines += [f"Statements stored: {stored}", f"XMI files: {files}"]
+    return "\n".join([*lines, f"Tokens read and written: {read} and {written}"] if read or written else lines)
+
+
 def analyse(rows: DataFrame, path: str | None = None) -> str:
     text = Report(rows).text()
     if path:
@@ -112,14 +132,17 @@ def main(argv: list[str] | None = None) -> int:
         backend.check()
     if a.stage in ("ingest", "all"):
         print(f"{ingest(spark, parse_specs(a.laws), store)} new chunks")
+    stored = files = 0
     if a.stage in ("extract", "all"):
-        print(extract(store.read(), f"{a.work}/attempts", backend, a.top_k, a.retries, a.articles, not a.no_concept_tags, f"{a.work}/vocabulary").transform(ex.stats).first())
+        extract(store.read(), f"{a.work}/attempts", backend, a.top_k, a.retries, a.articles, not a.no_concept_tags, f"{a.work}/vocabulary")
     if a.stage in ("assemble", "all"):
         rows = shared_table(spark, built(spark.read.parquet(f"{a.work}/attempts"), f"{a.work}/assembly", backend, a.retries), "built")
         rejects(rows).write.mode("overwrite").parquet(f"{a.work}/rejects")
-        print(f"{done.store_many(valid(rows))} statements stored, {spark.read.parquet(f'{a.work}/rejects').count()} articles without one")
-        if a.xmi and done.exists():
-            print(f"{xmi.write_statements(done.read(), a.xmi)} XMI files")
+        stored = done.store_many(valid(rows))
+        files = xmi.write_statements(done.read(), a.xmi) if a.xmi and done.exists() else 0
+    if a.stage in ("extract", "assemble", "all"):
+        second = spark.read.parquet(f"{a.work}/assembly") if backend and a.stage != "extract" else None
+        print(summary(spark.read.parquet(f"{a.work}/attempts"), second, stored, files))
     if a.stage in ("analyse", "all"):
         print("The repository is empty." if not done.exists() or done.read().isEmpty() else analyse(done.read(), a.report))
     return 0

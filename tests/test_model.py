@@ -246,6 +246,8 @@ def test_assembly_by_a_back_end(spark, tmp_path):
     assert [r["article_ref"] for r in stages.valid(by_rule).collect()] == ["Article 1"]
     refused = stages.rejects(by_rule).collect()
     assert [r["article_ref"] for r in refused] == ["Article 2"] and any("actor: nothing found" in e for e in refused[0]["errors"])
+    text = stages.summary(attempts, spark.read.parquet(str(tmp_path / "assembly")), 1, 0)
+    assert "Articles: 2" in text and "18 requests, 18 calls" in text and "Second pass: 2 calls, 1 put together, 0 failed" in text and "Tokens read and written: 20 and 10" in text
     never = stages.built(attempts, str(tmp_path / "never"), ex.dry_run_backend, 1)
     assert stages.valid(never).count() == 0 and stages.rejects(never).count() == 1 and spark.read.parquet(str(tmp_path / "never")).count() == 2
     assert xmi.write_statements(s.read(), str(tmp_path / "xmi")) == 1
@@ -375,3 +377,16 @@ def test_law_files(spark, tmp_path):
     chunks = spark.createDataFrame([("A",), ("A",), ("B",)], "law string")
     assert [r["law"] for r in laws_with_vocabulary(chunks, chunks.filter("law = 'B'")).collect()] == ["B"]
     assert read_laws(spark, {}).count() == 0
+
+
+def test_command_line(tmp_path, capfd, spark):
+    path = tmp_path / "gdpr.txt"
+    path.write_text(f"CHAPTER I\nArticle 1\n{ARTICLE} Consent may be withdrawn at any time.\nArticle 2\nNothing at all is stated in this article of the law.\n")
+    work = ["--work", str(tmp_path / "work"), "--report", str(tmp_path / "report.txt")]
+    assert stages.main(["--laws", f"GDPR={path}", "--no-concept-tags", "--xmi", str(tmp_path / "xmi"), *work]) == 0
+    out = capfd.readouterr().out
+    assert "new chunks" in out and "Statements stored: 1" in out and "XMI files: 1" in out and "Coverage matrix" in out
+    assert [r["article_ref"] for r in spark.read.parquet(str(tmp_path / "work/rejects")).collect()] == ["Article 2"]
+    assert stages.main(["--stage", "extract", "--dry-run", *work]) == 0
+    assert re.search(r"(\d+) requests, \1 calls, 0 answered, \1 absent, 0 failed", capfd.readouterr().out)
+    assert (tmp_path / "report.txt").read_text().startswith("=") and list((tmp_path / "xmi").glob("*.xmi"))
