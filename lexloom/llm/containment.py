@@ -16,8 +16,8 @@ from lexloom.llm.common import shared_table, table
 SHINGLE, PERCENT = 5, 80
 #: Of a sketch so many have to be found, or all that an item of few shingles must have.
 FOUND = 6
-#: Rows of the item tables that are broadcast at most; larger ones are joined by shuffle.
-BROADCAST_ROWS = 400_000
+#: Bytes of the item tables that are broadcast at most, ROW for each row besides its text; larger ones are joined by shuffle.
+BROADCAST_BYTES, ROW = 32 << 20, 80
 
 
 def _words(text: str) -> Column:
@@ -42,8 +42,8 @@ def _labelled(size: int) -> Column:
     return F.transform(_strings(size), lambda s: F.struct(F.lit(size).alias("_k"), s.alias("shingle")))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         per_size = own if per_size is None else per_size.unionByName(own)
     shingles = shared_table(spark, per_size.distinct(), "items")
     sizes = [r["_k"] for r in shingles.select("_k").distinct().collect()]
-    total = shingles.count()
+    total = shingles.agg(F.coalesce(F.sum(F.octet_length("shingle") + ROW), F.lit(0)).alias("bytes")).first()["bytes"]
     n_item = shingles.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
     # distinct hashes: shingles that share one, if any do, are found together, so no more are lacking than of the shingles
     sketches = _item_hashes(shingles).groupBy("item_id").agg(F.array_sort(F.collect_set("h")).alias("s")).join(n_item, "item_id")
