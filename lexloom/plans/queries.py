@@ -405,12 +405,32 @@ for _name, _law in (("chunk_gdpr", "GDPR"), ("chunk_ccpa", "CCPA"), ("chunk_pipe
     _chunked(_name, _law)
 
 
-@query()
+#: Where each concept's closed value stands in its answer.
+_VALUE = {"LegalBasis": "type", "ProcessingActivity": "action", "Actor": "role", "Purpose": "category", "Right": "type", "Constraint": "type", "RetentionPolicy": "trigger", "DataTransfer": "mechanism", "ConsentWithdrawal": "channel[0]"}
+
+
+def _ruled(concept: str) -> str:
+    """The value that the rules find in `t`, lower-cased text."""
+    out = "CASE " + " ".join(f"WHEN regexp_matches(t, {listed([rule])[1:-1]}) THEN '{value}'" for value, rule in ex.RULES[concept]) + " END"
+    return f"CASE WHEN {out} IS NOT NULL THEN CASE WHEN contains(t, 'email') OR contains(t, 'e-mail') THEN 'Email' ELSE 'OnlineForm' END END" if concept == "ConsentWithdrawal" else out
+
+
+_READ = " UNION ALL ".join(f"SELECT * FROM ({chunk_sql(law, text)})" for law, text in STATUTES.items())
+
+
+@query(f"SELECT law, article_ref, concept, true AS success, max(value) IS NULL AS absent, max(value) AS value FROM (SELECT law, article_ref, concept, CASE concept {' '.join(f"WHEN '{c}' THEN {_ruled(c)}" for c in PASS1_CONCEPTS)} END AS value FROM (SELECT *, lower(text) AS t FROM ({_READ}) WHERE level IN ({listed(store.STRUCTURAL_LEVELS)[1:-1]})), (SELECT unnest({listed(PASS1_CONCEPTS)}) AS concept)) GROUP BY 1, 2, 3")
 def extract_statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages by the rule-based back end, over the small statutes."""
+    """Chunks, plan, rule-based back end and results, over the small statutes."""
+    out = _extracted(spark)
+    value = F.lit(None).cast("string")
+    for c, path in _VALUE.items():
+        value = F.when(F.col("concept") == c, F.get_json_object("json_str", f"$.{path}")).otherwise(value)
+    return out.select("law", "article_ref", "concept", "success", "absent", F.when(~F.col("absent"), value).alias("value"))
+
+
+def _extracted(spark: SparkSession) -> DataFrame:
     rows = chunk(_statutes(spark)).filter(F.col("level").isin(store.STRUCTURAL_LEVELS))
-    planned = ex.plan(rows, PASS1_CONCEPTS, use_tags=False)
-    return ex.results(ex.extract(planned)).select("law", "article_ref", "concept", "success", "absent", "json_str")
+    return ex.results(ex.extract(ex.plan(rows, PASS1_CONCEPTS, use_tags=False)))
 
 
 _JSON = [
