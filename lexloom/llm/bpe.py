@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import carry, column_bytes, remembered, table
+from lexloom.llm.common import carry, column_bytes, release, remembered, slices, table
 
 #: Distinct words whose ids a task remembers from block to block.
 REMEMBERED = 800_000
@@ -191,11 +191,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool
     """
     kept = docs.drop("ids", "n_tokens", "ids_sha256", "decoded_sha256")
     carried = carry(docs.sparkSession, (Vocabulary(ranks), pattern))
+    release()
     extra = ["ids_sha256", "decoded_sha256"] if digests else ["ids"]
 
     def run(batches):
         encoder = Encoder(*carried())
-        for batch in batches:
+        for batch in slices(batches, 4096):
             columns: list[list] = [[], [], []]
             texts = [t.decode() for t in column_bytes(batch, "text")]
             for block in _blocks(texts):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import pickle
 import sys
 import types
@@ -58,6 +61,25 @@ def remembered(what: str) -> dict:
     return place.__dict__.setdefault(what, {})
 
 
+def slices(batches, rows: int = 1024):
+    """The batches in smaller ones: what is made of their rows in Python objects stays small. At the end, what has been freed goes back to
+    the system, as the worker may idle from there on."""
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        release()
+
+
+def release() -> None:
+    """Gives memory that Python, Arrow and C have freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def forget() -> None:
     """Frees what the worker has kept for other operators."""
     sys.modules.pop("_lexloom_worker", None)

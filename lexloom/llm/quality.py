@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import bucket_of, carry, column_bytes, table, text_or_empty
+from lexloom.llm.common import bucket_of, carry, column_bytes, release, slices, table, text_or_empty
 
 #: Labelled rows of each class that a model is fitted on, at most; and their bytes (rows beyond are left out whole).
 SAMPLE_ROWS, SAMPLE_BYTES = 2500, 24 << 20
@@ -125,7 +125,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     share = known.agg(F.avg(F.col("quality").cast("double")).alias("p")).first()["p"]
     usable = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text")
     good, bad = (labelled_sample(usable, known, q) for q in (1, 0))
-    return fit(good, bad, 0.5 if share is None else min(max(share, 0.02), 0.98))
+    model = fit(good, bad, 0.5 if share is None else min(max(share, 0.02), 0.98))
+    del good, bad
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, into: str = "score", predicted: str = "predicted") -> DataFrame:
@@ -139,7 +142,7 @@ def score(docs: DataFrame, model: Model, into: str = "score", predicted: str = "
 
     def run(batches):
         predict_all = carried().scorer()
-        for batch in batches:
+        for batch in slices(batches):
             s = predict_all(column_bytes(batch, "text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32), pa.int32())], [*batch.schema.names, into, predicted])
 
