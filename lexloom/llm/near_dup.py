@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.llm.common import U64, column_bytes, discard, forget, mix64, runs, shared_table, shingle_hashes, table, word_hashes
+from lexloom.llm.common import U64, column_bytes, discard, forget, mix64, runs, shared_table, shingle_hashes, slices, table, word_hashes
 from lexloom.llm.connect import components
 
 SIDE = 9
@@ -60,7 +60,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         forget()
-        for batch in batches:
+        for batch in slices(batches):
             sizes, digest, rows = [], [], []
             for texts in runs(column_bytes(batch, "text")):
                 sets = shingle_sets(texts, k)
@@ -78,9 +78,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
 def _table_keys(batches):
     """(key, id): the tensored table keys of each signature."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in slices(batches, 4096):
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=U64).reshape(-1, _N)
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         with np.errstate(over="ignore"):
@@ -134,7 +132,7 @@ def _shingles_of(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     """(id, n, shingles array<long>) of the classes reps (id, doc_id, hash): read again from the text of one row each."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             at = 0
             for texts in runs(column_bytes(batch, "text")):
                 sets = shingle_sets(texts, k)
@@ -155,10 +153,10 @@ def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links, by their full sets in held (id, n, shingles)."""
     left = held.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = held.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    near = pairs.join(held.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(held.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    near = near.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return near.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    near = pairs.join(left, "a").join(right, "b").filter(sizes)
+    return near.filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
 def _across(rest: DataFrame, held: DataFrame, percent: int) -> DataFrame:
