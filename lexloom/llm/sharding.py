@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.llm.common import U64, fresh, mix64, shared_table, table, text_or_empty
+from lexloom.sources.shared import filesystem
 
 #: Partitions that share a matrix. The driver draws what each group of so many sends to each shard, a task the matrix of its group.
 GROUP = 256
@@ -84,7 +85,7 @@ def _place(part: np.ndarray, pos: np.ndarray, rows: np.ndarray, cum: np.ndarray,
     return shard.astype(np.int32), slot
 
 
-def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 42, rows_per_file: int = 1_000_000) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 42, rows_per_file: int = 1_000_000, bytes_per_file: int = 64 << 20) -> DataFrame:
     """All rows of df with `shard` (0..shards-1) and `slot` (gapless from 0 in each shard), exchanged and in slot order.
 
     Sizes differ by one row at most. Every row goes somewhere, whatever it holds: null ids, empty or very long texts and repeated
@@ -130,7 +131,10 @@ def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 42, rows_per
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], pa.array(shard), pa.array(slot)], [*keep, "shard", "slot"])
 
     placed = staged.mapInArrow(place, T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
-    files = max(1, -(-int(sizes.max(initial=0)) // rows_per_file))
+    fs, at = filesystem(spark, staged.lexloom_path)
+    size = int(fs.getContentSummary(at).getLength())
+    # a shard is as many partitions, each a run of its slots, as its rows and bytes ask for
+    files = max(1, -(-int(sizes.max(initial=0)) // rows_per_file), -(-size // (shards * bytes_per_file)))
     per = max(1, -(-int(sizes.max(initial=1)) // files))
     target = fresh(placed, "_file")
     placed = placed.withColumn(target, (F.col("shard") * files + F.floor(F.col("slot") / per)).cast("int"))

@@ -75,7 +75,9 @@ def test_sharding_query(spark):
 @pytest.mark.parametrize("group", [256, 2])
 def test_sharding_groups_of_partitions(spark, monkeypatch, group):
     monkeypatch.setattr(sharding, "GROUP", group)
-    out = sharding.shuffle_into_shards(spark.range(1000).repartition(7), 3).collect()
+    dealt = sharding.shuffle_into_shards(spark.range(1000).repartition(7), 3, bytes_per_file=1 << 10)
+    assert dealt.rdd.getNumPartitions() > 3
+    out = dealt.collect()
     per = collections.Counter(r["shard"] for r in out)
     assert sorted(per.values()) == [333, 333, 334] and len({(r["shard"], r["slot"]) for r in out}) == 1000
 
