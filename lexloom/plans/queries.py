@@ -13,6 +13,7 @@ from lexloom.operators.chunking import chunk, chunk_id, large_pieces, reference,
 from lexloom.operators.prompts import GUIDES, body
 from lexloom.operators.validate import ddl, statement_rules, validate
 from lexloom.plans.chunk_sql import chunk_sql, listed, pieces_sql
+from lexloom.sources.shared import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -143,7 +144,7 @@ def statement_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Texts: a chunk is a line or a document, a law is a language.
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("law"), "source", "text")
+    return spread(read(spark, sf_dir, "documents")).select("doc_id", F.col("lang").alias("law"), "source", "text")
 
 
 _LINES = r"WITH seg AS (SELECT doc_id, lang, unnest(string_split_regex(chr(57344) || regexp_replace(text, '\n', chr(10) || chr(57344), 'g'), chr(57344))[2:]) AS t, generate_subscripts(string_split_regex(chr(57344) || regexp_replace(text, '\n', chr(10) || chr(57344), 'g'), chr(57344))[2:], 1) AS pos FROM documents), off AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM seg) "

@@ -39,6 +39,16 @@ def shared_table(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+#: Bytes of a table that is read by fewer tasks than there are cores, as it has few row groups, but is worth all of them.
+SPREAD = (1 << 20, 64 << 20)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a small table over all cores; larger ones, which have as many splits as they need, as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if SPREAD[0] <= size < SPREAD[1] else df
+
+
 def filesystem(spark: SparkSession, path: str):
     """(file system, path) of Hadoop, for whatever store the path is in."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
