@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.sources.shared import discard, shared_dir, shared_table  # noqa: F401
+from lexloom.sources.shared import discard, shared_dir, shared_table, spread  # noqa: F401
 
 U64 = np.uint64
 #: LUT of the ASCII white space that separates words: 0x20 and 0x09-0x0D.
@@ -35,7 +35,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
