@@ -23,7 +23,7 @@ SIDE = 9
 _N = 4 * SIDE
 #: Rounds of pairs with the sets that lead the buckets, as long as they find links; in each but the first, pairs of a set and leaders
 #: of a bucket.
-ROUNDS, PICKS, LEADERS = 3, 4, 8
+ROUNDS, PICKS, LEADERS = 4, 4, 8
 #: Sets that differ in size by less than this factor share a size class of the filter.
 WIDTH = 1.03
 
