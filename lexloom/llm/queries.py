@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import bpe, containment, embeddings, html_text, lm, mixing, near_dup, phrases, pii, quality, sharding, suffixes
+from lexloom.llm import bpe, containment, embeddings, hard_negatives, html_text, lm, mixing, near_dup, phrases, pii, quality, sharding, suffixes
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,8 +15,15 @@ QUERIES = {
     "op8_lm": lm.op8_lm,
     "op9_near_dup": near_dup.op9_near_dup,
     "op10_containment": containment.op10_containment,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_phrases": phrases.op12_phrases,
     "op13_mixing": mixing.op13_mixing,
 }
 
-ORACLE_SQL = {"op9_near_dup": near_dup.ORACLE_SQL, "op10_containment": containment.ORACLE_SQL, "op12_phrases": phrases.ORACLE_SQL, "op13_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL = {
+    "op9_near_dup": near_dup.ORACLE_SQL,
+    "op10_containment": containment.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op12_phrases": phrases.ORACLE_SQL,
+    "op13_mixing": mixing.ORACLE_SQL,
+}
