@@ -152,8 +152,8 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     A-Z are lower-cased; pieces end at . , ; : ! ? and line ends, words at blanks and tabs; a phrase lies within a piece. A phrase that
     stands in a longer candidate whenever it occurs gives way to it. Ties of score go by a, then by the bytes of the phrase; ties of
     cuts to the shorter first part. Null texts hold nothing, a null language counts as `und`; very long texts are read whole, each by
-    one task; rows that repeat one count again. Empty tables give an empty result; other columns are not looked at. Quotients are taken
-    of 38 digits and rounded down.
+    one task; rows that repeat one count again. Empty tables give an empty result; other columns are not looked at. Quotients are exact
+    and rounded down, for languages of up to 10^17 words.
     """
     every = counts(docs, least, longest)
     frequent = every.filter("phrase <> ''")
