@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.config import GENERIC_PATTERNS, LAW_PATTERNS, MAX_CHUNK, MIN_CHUNK, MIN_SEGMENT
-from lexloom.functions.text import collapse, pieces, short_hash, strip
+from lexloom.functions.text import collapse, cut, let, running, short_hash, strip
 from lexloom.operators.tagging import law_tags
 
 SEGMENT = "array<struct<text:string,start:bigint>>"
@@ -15,15 +15,11 @@ SEGMENT = "array<struct<text:string,start:bigint>>"
 def segments(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     """From each match to the next, with its position; text before the first match is dropped, as are segments of fewer than 30
     characters after stripping."""
-    empty = F.expr(f"CAST(array() AS {SEGMENT})")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
-    every = F.aggregate(
-        pieces(text, pattern, ignore_case),
-        zero,
-        lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.array_append(a["out"], F.struct(x.alias("text"), a["at"].alias("start"))).alias("out")),
-        lambda a: F.slice(a["out"], F.lit(2), F.greatest(F.size(a["out"]) - 1, F.lit(0))),
-    )
-    return F.filter(every, lambda s: F.length(strip(s["text"])) >= MIN_SEGMENT)
+    def placed(x: Column) -> Column:
+        at = running(F.transform(x["parts"], lambda t: F.length(t).cast("long")))
+        return F.zip_with(x["parts"], at, lambda t, i: F.struct(t.alias("text"), (i + F.length(x["before"])).alias("start")))
+
+    return F.filter(let(cut(text, pattern, ignore_case), placed), lambda s: F.length(strip(s["text"])) >= MIN_SEGMENT)
 
 
 def reference(segment: Column) -> Column:
