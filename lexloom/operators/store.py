@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.config import STRUCTURAL_LEVELS
 from lexloom.functions.text import short_hash, sorted_set
-from lexloom.sources.shared import discard, filesystem, shared_table
+from lexloom.sources.shared import discard, shared_table
+from lexloom.sources.versions import Versions
 
 
 def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -37,57 +39,83 @@ def replaced(store: DataFrame, rows: DataFrame, key: str = "chunk_id", order: st
 
 
 class ParquetStore:
-    """A table in a folder, partitioned by law, with one row a key."""
+    """A table in a folder, in subfolders by law, with one row a key. Each ingest is a version of its own: it is there as a whole or
+    not at all, and of two at a time the second starts again from what the first has left (see `Versions`)."""
 
     stamp = "ingested_at"
 
     def __init__(self, spark: SparkSession, path: str, key: str = "chunk_id"):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        self.versions = Versions(spark, self.path, "law")
 
     def exists(self) -> bool:
-        fs, at = filesystem(self.spark, self.path)
-        return fs.exists(at)
+        return self.versions.latest() > 0
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+    def read(self, version: int | None = None) -> DataFrame:
+        """The latest version, or one of those before it."""
+        rows = self.versions.read(version)
+        if rows is None:
+            raise FileNotFoundError(f"{self.path} holds no rows yet")
+        return rows
 
     def ingest(self, rows: DataFrame, order: str = "seq", replace: bool = False) -> int:
         """The number of rows written. Known keys are left alone, the first of equal new ones wins; with replace the last does, and
-        takes the place of a known one, in whatever law that stands. Either can be run again."""
-        if replace and self.exists():
-            return self._replace(rows, order)
-        fresh = last_wins(rows, self.key, order) if replace else new_rows(self.read(), rows, self.key, order) if self.exists() else first_wins(rows, self.key, order)
-        fresh = fresh.withColumn(self.stamp, F.current_timestamp()).persist()
+        takes the place of a known one, in whatever law that stands. Either can be run again. An order that is named _ is not stored."""
+        change = self._replacing if replace else self._adding
+        return self.versions.update(lambda manifest, old: change(rows, order, manifest, old))
+
+    def _stamped(self, rows: DataFrame, order: str) -> DataFrame:
+        return (rows.drop(order) if order.startswith("_") else rows).withColumn(self.stamp, F.current_timestamp())
+
+    def _added(self, manifest: dict, new: DataFrame, gone: set[str | None]) -> dict:
+        """The manifest with new beside what stands under other laws than those of `gone`."""
+        part, folders = self.versions.add(new)
+        live = {p: kept for p, own in manifest["live"].items() if (kept := [f for f in own if folder_value(f) not in gone])}
+        return {"schema": manifest["schema"] or new.schema.jsonValue(), "live": live | {part: folders}}
+
+    def _adding(self, rows: DataFrame, order: str, manifest: dict, old: DataFrame | None):
+        fresh = new_rows(old, rows, self.key, order) if old is not None else first_wins(rows, self.key, order)
+        new = shared_table(self.spark, self._stamped(fresh, order), "new")
         try:
-            n = fresh.count()
-            if n:
-                fresh.write.mode("append").partitionBy("law").parquet(self.path)
+            n = new.count()
+            return (self._added(manifest, self._as_stored(new, old), set()), n) if n else None
         finally:
-            fresh.unpersist()
-        return n
-
-    def _replace(self, rows: DataFrame, order: str) -> int:
-        """Only the laws that lose or gain rows are written anew; what they will hold is written beside them first."""
-        old = self.read()
-        new = shared_table(self.spark, last_wins(rows, self.key, order).withColumn(self.stamp, F.current_timestamp()), "new")
-        touched = new.select("law").union(old.join(new.select(self.key), self.key, "left_semi").select("law")).distinct()
-        kept = old.join(touched, "law", "left_semi").join(new.select(self.key), self.key, "left_anti").select(old.columns)
-        whole = shared_table(self.spark, kept.unionByName(new.select([c for c in old.columns if c in new.columns]), allowMissingColumns=True), "whole")
-        gone = [r["law"] for r in touched.join(whole.select("law").distinct(), "law", "left_anti").collect()]
-        n = new.count()
-        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("law").parquet(self.path)
-        for law in gone:  # every row of it has moved to another law
-            fs, at = filesystem(self.spark, f"{self.path}/law={law}")
-            fs.delete(at, True)
-        self.spark.catalog.refreshByPath(self.path)
-        discard(new, whole)
-        return n
+            discard(new)
+
+    def _replacing(self, rows: DataFrame, order: str, manifest: dict, old: DataFrame | None):
+        """Only the laws that lose or gain rows are written anew."""
+        new = shared_table(self.spark, self._stamped(last_wins(rows, self.key, order), order), "new")
+        try:
+            n = new.count()
+            if not n:
+                return None
+            if old is None:
+                return self._added(manifest, new, set()), n
+            touched = new.select("law").union(old.join(new.select(self.key), self.key, "left_semi").select("law")).distinct()
+            kept = old.join(touched, "law", "left_semi").join(new.select(self.key), self.key, "left_anti").select(old.columns)
+            whole = self._as_stored(kept.unionByName(new.select([c for c in old.columns if c in new.columns]), allowMissingColumns=True), old)
+            return self._added(manifest, whole, {r["law"] for r in touched.collect()}), n  # a row a law
+        finally:
+            discard(new)
+
+    @staticmethod
+    def _as_stored(new: DataFrame, old: DataFrame | None) -> DataFrame:
+        """With the columns of the store, in their order."""
+        if old is None:
+            return new
+        return new.select(*[F.col(f.name).cast(f.dataType) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in old.schema])
 
     def stats(self) -> dict[str, int]:
         """Rows by law, and in all under an empty name."""
         return {r["law"] or "": r["n"] for r in stats(self.read()).collect()}
 
 
+def folder_value(folder: str) -> str | None:
+    """What a subfolder by a column stands for: Spark writes what a path can't hold as % and two hexadecimal digits."""
+    value = unquote(folder.partition("=")[2])
+    return None if value == "__HIVE_DEFAULT_PARTITION__" else value
+
+
 class StatementStore(ParquetStore):
     """Statements under their ids, last one wins, with the columns that coverage questions ask for."""
 
@@ -97,14 +125,14 @@ class StatementStore(ParquetStore):
         super().__init__(spark, path, "statement_id")
 
     def store_many(self, statements: DataFrame, replace: bool = True) -> int:
-        """statements (law, article_ref, stmt, statement_json; seq, if order matters), typed and valid."""
-        order = F.col("seq") if "seq" in statements.columns else F.monotonically_increasing_id()
+        """statements (law, article_ref, stmt, statement_json; seq, or else they come by law and article), typed and valid."""
+        order = [F.col("seq").alias("seq")] if "seq" in statements.columns else [F.struct(F.upper("law"), "article_ref").alias("_seq")]
         ident = statement_id(F.col("law"), F.col("article_ref"), F.col("stmt.statementId"), F.col("stmt.description"))
         rows = statements.select(
             ident.alias("statement_id"), F.upper("law").alias("law"), "article_ref", source_clause(F.col("stmt.source_clause"), F.col("article_ref")).alias("source_clause"), "statement_json", "stmt",
-            *([F.col("warnings")] if "warnings" in statements.columns else []), *[c.alias(n) for n, c in denormalised("stmt").items()], order.alias("seq"),
+            *([F.col("warnings")] if "warnings" in statements.columns else []), *[c.alias(n) for n, c in denormalised("stmt").items()], *order,
         )
-        return self.ingest(rows, "seq", replace)
+        return self.ingest(rows, rows.columns[-1], replace)
 
     def for_law(self, law: str) -> DataFrame:
         return statements_for_law(self.read(), law)
