@@ -14,15 +14,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import U64, column_bytes, forget, mix64, release, shared_table, slices, table, word_hashes
-from lexloom.sources.shared import filesystem
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-#: Bytes of stored text to a shard, about: what a shard's automaton holds goes with it.
-SHARD = 4 << 20
+#: Bytes of text to a shard, about: what a shard's automaton holds goes with it.
+SHARD = 16 << 20
 #: Characters that an automaton is run over at once, so many matches are held.
 SCANNED = 1 << 20
 #: A-Z in lower case, and what ends a piece as a line feed; the tab as a blank.
@@ -53,28 +53,38 @@ def _by_lang(langs: list, texts: list[bytes]) -> dict[str, list[bytes]]:
     return out
 
 
+def _dealt(batches):
+    """(shard, lang, text): rows that follow each other share a shard as long as their texts fit."""
+    shard, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        ends = size + np.cumsum(np.fromiter((len(x) for x in column_bytes(batch, "text")), np.int64, batch.num_rows))
+        before = np.concatenate(([size], ends[:-1]))
+        size = int(ends[-1]) if len(ends) else size
+        yield pa.RecordBatch.from_arrays([pa.array(shard + before // SHARD), batch.column(0), batch.column(1)], ["shard", "lang", "text"])
+
+
 def _sketched(batches):
-    """(cell, shard, n) of batches (shard, lang, text), summed up over some rows."""
+    """(cell, shard, n) of batches (shard, lang, text), summed up for each shard and language as far as rows follow each other."""
     forget()
-    held, size = {}, 0
+    held: dict[str, list[bytes]] = {}
+    now = None
 
     def sums():
-        for (shard, lang), texts in held.items():
-            pieces = _pieces(texts)
-            if not pieces:
-                continue
-            one, two, inside = _cells(pieces, lang)
-            cells, n = np.unique(np.concatenate([one, two[inside]]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cells.view(np.int64)), pa.array(np.full(len(cells), shard, np.int32)), pa.array(n)], ["cell", "shard", "n"])
+        for lang, texts in held.items():
+            if pieces := _pieces(texts):
+                one, two, inside = _cells(pieces, lang)
+                cells, n = np.unique(np.concatenate([one, two[inside]]), return_counts=True)
+                for at in range(0, len(cells), 1 << 16):
+                    part = cells[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(np.full(len(part), now)), pa.array(n[at : at + (1 << 16)])], ["cell", "shard", "n"])
+        held.clear()
 
     for batch in slices(batches):
-        texts = column_bytes(batch, "text")
-        for shard, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
-            held.setdefault((shard, lang), []).append(text)
-            size += len(text)
-            if size >= 4 * SHARD:
+        for shard, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), column_bytes(batch, "text")):
+            if shard != now:
                 yield from sums()
-                held, size = {}, 0
+                now = shard
+            held.setdefault(lang, []).append(text)
     yield from sums()
 
 
@@ -113,15 +123,12 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataF
     """(lang, phrase, f) of docs (text, lang): all phrases of up to `longest` words that occur `least` times or more in their language,
     and under the empty phrase the number of its words. Null texts are empty, a null language is `und`."""
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    staged = shared_table(spark, rows, "phrases")
-    fs, at = filesystem(spark, staged.lexloom_path)
-    shards = max(1, -(-int(fs.getContentSummary(at).getLength()) // SHARD))
-    dealt = staged.select((F.col("row") % shards).cast("int").alias("shard"), "lang", "text")
-    sketch = dealt.mapInArrow(_sketched, "cell long, shard int, n long")
+    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = shared_table(spark, rows.mapInArrow(_dealt, "shard long, lang string, text string"), "dealt")
+    sketch = dealt.mapInArrow(_sketched, "cell long, shard long, n long")
     # a cell has a row a shard, or few: its sum is taken where its rows meet, and each shard told of it
     often = sketch.withColumn("most", F.sum("n").over(Window.partitionBy("cell"))).filter(F.col("most") >= least)
-    own = often.groupBy("shard").agg(F.collect_set("cell").alias("cells"))
+    own = shared_table(spark, often.groupBy("shard").agg(F.collect_set("cell").alias("cells")), "cells")
 
     def scan(key, texts: pa.Table, cells: pa.Table) -> pa.Table:
         often = np.sort(np.array(cells.column("cells")[0].as_py(), np.int64).view(U64)) if cells.num_rows else np.zeros(0, U64)
