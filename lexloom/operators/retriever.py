@@ -52,7 +52,7 @@ class TfIdfEmbedder:
 
     def embed(self, texts: DataFrame) -> DataFrame:
         """(law, chunk_id, term, w) of texts (law, chunk_id, text); a text without a known term has no rows."""
-        return tfidf.vectors(tfidf.weights(tfidf.counts(texts), self.vocabulary))
+        return tfidf.vectors(texts.select("law", "chunk_id", F.lit(None).cast("array<string>").alias("concept_tags"), "text"), self.vocabulary)
 
     def nearest(self, chunks: DataFrame, law: str, concept: str, query: str, top_k: int, min_score: float) -> DataFrame:
         queries = tfidf.queries_table(chunks.sparkSession, {concept: query})

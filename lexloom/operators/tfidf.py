@@ -32,11 +32,14 @@ def counts(chunks: DataFrame) -> DataFrame:
     return rows.select("law", "chunk_id", F.inline(runs))
 
 
-def fit(chunks: DataFrame, tf: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
-    """(law, term, ctf, df, idf): the most frequent terms of each law; ties by term. The window sees one row a term, and only its
-    first rows pass the group limit."""
+def fit(chunks: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
+    """(law, term, ctf, df, idf): the most frequent terms of each law; ties by term. Every occurrence and, beside it, every term of a
+    chunk once are counted in one aggregation, combined before its shuffle. The window sees one row a term, and only its first rows
+    pass the group limit."""
     n = chunks.groupBy("law").agg(F.count(F.lit(1)).alias("n"))
-    vocabulary = tf.groupBy("law", "term").agg(F.sum("tf").alias("ctf"), F.count(F.lit(1)).alias("df"))
+    found = chunks.select("law", terms(F.col("text")).alias("t"))
+    both = found.select("law", F.posexplode(F.array("t", F.array_distinct("t"))).alias("once", "t")).select("law", "once", F.explode("t").alias("term"))
+    vocabulary = both.groupBy("law", "term").agg(F.count_if(F.col("once") == 0).alias("ctf"), F.count_if(F.col("once") == 1).alias("df"))
     rank = F.row_number().over(Window.partitionBy("law").orderBy(F.desc("ctf"), "term"))
     kept = vocabulary.withColumn("_k", rank).filter(F.col("_k") <= max_terms).drop("_k")
     return kept.join(n, "law").select("law", "term", "ctf", "df", (F.log((F.lit(1) + F.col("n")) / (F.lit(1) + F.col("df"))) + 1).alias("idf"))
@@ -44,7 +47,7 @@ def fit(chunks: DataFrame, tf: DataFrame, max_terms: int = MAX_TERMS) -> DataFra
 
 def fitted(chunks: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     """The vocabulary as a table that was written once: what reads it is planned with its true size, so it is broadcast if small."""
-    return shared_table(chunks.sparkSession, fit(chunks, counts(chunks), max_terms), "vocabulary")
+    return shared_table(chunks.sparkSession, fit(chunks, max_terms), "vocabulary")
 
 
 def save(vocabulary: DataFrame, path: str) -> None:
@@ -57,19 +60,16 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("term string, ctf long, df long, idf double, law string").parquet(path).select("law", "term", "ctf", "df", "idf")
 
 
-def weights(tf: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(law, chunk_id, term, w), unscaled; see `norms`."""
-    return tf.join(vocabulary.select("law", "term", "idf"), ["law", "term"]).select("law", "chunk_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-
-
-def norms(w: DataFrame) -> DataFrame:
-    """Rows of a chunk stand together, so their sums are combined before the shuffle."""
-    return w.groupBy("law", "chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-
-
-def vectors(w: DataFrame) -> DataFrame:
-    """(law, chunk_id, term, w) of length one."""
-    return w.join(norms(w), ["law", "chunk_id"]).select("law", "chunk_id", "term", (F.col("w") / F.col("norm")).alias("w"))
+def sparse(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(law, chunk_id, concept_tags, norm, vector array<struct<term,w>>) of chunks (law, chunk_id, concept_tags, text), a row each; without
+    a known term the vector is null. Texts are dealt out by chunk first, so that terms need no shuffle of their own."""
+    dealt = chunks.select("law", "chunk_id", "concept_tags", "text").repartition("law", "chunk_id")
+    found = dealt.select("law", "chunk_id", F.explode(terms(F.col("text"))).alias("term"))
+    known = found.join(vocabulary.select("law", "term", "idf"), ["law", "term"])
+    tf = known.groupBy("law", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
+    w = tf.withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    vector = w.groupBy("law", "chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.array_sort(F.collect_list(F.struct("term", "w"))).alias("vector"))
+    return chunks.select("law", "chunk_id", "concept_tags").join(vector, ["law", "chunk_id"], "left")
 
 
 def queries_table(spark: SparkSession, queries: dict[str, str] | None = None) -> DataFrame:
@@ -81,34 +81,52 @@ def asked(concepts: DataFrame, queries: DataFrame) -> DataFrame:
     return concepts.select("concept").distinct().join(queries, "concept", "left").select("concept", F.coalesce("query", "concept").alias("query"))
 
 
+def vectors(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(law, chunk_id, term, w) of length one."""
+    return exploded(sparse(chunks, vocabulary))
+
+
+def exploded(rows: DataFrame) -> DataFrame:
+    """(law, chunk_id, term, w) of rows as `sparse` has them."""
+    return rows.select("law", "chunk_id", "norm", F.explode("vector").alias("x")).select("law", "chunk_id", "x.term", (F.col("x.w") / F.col("norm")).alias("w"))
+
+
 def retrieve(chunks: DataFrame, queries: DataFrame, top_k: int = TOP_K, min_score: float = 0.0, max_terms: int = MAX_TERMS, tagged: bool = True, vocabulary: DataFrame | None = None) -> DataFrame:
     """(law, concept, chunk_id, score, rk) for all laws and queries (concept, query) at once. Only chunks that carry the concept's
     tag are candidates; ties go by chunk_id; candidates without a common term score 0.
 
-    Chunks are read twice: for the vocabulary, unless one is given, and for the products, whose terms are summed up in the task that
-    reads them. Of the candidates that score 0 only as many as could be wanted are made.
+    Chunks are read twice: for the vocabulary, unless one is given, and for their vectors; `Postings` keeps these. Of the candidates
+    that score 0 only as many as could be wanted are made.
     """
     vocabulary = fitted(chunks, max_terms) if vocabulary is None else vocabulary
-    idf = vocabulary.select("law", "term", "idf")
-    q = queries.select("concept", F.explode(terms(F.col("query"))).alias("term")).groupBy("concept", "term").agg(F.count(F.lit(1)).alias("tf"))
-    qw = shared_table(chunks.sparkSession, q.join(idf, "term").select("law", "concept", "term", ((1 + F.log("tf")) * F.col("idf")).alias("qw")), "asked")
-    qn = qw.groupBy("law", "concept").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    by_term = qw.groupBy("law", "term").agg(F.collect_list(F.struct("concept", "qw")).alias("asking"))
-    w = weights(counts(chunks), vocabulary).join(by_term, ["law", "term"], "left")
-    # a row for the length of the chunk's vector, under no concept, and one for each concept that asks for the term
-    none = F.array(F.struct(F.lit(None).cast("string").alias("concept"), F.col("w").alias("qw")))
-    parts = w.select("law", "chunk_id", "w", F.explode(F.concat(none, F.coalesce("asking", F.expr("CAST(array() AS array<struct<concept:string,qw:double>>)")))).alias("x"))
-    sums = parts.groupBy("law", "chunk_id", "x.concept").agg(F.sum(F.col("w") * F.col("x.qw")).alias("v"))
-    own = sums.filter("concept IS NULL").select("law", "chunk_id", F.sqrt("v").alias("norm"))
-    scored = sums.filter("concept IS NOT NULL").join(own, ["law", "chunk_id"]).join(qn, ["law", "concept"])
-    scored = scored.select("law", "concept", "chunk_id", F.coalesce(F.try_divide("v", F.col("norm") * F.col("qn")), F.lit(0.0)).alias("score"))
-    every = queries.agg(F.array_sort(F.collect_set("concept")).alias("every"))  # one row
-    tags = F.array_intersect("concept_tags", "every") if tagged else F.col("every")
-    cand = chunks.select("law", "chunk_id", *(["concept_tags"] if tagged else [])).crossJoin(F.broadcast(every)).select("law", "chunk_id", F.explode(tags).alias("concept"))
-    if tagged:
-        scored = scored.join(cand.distinct(), ["law", "concept", "chunk_id"], "left_semi")
+    q = shared_table(chunks.sparkSession, query_weights(queries, vocabulary), "asked")
+    rows = chunks if "concept_tags" in chunks.columns else chunks.withColumn("concept_tags", F.lit(None).cast("array<string>"))
+    sums = vectors(rows, vocabulary).join(q, ["law", "term"]).groupBy("law", "concept", "chunk_id").agg(F.sum(F.col("q") * F.col("w")).alias("score"))
+    return best(tagged_only(sums, chunks) if tagged else sums, chunks, queries, top_k, min_score, tagged)
+
+
+def query_weights(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(law, concept, term, q): the vectors of queries (concept, query) by each law's vocabulary, of length one."""
+    counted = queries.select("concept", F.explode(terms(F.col("query"))).alias("term")).groupBy("concept", "term").agg(F.count(F.lit(1)).alias("tf"))
+    w = counted.join(vocabulary.select("law", "term", "idf"), "term").withColumn("qw", (1 + F.log("tf")) * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("law", "concept")))
+    return w.select("law", "concept", "term", (F.col("qw") / length).alias("q"))
+
+
+def tagged_only(scored: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Those of scored (law, concept, chunk_id, score) whose chunk carries the concept's tag."""
+    tags = chunks.select("law", "chunk_id", F.explode("concept_tags").alias("concept")).distinct()
+    return scored.join(tags, ["law", "concept", "chunk_id"], "left_semi")
+
+
+def best(scored: DataFrame, chunks: DataFrame, queries: DataFrame, top_k: int, min_score: float, tagged: bool) -> DataFrame:
+    """(law, concept, chunk_id, score, rk): the best of scored, which are candidates with a common term, and of those without one, which
+    score 0; of these only as many as could be wanted are made."""
     scored = scored.filter(F.col("score") >= min_score)
     if min_score <= 0:
+        every = queries.agg(F.array_sort(F.collect_set("concept")).alias("every"))  # one row
+        tags = F.array_intersect("concept_tags", "every") if tagged else F.col("every")
+        cand = chunks.select("law", "chunk_id", *(["concept_tags"] if tagged else [])).crossJoin(F.broadcast(every)).select("law", "chunk_id", F.explode(tags).alias("concept"))
         place = F.row_number().over(Window.partitionBy("law", "concept").orderBy("chunk_id"))
         first = _top(scored, top_k).select("law", "concept", "chunk_id")
         rest = cand.withColumn("_k", place).filter(F.col("_k") <= 2 * top_k).drop("_k").join(first, ["law", "concept", "chunk_id"], "left_anti")

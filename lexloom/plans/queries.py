@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,10 +12,11 @@ from lexloom.functions.text import percent
 from lexloom.operators import extract as ex
 from lexloom.operators import gaps, store, tagging, tfidf
 from lexloom.operators.chunking import chunk, chunk_id, large_pieces, reference, segments
+from lexloom.operators.postings import Postings
 from lexloom.operators.prompts import GUIDES, body
 from lexloom.operators.validate import ddl, statement_rules, validate
 from lexloom.plans.chunk_sql import chunk_sql, listed, pieces_sql
-from lexloom.sources.shared import spread
+from lexloom.sources.shared import filesystem, shared_dir, spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -253,6 +256,31 @@ def _doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("law", F.format_string("%08d", "doc_id").alias("chunk_id"), F.col("source").alias("article_ref"), "text")
 
 
+def _kept_at(spark: SparkSession, sf_dir: str) -> str:
+    """A folder in the shared one for what is made of the documents once: named by the state of the table's files, so that a table that
+    has changed has another."""
+    fs, at = filesystem(spark, f"{sf_dir}/documents.parquet")
+    files = [(x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in (fs.listStatus(at) or [])]
+    return f"{shared_dir(spark).rstrip('/')}/lexloom-index-{hashlib.sha1(repr(sorted(files)).encode()).hexdigest()[:16]}"
+
+
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on the documents, each a chunk, when first asked for, and saved."""
+    path = f"{_kept_at(spark, sf_dir)}/vocabulary"
+    fs, at = filesystem(spark, f"{path}/_SUCCESS")
+    if not fs.exists(at):
+        tfidf.save(tfidf.fit(_doc_chunks(spark, sf_dir)), path)
+    return tfidf.load(spark, path)
+
+
+def _postings(spark: SparkSession, sf_dir: str) -> Postings:
+    """The index of the documents, ingested when first asked for."""
+    postings = Postings(spark, f"{_kept_at(spark, sf_dir)}/postings")
+    if not postings.exists():
+        postings.add(_doc_chunks(spark, sf_dir), _vocabulary(spark, sf_dir))
+    return postings
+
+
 _TF = (
     f"WITH w AS (SELECT lang AS law, printf('%08d', doc_id) AS chunk_id, regexp_extract_all(translate(lower(text), '{tfidf.ACCENTED}', '{tfidf.PLAIN}'), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS a FROM documents), "
     "t AS (SELECT law, chunk_id, unnest(list_concat(a, list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]))) AS term FROM w), "
@@ -265,14 +293,12 @@ _TF = (
 
 @query(_TF + "SELECT law, term, CAST(ctf AS BIGINT) AS ctf, df, round(idf, 6) AS idf FROM idf")
 def tfidf_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _doc_chunks(spark, sf_dir)
-    return tfidf.fit(chunks, tfidf.counts(chunks)).withColumn("idf", F.round("idf", 6))
+    return _vocabulary(spark, sf_dir).withColumn("idf", F.round("idf", 6))
 
 
 @query(_TF + "SELECT law, term, count(*) AS n, round(sum(w / norm), 4) AS total FROM x JOIN nm USING (law, chunk_id) GROUP BY 1, 2")
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _doc_chunks(spark, sf_dir)
-    v = tfidf.vectors(tfidf.weights(tfidf.counts(chunks), tfidf.fitted(chunks)))
+    v = tfidf.exploded(_postings(spark, sf_dir).vectors())
     return v.groupBy("law", "term").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 4).alias("total"))
 
 
@@ -286,7 +312,7 @@ _TOP = _TF + (
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.retrieve(_doc_chunks(spark, sf_dir), tfidf.queries_table(spark, _ASKED), 3, 1e-9, tagged=False)
+    return _postings(spark, sf_dir).retrieve(tfidf.queries_table(spark, _ASKED), _vocabulary(spark, sf_dir), 3, 1e-9, tagged=False)
 
 
 _RANKED = "r AS (SELECT law, concept, chunk_id, score, CAST(rk AS INTEGER) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY law, concept ORDER BY round(score, 12) DESC, chunk_id) AS rk FROM s) WHERE rk <= 3) "
