@@ -1,16 +1,17 @@
 """Phrase collocations: candidates from sketch upper bounds, compiled into delimiter-guarded automata that scan shards.
 
-The documents are dealt into shards. A first scan counts words and pairs of neighbours in a count-min sketch of one row, which is held as
-a table: (cell, shard, n), the cell a 64-bit hash of language and words. A cell's sum bounds from above how often what falls into it
-occurs, and a longer phrase occurs no more often than any pair in it. Each shard gets its own cells that reach the threshold; a second
-scan compiles the phrases of the shard whose words and pairs all have such cells into an automaton, counts their overlapping matches,
-and the sums over the shards are exact. So no table of the whole corpus is ever held in one place, and a hash that two phrases share
-costs a needless count, never a wrong one.
+The documents are dealt into shards. A first scan counts pairs and triples of neighbouring words in a count-min sketch of one row, which
+is held as a table: (cell, shard, n), the cell a 64-bit hash of language and words. A cell's sum bounds from above how often what falls
+into it occurs, and a longer phrase occurs no more often than any triple in it. Each shard gets its own cells that reach the threshold;
+a second scan counts the shard's words, compiles the phrases whose pairs or triples all have such cells into an automaton, counts their
+overlapping matches, and the sums over the shards are exact. So no table of the whole corpus is ever held in one place, and a hash that
+two phrases share costs a needless count, never a wrong one.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +35,16 @@ def _pieces(texts: list[bytes]) -> list[bytes]:
     return [p for p in b"\n".join(texts).translate(_CLEAN).split(b"\n") if p and not p.isspace()]
 
 
-def _cells(pieces: list[bytes], lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The cell of each word; of each word and the next one; and whether that stands in the same piece."""
+def _cells(pieces: list[bytes], lang: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(cell, inside) of the pairs and of the triples that begin at each word: whether they lie within a piece."""
     words, counts = word_hashes(pieces, lower=False)
-    seed = int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
+    seed = U64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
+    owner = np.repeat(np.arange(len(pieces)), counts)
     with np.errstate(over="ignore"):
-        one = mix64(words + U64(seed))
+        one = mix64(words + seed)
         two = mix64(one[:-1] * U64(0x100000001B3) + mix64(one[1:] + U64(2)))
-    owner = np.repeat(np.arange(len(pieces)), counts)
-    return one, two, owner[1:] == owner[:-1]
+        three = mix64(two[:-1] * U64(0x100000001B3) + mix64(one[2:] + U64(3)))
+    return [(two, owner[1:] == owner[:-1]), (three, owner[2:] == owner[:-2])]
 
 
 def _by_lang(langs: list, texts: list[bytes]) -> dict[str, list[bytes]]:
@@ -72,8 +74,7 @@ def _sketched(batches):
     def sums():
         for lang, texts in held.items():
             if pieces := _pieces(texts):
-                one, two, inside = _cells(pieces, lang)
-                cells, n = np.unique(np.concatenate([one, two[inside]]), return_counts=True)
+                cells, n = np.unique(np.concatenate([c[inside] for c, inside in _cells(pieces, lang)]), return_counts=True)
                 for at in range(0, len(cells), 1 << 16):
                     part = cells[at : at + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(np.full(len(part), now)), pa.array(n[at : at + (1 << 16)])], ["cell", "shard", "n"])
@@ -88,18 +89,17 @@ def _sketched(batches):
     yield from sums()
 
 
-def _matches(pieces: list[bytes], lang: str, often: np.ndarray, longest: int) -> dict[str, int]:
-    """How often the phrases of the pieces occur whose words and pairs have cells among `often`, which is sorted."""
+def _matches(pieces: list[bytes], words: list[bytes], lang: str, often: np.ndarray, longest: int) -> dict[str, int]:
+    """How often the phrases of the pieces, whose words are given, occur whose pairs or triples have cells among `often`, which is sorted."""
     import ahocorasick
 
-    one, two, inside = _cells(pieces, lang)
     has = lambda x: often[np.searchsorted(often, x).clip(0, max(0, len(often) - 1))] == x if len(often) else np.zeros(len(x), bool)
-    words = b"\n".join(pieces).split()
-    found: set[bytes] = {words[i] for i in np.flatnonzero(has(one))}
-    pair = run = has(two) & inside
+    pair, triple = (has(c) & inside for c, inside in _cells(pieces, lang))
+    found: set[bytes] = set()
+    run = pair
     for m in range(2, longest + 1):
         found.update(b" ".join(words[i : i + m]) for i in np.flatnonzero(run).tolist())
-        run = run[:-1] & pair[m - 1 :]
+        run = triple if m == 2 else run[:-1] & triple[m - 2 :]
     if not found:
         return {}
     phrases = [p.decode() for p in found]
@@ -108,14 +108,17 @@ def _matches(pieces: list[bytes], lang: str, often: np.ndarray, longest: int) ->
         automaton.add_word(f" {p} ", i)
     automaton.make_automaton()
     total = np.zeros(len(phrases), np.int64)
-    start = size = 0
-    for end, p in enumerate(pieces, 1):
-        size += len(p)
-        if size >= SCANNED or end == len(pieces):
+    # pieces without such a pair hold none of the phrases
+    first = np.cumsum([0, *[len(p.split()) for p in pieces]])
+    some = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(pair), [pair.sum()]))[first.clip(0, len(pair))]))
+    held, size = [], 0
+    for n, k in enumerate(some.tolist(), 1):
+        held.append(b" " + b" ".join(words[first[k] : first[k + 1]]) + b" ")
+        size += len(held[-1])
+        if size >= SCANNED or n == len(some):
             # neighbours share the blank between them, so matches may overlap
-            text = b"\n".join(b" " + b" ".join(x.split()) + b" " for x in pieces[start:end]).decode()
-            total += np.bincount(np.fromiter((i for _, i in automaton.iter(text)), np.int64), minlength=len(phrases))
-            start, size = end, 0
+            total += np.bincount(np.fromiter((i for _, i in automaton.iter(b"\n".join(held).decode())), np.int64), minlength=len(phrases))
+            held, size = [], 0
     return dict(zip(phrases, total.tolist()))
 
 
@@ -137,7 +140,9 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataF
             pieces = _pieces(own)
             if not pieces:
                 continue
-            found = {"": sum(len(p.split()) for p in pieces)} | _matches(pieces, lang, often, longest)
+            words = b"\n".join(pieces).split()
+            once = Counter(words)
+            found = {"": len(words)} | {w.decode(): n for w, n in once.items()} | _matches(pieces, words, lang, often, longest)
             for column, x in zip(out, ([lang] * len(found), found.keys(), found.values())):
                 column.extend(x)
         release()
