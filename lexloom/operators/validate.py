@@ -1,8 +1,8 @@
 """Validation of extracted JSON against the statement model.
 
 A schema tells the fields of each class; a check walks the parsed JSON with the lenient rules of the model: strings are stripped,
-whole numbers may come as text, float or boolean, either name of a field is taken, further keys are ignored. Cross-field rules are
-plain column expressions over typed statements.
+whole numbers may come as text, float or boolean, either name of a field is taken, further keys are ignored. Tables are checked by the
+same rules compiled to expressions (`compiled`). Cross-field rules are plain column expressions over typed statements.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ import hashlib
 import json
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,13 +71,34 @@ CLASSES: dict[str, list[Field]] = {
 }
 
 
+@dataclass(frozen=True)
+class Model:
+    """Classes and vocabularies that statements are checked against; rules of a class are conditions over its fields in SQL, with the
+    field that is at fault and what is said of it."""
+
+    classes: dict[str, list[Field]]
+    enums: dict[str, list[str]]
+    rules: dict[str, tuple[tuple[str, str, str], ...]]
+
+    def fields(self, name: str) -> list[Field]:
+        own = self.classes[name]
+        return own if any(f.name == SOURCE.name for f in own) else [*own, SOURCE]
+
+    def ddl(self, name: str) -> str:
+        """The class as a Spark type."""
+        parts = []
+        for f in self.fields(name):
+            kind = "string" if f.kind == "str" or f.kind in self.enums else "bigint" if f.kind == "int" else self.ddl(f.kind)
+            parts.append(f"{f.name}: " + (f"array<{kind}>" if f.many else kind))
+        return f"struct<{', '.join(parts)}>"
+
+
+RULES = {"DataTransfer": (("{mechanism} = 'AdequacyDecision' AND coalesce({adequacyDecisionRef}, '') = ''", "adequacyDecisionRef", "needed with AdequacyDecision"),)}
+MODEL = Model(CLASSES, ENUMS, RULES)
+
+
 def ddl(name: str) -> str:
-    """The class as a Spark type."""
-    parts = []
-    for f in [*CLASSES[name], SOURCE]:
-        kind = "string" if f.kind == "str" or f.kind in ENUMS else "bigint" if f.kind == "int" else ddl(f.kind)
-        parts.append(f"{f.name}: " + (f"array<{kind}>" if f.many else kind))
-    return f"struct<{', '.join(parts)}>"
+    return MODEL.ddl(name)
 
 
 def new_id(name: str, at: list[str], seed: str) -> str:
@@ -156,21 +176,6 @@ def validate_json(name: str, raw: str | None, seed: str | None = None) -> tuple[
     return (None if errors else json.dumps(out)), errors
 
 
-def validate(df: DataFrame, concept: str = "concept", raw: str = "json_str") -> DataFrame:
-    """df with `valid`, `normal` (JSON) and `errors`; in Arrow batches, since leniency and dynamic keys are beyond from_json."""
-    out = df.schema
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*out.fields, T.StructField("valid", T.BooleanType()), T.StructField("normal", T.StringType()), T.StructField("errors", T.ArrayType(T.StringType()))])
-
-    def run(batches):
-        for pdf in batches:
-            got = [validate_json(c, r) if c in CLASSES else (None, [f"{c}: unknown class"]) for c, r in zip(pdf[concept], pdf[raw])]
-            yield pdf.assign(valid=[not e for _, e in got], normal=[n for n, _ in got], errors=[e for _, e in got])
-
-    return df.mapInPandas(run, schema)
-
-
 def _in(x: Column, values: list[str]) -> Column:
     return F.coalesce(x.isin(values), F.lit(False))
 

@@ -14,7 +14,8 @@ from lexloom.operators import gaps, store, tagging, tfidf
 from lexloom.operators.chunking import chunk, chunk_id, large_pieces, reference, segments
 from lexloom.operators.postings import Postings
 from lexloom.operators.prompts import GUIDES, body
-from lexloom.operators.validate import ddl, statement_rules, validate
+from lexloom.operators.compiled import validate
+from lexloom.operators.validate import ddl, statement_rules
 from lexloom.plans.chunk_sql import chunk_sql, listed, pieces_sql
 from lexloom.sources.shared import filesystem, shared_dir, spread
 

@@ -13,7 +13,8 @@ from lexloom.operators import store as st
 from lexloom.operators import tfidf
 from lexloom.operators.chunking import chunk
 from lexloom.operators.retriever import fitted_embedder
-from lexloom.operators.validate import ddl, statement_rules, validate
+from lexloom.operators.compiled import validate
+from lexloom.operators.validate import ddl, statement_rules
 from lexloom.plans.report import Report
 from lexloom.sources import xmi
 from lexloom.sources.laws import parse_specs, read_laws
