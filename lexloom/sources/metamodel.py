@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
 from lexloom.config import ENUMS
-from lexloom.operators.validate import CLASSES, SOURCE, Field
+from lexloom.operators.validate import CLASSES, RULES, SOURCE, Field, Model
 from lexloom.sources.shared import filesystem
 
 PLAIN = {"string": "str", "int": "int", "long": "int"}
@@ -42,6 +43,26 @@ def parsed(text: str) -> tuple[dict[str, list[Field]], dict[str, list[str]]]:
     return classes, enums
 
 
+def model(text: str) -> Model:
+    """The model as the validator, the types, the files of statements and the Ecore file take it: a field has the second name that those
+    of this package have, ids may be left out, and the field of a class of this package is as strict as there. Rules are those of the
+    classes by name: constraints in the text are kept beside them by `constraints`, not read."""
+    classes, enums = parsed(text)
+    out = {}
+    for name, fields in classes.items():
+        ours = {f.name: f for f in CLASSES.get(name, [])}
+        snake = lambda n: "".join(f"_{c.lower()}" if c.isupper() else c for c in n)
+        out[name] = [ours.get(f.name) if f.name in ours and (ours[f.name].kind, ours[f.name].many) == (f.kind, f.many) else replace(f, required=f.required and not (i == 0 and f.name.endswith("Id")), other=snake(f.name)) for i, f in enumerate(fields)]
+    return Model(out, enums, {n: r for n, r in RULES.items() if n in out and {"mechanism", "adequacyDecisionRef"} <= {f.name for f in out[n]}})
+
+
+def constraints(text: str) -> dict[str, dict[str, dict]]:
+    """By class and name: severity (error, unless it is said to be a warning), expression and message."""
+    found = {n: c for p in json.loads(text)["packages"].values() for n, c in p.get("classes", {}).items()}
+    plain = lambda x: {"severity": "error", "expression": x, "message": ""} if isinstance(x, str) else {"severity": x.get("severity", "error"), "expression": x["expression"], "message": x.get("message", "")}
+    return {n: {k: plain(x) for k, x in c["constraints"].items()} for n, c in found.items() if c.get("constraints")}
+
+
 def read(spark: SparkSession, path: str) -> tuple[dict[str, list[Field]], dict[str, list[str]]]:
     """From whatever store the path is in."""
     fs, at = filesystem(spark, path)
