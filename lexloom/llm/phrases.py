@@ -23,7 +23,7 @@ from lexloom.llm.common import U64, column_bytes, forget, mix64, release, shared
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Bytes of text to a shard, about: what a shard's automaton holds goes with it.
-SHARD = 16 << 20
+SHARD = 12 << 20
 #: Characters that an automaton is run over at once, so many matches are held.
 SCANNED = 1 << 20
 #: A-Z in lower case, and what ends a piece as a line feed; the tab as a blank.
@@ -136,8 +136,9 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataF
     def scan(key, texts: pa.Table, cells: pa.Table) -> pa.Table:
         often = np.sort(np.array(cells.column("cells")[0].as_py(), np.int64).view(U64)) if cells.num_rows else np.zeros(0, U64)
         out: list[list] = [[], [], []]
-        for lang, own in _by_lang(texts.column("lang").to_pylist(), [x.encode() for x in texts.column("text").to_pylist()]).items():
-            pieces = _pieces(own)
+        by_lang = _by_lang(texts.column("lang").to_pylist(), texts.column("text").cast(pa.binary()).to_pylist())
+        for lang in list(by_lang):
+            pieces = _pieces(by_lang.pop(lang))
             if not pieces:
                 continue
             words = b"\n".join(pieces).split()
