@@ -2,8 +2,9 @@
 
 An item's sketch is the bottom-k MinHash of its shingles, with a k that goes with its size: a document that holds four fifths of an
 item lacks at most `slack` of its shingles, so of a sketch of slack + FOUND it holds FOUND at least, however long the document is.
-The search looks the document's shingles up in the sketches and loses no item. Documents and items are partitioned by size, and an
-item is only met by the partitions that can hold enough of it. DataFrame functions only.
+The search looks the document's shingles up in the sketches and loses no item. Documents are partitioned by size, and the sketch of an
+item stands in those partitions only that can hold enough of it: the size is part of the key that documents and sketches meet by.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from lexloom.llm.common import shared_table, table
 SHINGLE, PERCENT = 5, 80
 #: Of a sketch so many have to be found, or all that an item of few shingles must have.
 FOUND = 6
+#: The last partition by size: that of 2 ** 31 windows and more.
+LAST = 31
 #: Bytes of the item tables that are broadcast at most, ROW for each row besides its text; larger ones are joined by shuffle.
 BROADCAST_BYTES, ROW = 32 << 20, 80
 
@@ -50,8 +53,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_item, n_found, containment) of each document that holds 80 % of an item's five-word shingles or more.
 
     Words are lower-cased and split at white space; an item of fewer than five words is one shingle. Null and empty texts hold
-    nothing and are held by nothing, as are rows with null ids. What rows that share an id hold adds up, as far as each row is
-    large enough for its partition. Very long texts are searched whole; items of equal text are found alike, each under its id; an
+    nothing and are held by nothing, as are rows with null ids. What rows that share an id hold adds up, however small each is. Very long texts are searched whole; items of equal text are found alike, each under its id; an
     item at the threshold exactly is held. Empty tables give an empty result; other columns are not looked at.
     """
     spark = docs.sparkSession
@@ -77,8 +79,14 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     split = docs.select("doc_id", _words("text").alias("_w"))
     every = F.concat(*[_hashes(k) for k in sizes]) if sizes else F.expr("CAST(array() AS array<bigint>)")
     part = F.floor(F.log2(F.greatest(F.size("_w") * F.lit(max(1, len(sizes))), F.lit(1)))).cast("int")
-    looked_up = split.select("doc_id", part.alias("part"), F.explode(every).alias("h"))
-    hits = looked_up.join(_small(sketches, total), "h").filter("part >= least_part")
+    # what rows that share an id hold adds up, so none of them is too small: they are in the last partition
+    shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select("doc_id", F.lit(LAST).alias("_part"))
+    shared = shared_table(spark, shared, "shared")
+    placed = split.join(_small(shared, shared.count() * ROW), "doc_id", "left").select("doc_id", F.coalesce("_part", part).alias("part"), "_w")
+    looked_up = placed.select("doc_id", "part", F.explode(every).alias("h"))
+    # each partition is asked for the items that it can hold only
+    asked = sketches.withColumn("part", F.explode(F.sequence(F.greatest("least_part", F.lit(0)), F.lit(LAST)))).drop("least_part")
+    hits = looked_up.join(_small(asked, total * (LAST + 1)), ["part", "h"])
     candidates = hits.groupBy("doc_id", "item_id", "need").agg(F.countDistinct("h").alias("found")).filter("found >= need").select("doc_id", "item_id")
     candidates = shared_table(spark, candidates, "candidates")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import U64, fresh, mix64, shared_table, table, text_or_empty
+from lexloom.llm.common import U64, fresh, mix64, shared_table, text_or_empty
 from lexloom.sources.shared import filesystem
 
 #: Partitions that share a matrix. The driver draws what each group of so many sends to each shard, a task the matrix of its group.
@@ -144,5 +144,5 @@ def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 42, rows_per
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents are dealt out; size and text_crc32 are those of the text that arrived in the shard."""
     text = text_or_empty().cast("binary")
-    dealt = shuffle_into_shards(table(spark, sf_dir, "documents"))
-    return dealt.select("doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "shard", "slot", F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+    dealt = shuffle_into_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return dealt.select("doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

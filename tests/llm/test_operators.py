@@ -737,3 +737,33 @@ def test_odd_tables_and_columns_of_any_name(spark, operator):
         assert {(r["doc_id"], r["item_id"]) for r in run(docs).collect()} == {(7, 1), (8, 1)}
     else:
         assert len(plain) == len(ODD) + 4
+
+
+def test_containment_of_rows_that_share_an_id(spark):
+    """What they hold adds up, however small each row is; the same as SQL."""
+    import pandas as pd
+
+    item = " ".join(f"i{n}" for n in range(44))
+    w = item.split()
+    rows = [(1, " ".join(w[:24])), (1, " ".join(w[20:])), (2, item), (3, " ".join(w[:24])), (4, "tiny"), *[(5, " ".join(w[n : n + 5])) for n in range(40)], (6, " ".join(w[:20])), (6, None), (6, "")]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame([(7, item), (8, "tiny")], columns=["item_id", "text"]))
+    want = sorted(tuple(r) for r in con.sql(f"select doc_id, item_id, n_item, n_found from ({containment.ORACLE_SQL})").fetchall())
+    got = sorted(tuple(r)[:4] for r in containment.contaminated(docs_of(spark, rows), spark.createDataFrame([(7, item), (8, "tiny")], "item_id long, text string")).collect())
+    assert got == want and [(r[0], r[1]) for r in got] == [(1, 7), (2, 7), (4, 8), (5, 7)]
+
+
+def test_containment_meets_by_size(spark):
+    """Documents and sketches are joined by the size class as well: no plan meets a short document with a long item."""
+    import io
+    from contextlib import redirect_stdout
+
+    long, short = " ".join(f"l{n}" for n in range(300)), " ".join(f"l{n}" for n in range(8))
+    it = spark.createDataFrame([(1, long)], "item_id long, text string")
+    got = containment.contaminated(docs_of(spark, [(1, short), (2, long + " more"), (3, long[:400])]), it)
+    assert [(r["doc_id"], r["item_id"]) for r in got.collect()] == [(2, 1)]
+    shown = io.StringIO()
+    with redirect_stdout(shown):
+        got.explain()
+    assert "ArrowEvalPython" not in shown.getvalue() and "Python" not in shown.getvalue()
