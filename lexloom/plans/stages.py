@@ -25,7 +25,7 @@ def ingest(spark: SparkSession, laws: dict[str, str], store: st.ParquetStore, mi
     return store.ingest(chunk(read_laws(spark, laws), min_chars, max_chars, list(laws)))
 
 
-def extract(chunks: DataFrame, out: str, backend: ex.Backend | None = None, top_k: int = TOP_K, retries: int = RETRIES, articles: str | None = None, use_tags: bool = True, vocabulary: str | None = None) -> DataFrame:
+def extract(chunks: DataFrame, out: str, backend: ex.Backend | None = None, top_k: int = TOP_K, retries: int = RETRIES, articles: str | None = None, use_tags: bool = True, vocabulary: str | None = None, at_once: int = ex.AT_ONCE) -> DataFrame:
     """Attempts, as written to `out`. The passages of a concept are retrieved once a law, not once an article; with the rule-based
     back end the article's own text is read as well. An actor is always asked for: no keyword tags one, and a statement needs one."""
     spark = chunks.sparkSession
@@ -37,17 +37,17 @@ def extract(chunks: DataFrame, out: str, backend: ex.Backend | None = None, top_
     hits = tfidf.prompt_texts(tfidf.retrieve(chunks, asked, top_k, vocabulary=terms), chunks)
     wanted = planned.filter(F.col("skipped").isNull() | (F.col("concept") == "Actor")).join(hits, ["law", "concept"], "left")
     text = F.concat_ws("\n\n", "own_text", "prompt") if backend else F.col("own_text")
-    ex.extract(wanted.select("law", "article_ref", "concept", text.alias("text")), backend, retries).write.mode("overwrite").parquet(out)
+    ex.extract(wanted.select("law", "article_ref", "concept", text.alias("text")), backend, retries, at_once).write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
 
-def built(attempts: DataFrame, out: str | None = None, backend: ex.Backend | None = None, retries: int = RETRIES) -> DataFrame:
+def built(attempts: DataFrame, out: str | None = None, backend: ex.Backend | None = None, retries: int = RETRIES, at_once: int = ex.AT_ONCE) -> DataFrame:
     """(law, article_ref, statement_json, errors): the statement of each article, put together by rule, or by a back end whose attempts
     are written to `out`."""
     done = ex.results(attempts)
     if backend is None:
         return ex.assemble(done).select("law", "article_ref", "statement_json", F.transform("missing", lambda m: F.concat(m, F.lit(": nothing found"))).alias("errors"))
-    ex.assembled(done, backend, retries).write.mode("overwrite").parquet(out)
+    ex.assembled(done, backend, retries, at_once).write.mode("overwrite").parquet(out)
     last = F.max_by(F.struct("statement_json", "errors"), "attempt").alias("b")
     return attempts.sparkSession.read.parquet(out).groupBy("law", "article_ref").agg(last).select("law", "article_ref", "b.statement_json", "b.errors")
 
@@ -118,6 +118,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--url", help="OpenAI-compatible endpoint; without it the rules answer")
     p.add_argument("--model", default="")
     p.add_argument("--hosted", action="store_true", help="the endpoint speaks the messages protocol; its key is in LEXLOOM_API_KEY")
+    p.add_argument("--at-once", type=int, default=ex.AT_ONCE, help="calls to the endpoint at a time")
     p.add_argument("--report")
     p.add_argument("--xmi", help="folder for a file of each statement")
     return p
@@ -135,9 +136,9 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{ingest(spark, parse_specs(a.laws), store)} new chunks")
     stored = files = 0
     if a.stage in ("extract", "all"):
-        extract(store.read(), f"{a.work}/attempts", backend, a.top_k, a.retries, a.articles, not a.no_concept_tags, f"{a.work}/vocabulary")
+        extract(store.read(), f"{a.work}/attempts", backend, a.top_k, a.retries, a.articles, not a.no_concept_tags, f"{a.work}/vocabulary", a.at_once)
     if a.stage in ("assemble", "all"):
-        rows = shared_table(spark, built(spark.read.parquet(f"{a.work}/attempts"), f"{a.work}/assembly", backend, a.retries), "built")
+        rows = shared_table(spark, built(spark.read.parquet(f"{a.work}/attempts"), f"{a.work}/assembly", backend, a.retries, a.at_once), "built")
         rejects(rows).write.mode("overwrite").parquet(f"{a.work}/rejects")
         stored = done.store_many(valid(rows))
         files = xmi.write_statements(done.read(), a.xmi) if a.xmi and done.exists() else 0

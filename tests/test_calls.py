@@ -1,0 +1,70 @@
+"""Calls to an endpoint: how many at a time, how often, under which headers; keys and single objects of answers."""
+
+import json
+import threading
+import time
+import urllib.error
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+import pytest
+
+from lexloom.operators import extract as ex
+
+
+@pytest.fixture
+def endpoint():
+    """A server that counts the calls under way; the model "busy" never answers."""
+    state = {"now": 0, "most": 0, "calls": 0, "headers": {}}
+    lock = threading.Lock()
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            with lock:
+                state["now"] += 1
+                state["calls"] += 1
+                state["most"] = max(state["most"], state["now"])
+                state["headers"], state["path"] = dict(self.headers), self.path
+            time.sleep(0.05)
+            with lock:
+                state["now"] -= 1
+            body = json.dumps({"choices": [{"message": {"content": "{}"}}], "content": [{"type": "text", "text": "{}"}]}).encode()
+            self.send_response(429 if asked["model"] == "busy" else 200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", state
+    server.shutdown()
+
+
+@pytest.mark.parametrize("at_once", [1, 2])
+def test_no_more_calls_at_a_time_than_asked_for(spark, endpoint, at_once):
+    url, state = endpoint
+    rows = spark.createDataFrame([("GDPR", f"Art {i}", "Purpose", "text") for i in range(12)], "law string, article_ref string, concept string, text string").repartition(6)
+    out = ex.extract(rows, ex.HttpBackend(url, "m"), at_once=at_once)
+    assert len(out.collect()) == 12 == state["calls"] and state["most"] <= at_once
+    assert ex.extract(rows, None).rdd.getNumPartitions() == 6
+
+
+def test_a_hosted_endpoint_is_asked_four_times_under_its_headers(endpoint, monkeypatch):
+    url, state = endpoint
+    monkeypatch.setenv("LEXLOOM_API_KEY", "k")
+    assert len(ex.HostedBackend(url, "m").busy) == 3
+    with pytest.raises(urllib.error.HTTPError):
+        ex.HostedBackend(url, "busy", busy=(0, 0, 0))("s", "u")
+    assert state["calls"] == 4
+    own = {k.lower(): v for k, v in state["headers"].items()}
+    assert own["x-api-key"] == "k" and own["anthropic-version"] == "2023-06-01" and state["path"] == "/messages"
+    ex.HostedBackend(url, "m", key_header="key", version_header="v", path="/other")("s", "u")
+    assert state["headers"].get("Key", state["headers"].get("key")) == "k" and state["path"] == "/other"
+
+
+def test_cleaned():
+    assert ex.cleaned({"Purpose": {"_a": 1, "__b": 2, "_": [{"_c": {"_d": None}}], "e_": "_f"}}) == {"a": 1, "__b": 2, "": [{"c": {"d": None}}], "e_": "_f"}
+    assert ex.cleaned({"a": [1]}) == {"a": [1]} and ex.cleaned([{"_x": {}}]) == [{"x": {}}] and ex.cleaned("_x") == "_x" and ex.cleaned({}) == {}
