@@ -421,18 +421,6 @@ def _statutes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(STATUTES.items()), "law string, text string")
 
 
-def _chunked(name: str, law: str) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = chunk(_statutes(spark).filter(F.col("law") == law), laws=[law])
-        return rows.withColumn("concept_tags", F.array_join("concept_tags", ","))
-
-    QUERIES[name], ORACLE_SQL[name] = run, chunk_sql(law, STATUTES[law])
-
-
-for _name, _law in (("chunk_gdpr", "GDPR"), ("chunk_ccpa", "CCPA"), ("chunk_pipeda", "PIPEDA"), ("chunk_lgpd", "LGPD"), ("chunk_generic", "OTHER"), ("chunk_flat", "FLAT")):
-    _chunked(_name, _law)
-
-
 #: Where each concept's closed value stands in its answer.
 _VALUE = {"LegalBasis": "type", "ProcessingActivity": "action", "Actor": "role", "Purpose": "category", "Right": "type", "Constraint": "type", "RetentionPolicy": "trigger", "DataTransfer": "mechanism", "ConsentWithdrawal": "channel[0]"}
 
@@ -443,56 +431,11 @@ def _ruled(concept: str) -> str:
     return f"CASE WHEN {out} IS NOT NULL THEN CASE WHEN contains(t, 'email') OR contains(t, 'e-mail') THEN 'Email' ELSE 'OnlineForm' END END" if concept == "ConsentWithdrawal" else out
 
 
-_READ = " UNION ALL ".join(f"SELECT * FROM ({chunk_sql(law, text)})" for law, text in STATUTES.items())
-
-
-@query(f"SELECT law, article_ref, concept, true AS success, max(value) IS NULL AS absent, max(value) AS value FROM (SELECT law, article_ref, concept, CASE concept {' '.join(f"WHEN '{c}' THEN {_ruled(c)}" for c in PASS1_CONCEPTS)} END AS value FROM (SELECT *, lower(text) AS t FROM ({_READ}) WHERE level IN ({listed(store.STRUCTURAL_LEVELS)[1:-1]})), (SELECT unnest({listed(PASS1_CONCEPTS)}) AS concept)) GROUP BY 1, 2, 3")
-def extract_statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks, plan, rule-based back end and results, over the small statutes."""
-    out = _extracted(spark)
-    value = F.lit(None).cast("string")
-    for c, path in _VALUE.items():
-        value = F.when(F.col("concept") == c, F.get_json_object("json_str", f"$.{path}")).otherwise(value)
-    return out.select("law", "article_ref", "concept", "success", "absent", F.when(~F.col("absent"), value).alias("value"))
-
-
 def _extracted(spark: SparkSession) -> DataFrame:
     rows = chunk(_statutes(spark)).filter(F.col("level").isin(store.STRUCTURAL_LEVELS))
     return ex.results(ex.extract(ex.plan(rows, PASS1_CONCEPTS, use_tags=False)))
 
 
-_JSON = [
-    ("LegalBasis", '{"type": "Consent", "evidence": "given", "jurisdiction": [{"name": "EU"}], "extra": 1}', True),
-    ("LegalBasis", '{"type": "consent", "evidence": "", "jurisdiction": []}', False),
-    ("LegalBasis", '{"type": " Consent", "evidence": "x", "jurisdiction": [{"name": "EU"}]}', False),
-    ("RetentionPolicy", '{"duration": "3", "unit": "Years", "trigger": "ContractEnd"}', True),
-    ("RetentionPolicy", '{"duration": 3.0, "unit": "Years", "trigger": "ContractEnd"}', True),
-    ("RetentionPolicy", '{"duration": 3.5, "unit": "Years", "trigger": "ContractEnd"}', False),
-    ("RetentionPolicy", '{"duration": true, "unit": "Years", "trigger": "ContractEnd"}', True),
-    ("Actor", '{"name": null, "role": "ThirdParty"}', False),
-    ("Actor", "not json", False),
-    ("Actor", "[]", False),
-    ("DataTransfer", '{"mechanism": "AdequacyDecision", "destinationJurisdiction": [{"name": "X"}], "dataTransferred": [{"description": "d", "source": "s", "category": "Identifier", "sensitivity": "Low", "identifiability": "Identified"}]}', False),
-    ("ConsentWithdrawal", '{"channel": "Email", "deadline": "", "effect_on_prior_processing": ""}', False),
-    ("Purpose", '{"description": "d", "category": "Research"}', True),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', {str(ok).lower()})" for i, (c, _, ok) in enumerate(_JSON)) + ") AS t(i, concept, valid)")
-def validate_concept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(i, c, j) for i, (c, j, _) in enumerate(_JSON)], "i int, concept string, json_str string")
-    return validate(df).select("i", "concept", "valid")
-
-
-_WRAPPED = [("Purpose", '{"a": 1}', '[{"a": 1}]'), ("Purpose", '[{"a": 1}]', '[{"a": 1}]'), ("Right", "{}", "[]"), ("Right", "broken", "[]"), ("Actor", '{"a": 1}', '{"a": 1}')]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{w}')" for i, (_, _, w) in enumerate(_WRAPPED)) + ") AS t(i, wrapped)")
-def wrap_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(i, c, j) for i, (c, j, _) in enumerate(_WRAPPED)], "i int, concept string, j string")
-    return df.select("i", ex.wrap(F.col("concept"), F.col("j")).alias("wrapped"))
-
-
 _PICK = f"{listed(PASS1_CONCEPTS)}[CAST(event_id % {len(PASS1_CONCEPTS)} + 1 AS BIGINT)]"
 _DEFAULT = "CASE concept " + " ".join(f"WHEN '{c}' THEN '{FALLBACKS[c]}'" for c in PASS1_CONCEPTS) + " END"
 
@@ -525,32 +468,6 @@ def _typed(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "law string, raw string").select("law", F.from_json("raw", ddl("PolicyStatement")).alias("stmt"))
 
 
-@query("SELECT * FROM (VALUES ('A', 'Consent', 'Analytics,Research', false, false), ('B', 'Consent', 'Analytics,Research', true, true), ('C', 'Consent', 'Analytics,Research', true, false)) AS t(law, basis, purposes, dpia, withdrawal)")
-def denorm_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = store.denormalised("stmt")
-    return _typed(spark).select("law", F.array_join(d["legal_basis_types"], ",").alias("basis"), F.array_join(d["purpose_categories"], ",").alias("purposes"), d["has_dpia"].alias("dpia"), d["has_consent_withdrawal"].alias("withdrawal"))
-
-
-@query("SELECT * FROM (VALUES ('A', 'risk assessment missing,consent without withdrawal', ''), ('B', '', ''), ('C', 'consent without withdrawal', '')) AS t(law, warnings, errors)")
-def ocl_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statement_rules(_typed(spark)).select("law", F.array_join("warnings", ",").alias("warnings"), F.array_join("rule_errors", ",").alias("errors"))
-
-
-@query("SELECT * FROM (VALUES (0, '12%'), (1, '38%'), (2, '30%'), (3, '0%'), (4, '100%')) AS t(i, shown)")
-def percent_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(0, 0.125), (1, 0.375), (2, 0.3), (3, 0.0), (4, 1.0)], "i int, x double").select("i", percent(F.col("x")).alias("shown"))
-
-
-_SAID = [(law, f"So {w.upper() if i % 2 else w}, it says") for table in (KEYWORDS, PIPEDA_KEYWORDS) for words in table.values() for i, w in enumerate(words) for law in ("GDPR", "pipeda")]
-_BY_TABLE = ["list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(t, {listed([w])[1:-1]})" for w in words) + f" THEN '{c}' END" for c, words in table.items()) + "], lambda x: x IS NOT NULL)" for table in (PIPEDA_KEYWORDS, KEYWORDS)]
-
-
-@query(f"SELECT law, text, array_to_string(CASE WHEN law = 'pipeda' THEN {_BY_TABLE[0]} ELSE {_BY_TABLE[1]} END, ',') AS tags FROM (SELECT *, lower(text) AS t FROM (SELECT unnest({listed([law for law, _ in _SAID])}) AS law, unnest({listed([t for _, t in _SAID])}) AS text))")
-def law_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every keyword of either table, in both cases, under a law of each table."""
-    return tagging.tag(spark.createDataFrame(_SAID, "law string, text string")).select("law", "text", F.array_join("concept_tags", ",").alias("tags"))
-
-
 _ASKS = list(GUIDES)
 _BODIES = "CASE concept " + " ".join(f"WHEN '{c}' THEN {listed([body(c)])[1:-1]}" for c in _ASKS) + " END"
 
@@ -564,3 +481,6 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_delta_sql("a.law <> b.law").replace("WITH stmt", "WITH dl AS (WITH stmt", 1) + "), p AS (SELECT a.n_name AS law_a, b.n_name AS law_b FROM nation a, nation b WHERE a.n_name <> b.n_name AND a.n_name IN (SELECT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey UNION SELECT n_name FROM nation JOIN customer ON c_nationkey = n_nationkey) AND b.n_name IN (SELECT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey UNION SELECT n_name FROM nation JOIN customer ON c_nationkey = n_nationkey)), l AS (SELECT law_a, law_b, string_agg('  ' || dimension || ': ' || CASE WHEN missing = '' THEN '(structural gap)' ELSE array_to_string(list_sort(string_split(missing, ',')), ', ') END || CASE WHEN note <> '' THEN chr(10) || '    → ' || note ELSE '' END, chr(10) ORDER BY ord) AS t FROM dl GROUP BY 1, 2) SELECT law_a, law_b, CASE WHEN t IS NULL THEN 'No gaps found: ' || law_a || ' and ' || law_b || ' appear equivalent.' ELSE 'Obligations in ' || law_a || ' not present in ' || law_b || ':' || chr(10) || chr(10) || t END AS summary FROM p LEFT JOIN l USING (law_a, law_b)")
 def q8_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.summaries(_cov(spark, sf_dir))
+
+
+from lexloom.plans import derived  # noqa: E402, F401  registers the queries over statutes and statements made of the tables
