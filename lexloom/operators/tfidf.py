@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.config import CONCEPT_QUERIES, MAX_TERMS, TOP_K
+from lexloom.functions.fold import fold
+from lexloom.functions.text import let
 from lexloom.sources.shared import shared_table
 
-#: Accented Latin letters and what is left of them without the accent.
+#: Accented Latin letters and what is left of them without the accent, for SQL; `fold` has all.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
 
 
 def terms(text: Column) -> Column:
     """Words of two characters or more, lower-cased and without accents, then pairs of neighbours."""
-    words = F.regexp_extract_all(F.translate(F.lower(text), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    n = F.size(words)
-    pairs = F.when(n > 1, F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
-    return F.concat(words, F.coalesce(pairs, F.expr("CAST(array() AS array<string>)")))
+    found = F.regexp_extract_all(fold(F.lower(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    pair = lambda a, b: F.concat(a, F.lit(" "), b)
+    return let(found, lambda w: F.when(F.size(w) > 1, F.concat(w, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), pair))).otherwise(w))
 
 
 def counts(chunks: DataFrame) -> DataFrame:
@@ -153,13 +157,81 @@ def prompt_texts(hits: DataFrame, chunks: DataFrame, separator: str = "\n\n---\n
 
 def nearest(rows: DataFrame, queries: DataFrame, top_k: int | None = TOP_K, min_score: float = -1.0) -> DataFrame:
     """(qid, id, score, rk) of rows (id, vector) for each of a stated set of queries (qid, vector), by cosine; ties go by id. Without
-    top_k all that reach min_score, unranked. Every row meets every query: the set is to be small beside the rows."""
-    asked = queries.select("qid", F.col("vector").alias("q"))
-    scored = rows.select("id", "vector").crossJoin(asked).select("qid", "id", cosine(F.col("vector"), F.col("q")).alias("score")).filter(F.col("score") >= min_score)
+    top_k all that reach min_score, unranked.
+
+    Blocks of rows meet blocks of queries, and a pair of blocks gives top_k rows a query at most, which are ranked together. A vector of
+    length 0, null, or with a null component scores 0 with all, as do vectors of different lengths.
+    """
+    rows, queries = rows.select("id", "vector"), queries.select("qid", "vector")
+    left, right = packed(rows, "id", "x"), shared_table(rows.sparkSession, packed(queries, "qid", "q"), "queries")
+    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    found = left.crossJoin(right).mapInArrow(scoring(top_k, min_score), schema)
     if top_k is None:
-        return scored
+        return found
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rk", rank).filter(F.col("rk") <= top_k)
+    return found.withColumn("rk", rank).filter(F.col("rk") <= top_k)
+
+
+#: Vectors to a block.
+PACKED = 2048
+
+
+def packed(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(ids, vectors) of rows (key, vector), PACKED or fewer to a row: vectors of length one as doubles, one after the other with its
+    number of components before it; -1 where there is nothing to compare."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACKED):
+                part = batch.slice(at, PACKED)
+                out = []
+                for v in part.column(1).to_pylist():
+                    x = np.array([0.0] if v is None or None in v else v, np.float64)
+                    length = np.sqrt((x * x).sum())
+                    out.append(np.concatenate(([len(x)], x / length)) if len(x) and np.isfinite(length) and length > 0 else np.array([-1.0]))
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([np.concatenate(out).tobytes()])], [f"{name}_ids", f"{name}_vectors"])
+
+    kind = T.ArrayType(rows.schema[key].dataType)
+    return rows.select(key, "vector").mapInArrow(run, T.StructType([T.StructField(f"{name}_ids", kind), T.StructField(f"{name}_vectors", T.BinaryType())]))
+
+
+def scoring(top_k: int | None, min_score: float):
+    """From pairs of blocks to (qid, id, score): products of whole blocks, and of each query the best."""
+
+    def unpacked(raw: bytes) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By number of components, the places of the vectors and these."""
+        flat, at, found = np.frombuffer(raw, np.float64), 0, {}
+        n = 0
+        while at < len(flat):
+            size = int(flat[at])
+            found.setdefault(size, []).append((n, at + 1))
+            at += 1 + max(0, size)
+            n += 1
+        return {size: (np.array([i for i, _ in own]), np.stack([flat[a : a + max(0, size)] for _, a in own])) for size, own in found.items()} | {None: n}
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                pair = {c: batch.column(batch.schema.get_field_index(c))[k] for c in batch.schema.names}
+                x, q = unpacked(pair["x_vectors"].as_py()), unpacked(pair["q_vectors"].as_py())
+                scores = np.zeros((q.pop(None), x.pop(None)))
+                for size in q.keys() & x.keys() - {-1}:
+                    # a pair's sum is taken in one order, wherever it stands: equal vectors score equally
+                    scores[np.ix_(q[size][0], x[size][0])] = np.einsum("ij,kj->ik", q[size][1], x[size][1])
+                ids, qids = pair["x_ids"].values, pair["q_ids"].values
+                order = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable") if top_k else None
+                at, own = [], []
+                for i, s in enumerate(scores):
+                    j = np.flatnonzero(s >= min_score)
+                    if top_k and len(j) > top_k:
+                        j = j[s[j] >= np.partition(s[j], len(j) - top_k)[len(j) - top_k]]
+                        j = j[np.lexsort((order[j], -s[j]))[:top_k]]
+                    at.append(j), own.append(np.full(len(j), i))
+                at, own = np.concatenate(at or [np.zeros(0, np.int64)]), np.concatenate(own or [np.zeros(0, np.int64)])
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(own)), ids.take(pa.array(at)), pa.array(scores[own, at])], ["qid", "id", "score"])
+
+    return run
 
 
 def cosine(a: Column, b: Column) -> Column:
