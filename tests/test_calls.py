@@ -68,3 +68,22 @@ def test_a_hosted_endpoint_is_asked_four_times_under_its_headers(endpoint, monke
 def test_cleaned():
     assert ex.cleaned({"Purpose": {"_a": 1, "__b": 2, "_": [{"_c": {"_d": None}}], "e_": "_f"}}) == {"a": 1, "__b": 2, "": [{"c": {"d": None}}], "e_": "_f"}
     assert ex.cleaned({"a": [1]}) == {"a": [1]} and ex.cleaned([{"_x": {}}]) == [{"x": {}}] and ex.cleaned("_x") == "_x" and ex.cleaned({}) == {}
+
+
+def test_progress_is_what_stats_tell_after_the_run(spark, tmp_path):
+    """Answers of every kind: right, absent, wrong to the end, right at the second try."""
+    answers = {"a": ['{"description": "d", "category": "Research"}'], "b": ["{}"], "c": ["broken"] * 3, "d": ["[]", '{"description": "d", "category": "Security"}']}
+
+    def backend(system, user, most):
+        kind = user.rsplit("Text:\n", 1)[1][0]
+        return answers[kind][0 if user.endswith("Text:\n" + kind) else -1], 7, 2
+
+    rows = [("L", f"{i}", "Purpose", "abcd"[i % 4]) for i in range(40)]
+    progress = ex.Progress(spark)
+    df = spark.createDataFrame(rows, "law string, article_ref string, concept string, text string")
+    ex.extract(df, backend, progress=progress).write.parquet(str(tmp_path / "attempts"))
+    log = spark.read.parquet(str(tmp_path / "attempts"))
+    told = ex.stats(log).first().asDict()
+    now = progress.now()
+    assert {n: now[n] for n in ("calls", "requests", "absent", "failed")} == {n: told[n] for n in ("calls", "requests", "absent", "failed")}
+    assert now["requests"] == 40 and now["absent"] == 10 and now["failed"] >= 10 and now["tokens_in"] == 7 * now["calls"] and now["tokens_out"] == 2 * now["calls"]
