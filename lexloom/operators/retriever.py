@@ -13,6 +13,7 @@ from lexloom.config import CONCEPT_QUERIES, MAX_CHUNK, MAX_TERMS, MIN_CHUNK, TOP
 from lexloom.operators import store as st
 from lexloom.operators import tfidf
 from lexloom.operators.chunking import chunk
+from lexloom.operators.postings import Postings
 from lexloom.sources.laws import read_laws
 from lexloom.sources.shared import filesystem
 
@@ -91,6 +92,19 @@ class ModelEmbedder:
         return tfidf.nearest(rows, F.broadcast(queries), top_k, min_score).select(F.col("id").alias("chunk_id"), "score", "rk")
 
 
+class StoredEmbedder(TfIdfEmbedder):
+    """The same, of chunks whose vectors and postings were stored as they came in: no text is read for a question."""
+
+    def __init__(self, vocabulary: DataFrame, postings: Postings):
+        super().__init__(vocabulary)
+        self.postings = postings
+
+    def nearest(self, chunks: DataFrame, law: str, concept: str, query: str, top_k: int, min_score: float) -> DataFrame:
+        queries = tfidf.queries_table(chunks.sparkSession, {concept: query})
+        found = self.postings.retrieve(queries, self.vocabulary.filter(F.col("law") == law), top_k, min_score)
+        return found.filter(F.col("law") == law).select("chunk_id", "score", "rk")
+
+
 class Retriever:
     """Chunks are read once for all questions of a `with` block, and dropped at its end."""
 
@@ -139,16 +153,23 @@ def fitted_embedder(chunks: DataFrame, path: str, refit: bool = False) -> TfIdfE
     return TfIdfEmbedder.load(spark, path)
 
 
+def index_of(chunks: str) -> str:
+    """Where the vectors and postings of a store of chunks stand: beside it."""
+    return f"{chunks.rstrip('/')}-index"
+
+
 def ingest_file(spark: SparkSession, path: str, law: str, chunks: str, vocabulary: str, min_chars: int = MIN_CHUNK, max_chars: int = MAX_CHUNK) -> dict:
-    """One law file into the store of chunks and the saved vocabulary, which is reused if it has the law."""
+    """One law file into the store of chunks, and its chunks' vectors and postings beside them, by the saved vocabulary, which is reused
+    if it has the law. What is there already stays, so a run that broke off is made good by the next."""
     store = st.ParquetStore(spark, chunks)
     n = store.ingest(chunk(read_laws(spark, {law.upper(): path}), min_chars, max_chars, [law]))
     own = store.read().filter(F.col("law") == law.upper())
-    fitted_embedder(own, vocabulary)
-    return {"law": law.upper(), "new_chunks": n, "chunks": own.count(), "store": chunks, "vocabulary": vocabulary}
+    embedder = fitted_embedder(own, vocabulary)
+    embedded = Postings(spark, index_of(chunks)).add(own, embedder.vocabulary)
+    return {"law": law.upper(), "new_chunks": n, "chunks": own.count(), "embedded": embedded, "store": chunks, "vocabulary": vocabulary}
 
 
 def retriever_from_files(spark: SparkSession, laws: dict[str, str], chunks: str, vocabulary: str) -> Retriever:
     for law, path in laws.items():
         ingest_file(spark, path, law, chunks, vocabulary)
-    return Retriever(st.ParquetStore(spark, chunks).read(), TfIdfEmbedder.load(spark, vocabulary))
+    return Retriever(st.ParquetStore(spark, chunks).read(), StoredEmbedder(tfidf.load(spark, vocabulary), Postings(spark, index_of(chunks))))

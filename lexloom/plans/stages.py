@@ -12,7 +12,8 @@ from lexloom.operators import extract as ex
 from lexloom.operators import store as st
 from lexloom.operators import tfidf
 from lexloom.operators.chunking import chunk
-from lexloom.operators.retriever import fitted_embedder
+from lexloom.operators.postings import Postings
+from lexloom.operators.retriever import fitted_embedder, index_of
 from lexloom.operators.compiled import validate
 from lexloom.operators.validate import ddl, statement_rules
 from lexloom.plans.report import Report
@@ -25,16 +26,22 @@ def ingest(spark: SparkSession, laws: dict[str, str], store: st.ParquetStore, mi
     return store.ingest(chunk(read_laws(spark, laws), min_chars, max_chars, list(laws)))
 
 
-def extract(chunks: DataFrame, out: str, backend: ex.Backend | None = None, top_k: int = TOP_K, retries: int = RETRIES, articles: str | None = None, use_tags: bool = True, vocabulary: str | None = None, at_once: int = ex.AT_ONCE) -> DataFrame:
+def extract(chunks: DataFrame, out: str, backend: ex.Backend | None = None, top_k: int = TOP_K, retries: int = RETRIES, articles: str | None = None, use_tags: bool = True, vocabulary: str | None = None, at_once: int = ex.AT_ONCE, index: str | None = None) -> DataFrame:
     """Attempts, as written to `out`. The passages of a concept are retrieved once a law, not once an article; with the rule-based
-    back end the article's own text is read as well. An actor is always asked for: no keyword tags one, and a statement needs one."""
+    back end the article's own text is read as well. With a vocabulary and an index, new chunks are embedded and indexed there first. An actor is always asked for: no keyword tags one, and a statement needs one."""
     spark = chunks.sparkSession
     own = chunks.filter(F.col("level").isin(st.STRUCTURAL_LEVELS)).filter(st.article_filter(F.col("article_ref"), articles))
     rows = own.groupBy("law", "article_ref").agg(F.array_distinct(F.flatten(F.collect_list("concept_tags"))).alias("concept_tags"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n\n").alias("own_text"))
     planned = ex.plan(rows, PASS1_CONCEPTS, use_tags)
     terms = fitted_embedder(chunks, vocabulary).vocabulary if vocabulary else None
     asked = tfidf.asked(spark.createDataFrame([(c,) for c in PASS1_CONCEPTS], "concept string"), tfidf.queries_table(spark))
-    hits = tfidf.prompt_texts(tfidf.retrieve(chunks, asked, top_k, vocabulary=terms), chunks)
+    if terms is not None and index:
+        postings = Postings(spark, index)
+        postings.add(chunks, terms)
+        found = postings.retrieve(asked, terms, top_k)
+    else:
+        found = tfidf.retrieve(chunks, asked, top_k, vocabulary=terms)
+    hits = tfidf.prompt_texts(found, chunks)
     wanted = planned.filter(F.col("skipped").isNull() | (F.col("concept") == "Actor")).join(hits, ["law", "concept"], "left")
     text = F.concat_ws("\n\n", "own_text", "prompt") if backend else F.col("own_text")
     ex.extract(wanted.select("law", "article_ref", "concept", text.alias("text")), backend, retries, at_once).write.mode("overwrite").parquet(out)
@@ -136,7 +143,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{ingest(spark, parse_specs(a.laws), store)} new chunks")
     stored = files = 0
     if a.stage in ("extract", "all"):
-        extract(store.read(), f"{a.work}/attempts", backend, a.top_k, a.retries, a.articles, not a.no_concept_tags, f"{a.work}/vocabulary", a.at_once)
+        extract(store.read(), f"{a.work}/attempts", backend, a.top_k, a.retries, a.articles, not a.no_concept_tags, f"{a.work}/vocabulary", a.at_once, index_of(f"{a.work}/chunks"))
     if a.stage in ("assemble", "all"):
         rows = shared_table(spark, built(spark.read.parquet(f"{a.work}/attempts"), f"{a.work}/assembly", backend, a.retries, a.at_once), "built")
         rejects(rows).write.mode("overwrite").parquet(f"{a.work}/rejects")

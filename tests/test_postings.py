@@ -77,3 +77,26 @@ def test_an_empty_index(spark, tmp_path):
     assert p.add(none, tfidf.fitted(none)) == 0 and not p.exists()
     with pytest.raises(FileNotFoundError):
         p.vectors()
+
+
+def test_vectors_are_stored_at_ingest(spark, tmp_path):
+    from lexloom.operators import retriever
+    from lexloom.operators.postings import Postings
+    from lexloom.operators.store import ParquetStore
+    from lexloom.plans import queries as q
+
+    at = str(tmp_path / "chunks"), str(tmp_path / "vocabulary")
+    for law in ("GDPR", "CCPA"):
+        (tmp_path / f"{law}.txt").write_text(q.STATUTES[law])
+    first = retriever.ingest_file(spark, str(tmp_path / "GDPR.txt"), "gdpr", *at)
+    assert first["embedded"] == first["chunks"] > 3
+    assert retriever.ingest_file(spark, str(tmp_path / "GDPR.txt"), "GDPR", *at)["embedded"] == 0
+    with retriever.retriever_from_files(spark, {law: str(tmp_path / f"{law}.txt") for law in ("GDPR", "CCPA")}, *at) as r:
+        stored = Postings(spark, retriever.index_of(at[0])).vectors()
+        assert sorted(x["chunk_id"] for x in stored.collect()) == sorted(x["chunk_id"] for x in ParquetStore(spark, at[0]).read().collect())
+        plain = retriever.Retriever(ParquetStore(spark, at[0]).read(), retriever.TfIdfEmbedder.load(spark, at[1]))
+        for concept, law in (("RetentionPolicy", "GDPR"), ("Right", "ccpa"), ("Purpose", "GDPR")):
+            want = [(x["chunk_id"], x["rk"], round(x["score"], 9)) for x in plain.retrieve(concept, law, 4).collect()]
+            assert [(x["chunk_id"], x["rk"], round(x["score"], 9)) for x in r.retrieve(concept, law, 4).collect()] == want
+        with pytest.raises(KeyError):
+            r.retrieve("Right", "ZZ")
