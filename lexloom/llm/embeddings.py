@@ -144,7 +144,8 @@ def links(vectors: DataFrame, at_least: float = 0.9, sure: float = SURE) -> Data
     A link is a pair of them of one length with cosine >= at_least. linked is the number of members of an id's links, root an id
     in its component: an id has one row for each meeting of a list that holds a link of its, to be summed and joined, and no row
     stands for a single pair. Each pair is counted in one meeting: in the list that comes later, asked from the one before, or in
-    the earlier one where only that is asked.
+    the earlier one where only that is asked. Nulls, zeros and repeated vectors are the caller's to take out; vectors at the threshold
+    exactly are linked; fewer than two vectors give no rows; other columns are not looked at.
     """
     spark = vectors.sparkSession
     seen = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dims")).first()

@@ -199,7 +199,8 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     learns from those whose crc32(doc_id as text) mod folds is not 0.
 
     Null and empty texts are one end token. Rows that repeat count as often as they stand there; a null id counts as empty text
-    in the fold. Without training rows the unknown class has all the mass. An empty table gives an empty result.
+    in the fold. Without training rows the unknown class has all the mass. A text longer than a block is a block of its own, read whole
+    by one task. An empty table gives an empty result; other columns are not looked at, whatever their names.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (bucket_of(F.col("doc_id"), folds) == 0).alias("held"))

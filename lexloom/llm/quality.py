@@ -100,7 +100,9 @@ def _dictionary(texts: list[bytes]) -> bytes:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: int, rows: int = SAMPLE_ROWS) -> list[bytes]:
     """Whole texts of at most `rows` training documents with this label, chosen by a hash of their ids, and of at most SAMPLE_BYTES in
-    all: sizes come to the driver first, then only the texts that fit. Of rows that share an id the shortest text counts."""
+    all: sizes come to the driver first, then only the texts that fit. Of rows that share an id the shortest text counts, of ids of one hash
+    the smaller comes first. Null texts and ids are the caller's to take out; texts longer than all of SAMPLE_BYTES are passed over;
+    empty tables give none; other columns are not looked at."""
     picked = labels.filter(F.col("quality") == target).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows)
     got = docs.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")  # SAMPLE_ROWS ids
     known = got.groupBy("doc_id").agg(F.min(F.struct(F.octet_length("text").alias("n"), F.xxhash64("text").alias("h"))).alias("x"))

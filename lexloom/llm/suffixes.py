@@ -176,7 +176,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     Words are separated by ASCII white space and compared as they are. Null and empty texts, and texts of fewer than 50 words,
     have no passages. Copies form a class: one of each goes through the suffixes, and all of them are repeated whole. Rows with
     a null id are left out; rows that share an id are read as further copies or texts of that document and their spans united.
-    An empty table gives an empty result.
+    Very long texts are read whole, each by one task. An empty table gives an empty result; other columns are not looked at, whatever
+    their names.
     """
     spark = docs.sparkSession
     docs = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
