@@ -124,8 +124,8 @@ def _matches(pieces: list[bytes], words: list[bytes], lang: str, often: np.ndarr
 
 def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """(lang, phrase, f) of docs (text, lang): all phrases of up to `longest` words that occur `least` times or more in their language,
-    and under the empty phrase the number of its words. Null texts are empty, a null language is `und`; a very long text is a
-    shard of its own; an empty table gives an empty result; other columns are not looked at."""
+    and under the empty phrase the number of its words. Null texts are empty, a null language is `und`; a very long text is the
+    last of its shard; an empty table gives an empty result; other columns are not looked at."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = shared_table(spark, rows.mapInArrow(_dealt, "shard long, lang string, text string"), "dealt")
