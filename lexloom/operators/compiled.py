@@ -12,7 +12,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import SEPARATORS
+from lexloom.functions.text import WHITE
 from lexloom.operators.validate import ID_PREFIX, MODEL, Field, Model
 
 NO_ERRORS = "CAST(array() AS array<string>)"
@@ -22,8 +22,12 @@ def quoted(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: As a literal of Spark SQL.
+_WHITE = "'" + "".join(f"\\u{ord(c):04x}" for c in WHITE) + "'"
+
+
 def _strip(x: str) -> str:
-    return rf"regexp_replace({x}, r'(?U)^[\s{SEPARATORS}]+|(?<![\s{SEPARATORS}])[\s{SEPARATORS}]+$', '')"
+    return f"btrim({x}, {_WHITE})"
 
 
 class Compiler:

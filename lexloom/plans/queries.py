@@ -18,6 +18,7 @@ from lexloom.operators.compiled import validate
 from lexloom.operators.validate import ddl, statement_rules
 from lexloom.plans.chunk_sql import chunk_sql, listed, pieces_sql
 from lexloom.sources.shared import filesystem, shared_dir, spread
+from lexloom.sources.versions import Versions
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -258,20 +259,27 @@ def _doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _kept_at(spark: SparkSession, sf_dir: str) -> str:
-    """A folder in the shared one for what is made of the documents once: named by the state of the table's files, so that a table that
-    has changed has another."""
+    """A folder in the shared one for what is made of the documents once a session: named by the application and the state of the table's
+    files, so that a table that has changed has another and nothing is read that other code has made."""
     fs, at = filesystem(spark, f"{sf_dir}/documents.parquet")
     files = [(x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in (fs.listStatus(at) or [])]
-    return f"{shared_dir(spark).rstrip('/')}/lexloom-index-{hashlib.sha1(repr(sorted(files)).encode()).hexdigest()[:16]}"
+    return f"{shared_dir(spark).rstrip('/')}/lexloom-index-{hashlib.sha1(repr((spark.sparkContext.applicationId, sorted(files))).encode()).hexdigest()[:16]}"
 
 
 def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fitted on the documents, each a chunk, when first asked for, and saved."""
-    path = f"{_kept_at(spark, sf_dir)}/vocabulary"
-    fs, at = filesystem(spark, f"{path}/_SUCCESS")
-    if not fs.exists(at):
-        tfidf.save(tfidf.fit(_doc_chunks(spark, sf_dir)), path)
-    return tfidf.load(spark, path)
+    """Fitted on the documents, each a chunk, when first asked for, and stored whole or not at all."""
+    kept = Versions(spark, f"{_kept_at(spark, sf_dir)}/vocabulary", "law")
+
+    def first(manifest: dict, _):
+        if manifest["schema"]:
+            return None
+        rows = tfidf.fit(_doc_chunks(spark, sf_dir))
+        part, folders = kept.add(rows)
+        return {"schema": rows.schema.jsonValue(), "live": {part: folders}}, len(folders)
+
+    if not kept.latest():
+        kept.update(first)
+    return kept.read()
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> Postings:

@@ -100,3 +100,13 @@ def test_vectors_are_stored_at_ingest(spark, tmp_path):
             assert [(x["chunk_id"], x["rk"], round(x["score"], 9)) for x in r.retrieve(concept, law, 4).collect()] == want
         with pytest.raises(KeyError):
             r.retrieve("Right", "ZZ")
+
+
+def test_registered_vocabulary_is_fitted_once(spark, tmp_path, monkeypatch):
+    from lexloom.plans import queries
+
+    spark.createDataFrame([(1, "de", "web", "ein Wort und noch ein Wort"), (2, "en", "web", "a word and a word")], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    first = sorted(map(tuple, queries._vocabulary(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(tfidf, "fit", lambda *_: 1 / 0)
+    assert sorted(map(tuple, queries._vocabulary(spark, str(tmp_path)).collect())) == first
+    assert {r[0] for r in first} == {"de", "en"}
