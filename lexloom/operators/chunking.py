@@ -1,8 +1,8 @@
-"""Hierarchical chunks of laws by structure patterns: expressions over one row a document, no shuffle but for the order in each document."""
+"""Hierarchical chunks of laws by structure patterns: expressions over one row a document, no shuffle, also not for the order."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.config import GENERIC_PATTERNS, LAW_PATTERNS, MAX_CHUNK, MIN_CHUNK, MIN_SEGMENT
@@ -32,15 +32,16 @@ def chunk_id(law: Column, ref: Column, text: Column) -> Column:
     return short_hash(law, F.lit("|"), ref, F.lit("|"), F.substring(text, 1, 64))
 
 
-def _chunks(df: DataFrame, pattern: tuple[str, str, bool], parent: str, order: str) -> DataFrame:
-    """df with a row for each segment of its text below `parent`; documents without any are kept with null segments."""
+def _below(pattern: tuple[str, str, bool], parent: Column) -> Column:
+    """The segments of a chunk's text one level down, as chunks."""
     level, regex, ignore_case = pattern
-    out = df.withColumn("_s", segments(F.col(f"{parent}.text"), regex, ignore_case))
-    out = out.select("*", F.posexplode_outer("_s").alias(order, "_x")).drop("_s")
-    x = F.struct(
-        F.lit(level).alias("level"), reference(F.col("_x.text")).alias("ref"), F.col(f"{parent}.ref").alias("parent"), strip(F.col("_x.text")).alias("text"), F.substring(F.col("_x.text"), 1, 64).alias("head"), (F.col(f"{parent}.start") + F.col("_x.start")).alias("start")
-    )
-    return out.withColumn(f"_{order}", F.when(F.col("_x").isNotNull(), x)).drop("_x")
+
+    def placed(x: Column) -> Column:
+        return F.struct(
+            F.lit(level).alias("level"), reference(x["text"]).alias("ref"), parent["ref"].alias("parent"), strip(x["text"]).alias("text"), F.substring(x["text"], 1, 64).alias("head"), (parent["start"] + x["start"]).alias("start")
+        )
+
+    return F.transform(segments(parent["text"], regex, ignore_case), placed)
 
 
 def large_pieces(text: Column, max_chars: int = MAX_CHUNK, separator: str = "\n{2,}", joint: str = "\n\n") -> Column:
@@ -62,10 +63,11 @@ def chunk(docs: DataFrame, min_chars: int = MIN_CHUNK, max_chars: int = MAX_CHUN
     """docs (law, text) as (law, chunk_id, article_ref, parent_ref, level, concept_tags, text, char_offset, seq).
 
     A top segment without inner segments stays itself, one with them gives way to them; three-level laws keep articles beside their
-    clauses of min_chars or more; chunks over max_chars are split at blank lines. seq is the order in the document, so no task holds
-    more than one. With `laws`, docs holds no others, and the plan only the patterns of these.
+    clauses of min_chars or more; chunks over max_chars are split at blank lines. seq is the order in the document: its chunks are one
+    array, of about the size of its text, so texts are not shuffled. With `laws`, docs holds no others, and the plan only the patterns of
+    these.
     """
-    base = docs.select(F.upper("law").alias("law"), "text").withColumn("_doc", F.monotonically_increasing_id())
+    base = docs.select(F.upper("law").alias("law"), "text")
     wanted = None if laws is None else {law.upper() for law in laws}
     groups: dict[int, tuple[list, list[str]]] = {}
     for law, patterns in LAW_PATTERNS.items():
@@ -82,28 +84,29 @@ def chunk(docs: DataFrame, min_chars: int = MIN_CHUNK, max_chars: int = MAX_CHUN
 
 
 def _chunk_one(docs: DataFrame, patterns: list, min_chars: int, max_chars: int) -> DataFrame:
-    whole = F.struct(F.lit("document").alias("level"), F.col("law").alias("ref"), F.lit("").alias("parent"), F.col("text").alias("text"), F.substring("text", 1, 64).alias("head"), F.lit(0).cast("long").alias("start"))
-    root = F.struct(F.lit("").alias("ref"), F.col("text").alias("text"), F.lit(0).cast("long").alias("start"))
-    top = _chunks(docs.withColumn("_root", root), patterns[0], "_root", "a")
-    top = top.withColumn("_a", F.coalesce("_a", whole.withField("text", strip(F.col("text")))))
-    inner = _chunks(top, patterns[1], "_a", "b")
-    own = F.coalesce("_b", "_a")
-    if len(patterns) > 2:
-        # an article, then its clauses: position -1 is the article itself
-        clause = F.transform(segments(F.col("_b.text"), patterns[2][1], patterns[2][2]), lambda s: F.struct(F.lit(patterns[2][0]).alias("level"), reference(s["text"]).alias("ref"), F.col("_b.ref").alias("parent"), strip(s["text"]).alias("text"), F.substring(s["text"], 1, 64).alias("head"), (F.col("_b.start") + s["start"]).alias("start")))
-        kept = F.filter(clause, lambda c: F.length(c["text"]) >= min_chars)
-        every = F.when(F.col("_b").isNotNull(), F.concat(F.array("_b"), kept)).otherwise(F.array("_a"))
-    else:
-        every = F.array(own)
-    rows = inner.select("law", "_doc", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"), F.posexplode(every).alias("c", "x"))
-    split = F.when(F.length("x.text") > max_chars, large_pieces(F.col("x.text"), max_chars))
-    split = F.when(F.size(split) > 0, split).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("start"))))
-    rows = rows.select("law", "_doc", "a", "b", "c", "x", F.posexplode(split).alias("d", "p"))
-    text = F.coalesce(F.col("p.text"), F.col("x.text"))
-    head = F.coalesce(F.col("p.text"), F.col("x.head"))
-    rows = rows.withColumns({"_text": strip(text), "_head": head, "_at": F.col("x.start") + F.col("p.start")})
-    order = F.row_number().over(Window.partitionBy("_doc").orderBy("a", "b", "c", "d")) - 1
+    start = F.lit(0).cast("long").alias("start")
+    root = F.struct(F.lit("").alias("ref"), F.col("text").alias("text"), start)
+    whole = F.struct(F.lit("document").alias("level"), F.col("law").alias("ref"), F.lit("").alias("parent"), strip(F.col("text")).alias("text"), F.substring("text", 1, 64).alias("head"), start)
+
+    def clauses(article: Column) -> Column:
+        return F.concat(F.array(article), F.filter(_below(patterns[2], article), lambda c: F.length(c["text"]) >= min_chars))
+
+    def inner(top: Column) -> Column:
+        kept = lambda b: F.flatten(F.transform(b, clauses)) if len(patterns) > 2 else b
+        return let(_below(patterns[1], top), lambda b: F.when(F.size(b) > 0, kept(b)).otherwise(F.array(top)))
+
+    def piece(x: Column, text: Column, head: Column, at: Column) -> Column:
+        return F.struct(x["level"].alias("level"), x["ref"].alias("ref"), x["parent"].alias("parent"), text.alias("text"), head.alias("head"), at.alias("start"))
+
+    def pieces(x: Column) -> Column:
+        split = F.when(F.length(x["text"]) > max_chars, large_pieces(x["text"], max_chars))
+        parts = lambda p: F.transform(p, lambda q: piece(x, strip(q["text"]), F.substring(q["text"], 1, 64), x["start"] + q["start"]))
+        return let(split, lambda p: F.when(F.size(p) > 0, parts(p)).otherwise(F.array(piece(x, x["text"], x["head"], x["start"]))))
+
+    top = let(_below(patterns[0], root), lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(whole)))
+    every = F.flatten(F.transform(F.flatten(F.transform(top, inner)), pieces))
+    rows = docs.select("law", F.posexplode(every).alias("seq", "x"))
     return rows.select(
-        "law", chunk_id(F.col("law"), F.col("x.ref"), F.col("_head")).alias("chunk_id"), F.col("x.ref").alias("article_ref"), F.col("x.parent").alias("parent_ref"), F.col("x.level").alias("level"),
-        F.col("_text").alias("text"), F.col("_at").alias("char_offset"), order.cast("long").alias("seq"),
+        "law", chunk_id(F.col("law"), F.col("x.ref"), F.col("x.head")).alias("chunk_id"), F.col("x.ref").alias("article_ref"), F.col("x.parent").alias("parent_ref"), F.col("x.level").alias("level"),
+        F.col("x.text").alias("text"), F.col("x.start").alias("char_offset"), F.col("seq").cast("long").alias("seq"),
     )
