@@ -61,3 +61,16 @@ def test_time_goes_with_the_length(spark):
         start = time.time()
         assert df.select(column.alias("n")).first()["n"] == want
         assert time.time() - start < 15
+
+
+def test_chunks_take_no_shuffle_and_keep_odd_texts(spark):
+    long = "\n\n".join(f"Part {i} of a text that has no headings at all. " + "x" * 300 for i in range(30))
+    rows = [("GDPR", None), ("GDPR", ""), ("GDPR", long), ("LGPD", None), ("ZZ", ""), ("ZZ", f"1. {long}")]
+    out = chunk(spark.createDataFrame(rows, "law string, text string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    found = [(r["law"], r["seq"], r["text"]) for r in out.collect()]
+    assert sorted(t or "" for law, _, t in found if law == "LGPD") == [""] and [t for law, _, t in found if law == "LGPD"] == [None]
+    assert [s for law, s, t in found if law == "GDPR" and t in (None, "")] == [0, 0]
+    pieces = [t for law, _, t in found if law == "GDPR" and t]
+    assert len(pieces) > 1 and all(len(t) <= 4000 for t in pieces) and "\n\n".join(pieces) == long
