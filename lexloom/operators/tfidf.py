@@ -36,16 +36,22 @@ def counts(chunks: DataFrame) -> DataFrame:
     return rows.select("law", "chunk_id", F.inline(runs))
 
 
+#: Parts by hash that the terms of a law are ranked in first.
+PARTS = 256
+
+
 def fit(chunks: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     """(law, term, ctf, df, idf): the most frequent terms of each law; ties by term. Every occurrence and, beside it, every term of a
-    chunk once are counted in one aggregation, combined before its shuffle. The window sees one row a term, and only its first rows
-    pass the group limit."""
+    chunk once are counted in one aggregation, combined before its shuffle. Terms are ranked within parts of their law first, and only
+    the first max_terms of each part with those of the others: Spark itself limits no group of more than 1,000 rows."""
     n = chunks.groupBy("law").agg(F.count(F.lit(1)).alias("n"))
     found = chunks.select("law", terms(F.col("text")).alias("t"))
     both = found.select("law", F.posexplode(F.array("t", F.array_distinct("t"))).alias("once", "t")).select("law", "once", F.explode("t").alias("term"))
     vocabulary = both.groupBy("law", "term").agg(F.count_if(F.col("once") == 0).alias("ctf"), F.count_if(F.col("once") == 1).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("law").orderBy(F.desc("ctf"), "term"))
-    kept = vocabulary.withColumn("_k", rank).filter(F.col("_k") <= max_terms).drop("_k")
+    kept = vocabulary.withColumn("_p", F.pmod(F.xxhash64("term"), F.lit(PARTS)))
+    for keys in (["law", "_p"], ["law"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ctf"), "term"))
+        kept = kept.withColumn("_k", rank).filter(F.col("_k") <= max_terms)
     return kept.join(n, "law").select("law", "term", "ctf", "df", (F.log((F.lit(1) + F.col("n")) / (F.lit(1) + F.col("df"))) + 1).alias("idf"))
 
 

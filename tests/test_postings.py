@@ -110,3 +110,22 @@ def test_registered_vocabulary_is_fitted_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tfidf, "fit", lambda *_: 1 / 0)
     assert sorted(map(tuple, queries._vocabulary(spark, str(tmp_path)).collect())) == first
     assert {r[0] for r in first} == {"de", "en"}
+
+
+def test_terms_of_a_law_are_ranked_in_parts(spark, monkeypatch):
+    """Many ties, and fewer terms kept than a part holds; then more than there are."""
+    from collections import Counter
+
+    monkeypatch.setattr(tfidf, "PARTS", 3)
+    rows = chunk_rows(60, 5)
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    for most in (7, 5000):
+        want = []
+        for law in ("AA", "BB"):
+            ctf = Counter(t for r in rows if r[0] == law for w in [r[2].split()] for t in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))])
+            want += [(law, t, n) for t, n in sorted(ctf.items(), key=lambda x: (-x[1], x[0]))[:most]]
+        found = tfidf.fit(chunks, most)
+        assert sorted((r["law"], r["term"], r["ctf"]) for r in found.collect()) == sorted(want)
+    import re
+
+    assert re.search(r"hashpartitioning\(law#\d+, _p#", found._jdf.queryExecution().executedPlan().toString())
