@@ -24,15 +24,20 @@ NAMED = 2000
 
 def blocks(vectors: DataFrame) -> DataFrame:
     """(law, term, shard, block, top, entries) of vectors (law, chunk_id, norm, vector): no task sees more of a term than one shard of a
-    law holds of it."""
+    law holds of it. Shards are counted first, a row a law, and broadcast: a join that brought a law together would keep it so."""
     parts = vectors.groupBy("law").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("parts"))
-    dealt = vectors.join(parts, "law").withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.col("parts")))
-    rows = dealt.select("law", "shard", "chunk_id", "norm", F.explode("vector").alias("x")).select("law", "shard", "chunk_id", "x.term", (F.col("x.w") / F.col("norm")).alias("w"))
+    rows = vectors.join(F.broadcast(parts), "law").withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.col("parts")))
+    rows = rows.select("law", "shard", "chunk_id", "norm", F.explode("vector").alias("x")).select("law", "shard", "chunk_id", "x.term", (F.col("x.w") / F.col("norm")).alias("w"))
     order = Window.partitionBy("law", "term", "shard").orderBy(F.desc("w"), "chunk_id")
     rows = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
     return rows.groupBy("law", "term", "shard", "block").agg(F.max("w").alias("top"), F.collect_list(F.struct("chunk_id", "w")).alias("entries"))
 
 
+def dealt(blocks: DataFrame) -> DataFrame:
+    """Blocks as they are stored: a task writes of a law at least a 64th of the terms of one shard, in order."""
+    return blocks.repartition("law", "shard", F.pmod(F.xxhash64("term"), F.lit(64))).sortWithinPartitions("law", "term", "block")
+
+
 class Postings:
     """The index in a folder, of any number of ingests."""
 
@@ -55,7 +60,7 @@ class Postings:
             n = new.count()
             if not n:
                 return None
-            own = blocks(new).repartition(F.col("law"), F.pmod(F.xxhash64("term"), F.lit(64))).sortWithinPartitions("law", "term", "block")
+            own = dealt(blocks(new))
             parts = {"vectors": (new, manifest.get("more", {}).get("vectors")), "blocks": (own, manifest if manifest["schema"] else None)}
             out = {}
             for name, (rows, before) in parts.items():
@@ -84,7 +89,7 @@ class Postings:
 
         def change(manifest: dict, _):
             vectors = self._vectors(manifest)
-            part, folders = self.versions.add(blocks(vectors).repartition(F.col("law"), F.pmod(F.xxhash64("term"), F.lit(64))).sortWithinPartitions("law", "term", "block"))
+            part, folders = self.versions.add(dealt(blocks(vectors)))
             return manifest | {"live": {part: folders}}, vectors.count()
 
         return self.versions.update(change)

@@ -112,6 +112,18 @@ def test_registered_vocabulary_is_fitted_once(spark, tmp_path, monkeypatch):
     assert {r[0] for r in first} == {"de", "en"}
 
 
+@pytest.fixture
+def nothing_broadcast(spark):
+    """Tables too large to broadcast, partitions as they were dealt."""
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_terms_of_a_law_are_ranked_in_parts(spark, monkeypatch):
     """Many ties, and fewer terms kept than a part holds; then more than there are."""
     from collections import Counter
@@ -129,3 +141,17 @@ def test_terms_of_a_law_are_ranked_in_parts(spark, monkeypatch):
     import re
 
     assert re.search(r"hashpartitioning\(law#\d+, _p#", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_postings_of_one_law_lie_in_many_tasks(spark, nothing_broadcast):
+    chunks = spark.createDataFrame([("AA", *r[1:]) for r in chunk_rows(200, 6)], CHUNKS)
+    rows = postings.blocks(tfidf.sparse(chunks, tfidf.fitted(chunks)))
+    assert rows.select(F.spark_partition_id()).distinct().count() > 8
+    assert rows.agg(F.sum(F.size("entries"))).first()[0] == tfidf.vectors(chunks, tfidf.fitted(chunks)).count()
+
+
+def test_stored_postings_are_dealt_by_shard_too(spark, nothing_broadcast, monkeypatch):
+    monkeypatch.setattr(postings, "SHARD", 10)
+    chunks = spark.createDataFrame([("AA", f"{i:03d}", "alpha", []) for i in range(200)], CHUNKS)
+    rows = postings.dealt(postings.blocks(tfidf.sparse(chunks, tfidf.fitted(chunks))))
+    assert rows.select(F.spark_partition_id()).distinct().count() > 4 and rows.agg(F.sum(F.size("entries"))).first()[0] == 200
