@@ -106,10 +106,12 @@ class Postings:
 
     @staticmethod
     def opened(asked: DataFrame, reached: DataFrame) -> DataFrame:
-        """The blocks of which a chunk may score `least` or more, as reached (law, concept, least) has it; unknown: all."""
+        """The blocks of which a chunk may score `least` or more, as reached (law, concept, least) has it; unknown: all. What a block's
+        top has to reach is a row a term that is asked for, written first: so the blocks themselves need not be brought together."""
         best = asked.groupBy("law", "concept", "term").agg((F.max("top") * F.first("q")).alias("most"))
         total = best.groupBy("law", "concept").agg(F.sum("most").alias("total"))
-        rows = asked.join(best, ["law", "concept", "term"]).join(total, ["law", "concept"]).join(reached, ["law", "concept"], "left")
+        bounds = shared_table(asked.sparkSession, best.join(total, ["law", "concept"]).join(reached, ["law", "concept"], "left"), "bounds")
+        rows = asked.join(bounds, ["law", "concept", "term"])
         bound = F.col("total") - F.col("most") + F.col("q") * F.col("top")
         return rows.filter(F.col("least").isNull() | (bound >= F.col("least") - 1e-9)).drop("most", "total", "least")
 

@@ -155,3 +155,11 @@ def test_stored_postings_are_dealt_by_shard_too(spark, nothing_broadcast, monkey
     chunks = spark.createDataFrame([("AA", f"{i:03d}", "alpha", []) for i in range(200)], CHUNKS)
     rows = postings.dealt(postings.blocks(tfidf.sparse(chunks, tfidf.fitted(chunks))))
     assert rows.select(F.spark_partition_id()).distinct().count() > 4 and rows.agg(F.sum(F.size("entries"))).first()[0] == 200
+
+
+def test_blocks_of_one_question_lie_in_many_tasks(spark, index, nothing_broadcast):
+    _, vocabulary, p = index
+    asked = p.asked(tfidf.queries_table(spark, {"Right": " ".join(f"w{i}" for i in range(40))}), vocabulary).filter("law = 'AA'")
+    reached = spark.createDataFrame([("AA", "Right", 0.0)], "law string, concept string, least double")
+    rows = p.opened(asked, reached)
+    assert rows.count() == asked.count() and rows.select(F.spark_partition_id()).distinct().count() > 4
