@@ -154,8 +154,9 @@ NOTHING = "[No relevant text found for {concept} in {law}]"
 
 
 def prompt_texts(hits: DataFrame, chunks: DataFrame, separator: str = "\n\n---\n\n") -> DataFrame:
-    """(law, concept, prompt): the retrieved passages in order, each under its source."""
-    rows = hits.join(chunks.select("law", "chunk_id", "article_ref", "text"), ["law", "chunk_id"])
+    """(law, concept, prompt): the retrieved passages in order, each under its source. Hits, which are few, are written first and joined
+    at their true size: texts stay where they are."""
+    rows = shared_table(chunks.sparkSession, hits, "hits").join(chunks.select("law", "chunk_id", "article_ref", "text"), ["law", "chunk_id"])
     shown = F.format_string("[Source: %s | %s | score=%.3f]\n%s", "law", "article_ref", "score", "text")
     grouped = rows.groupBy("law", "concept").agg(F.array_sort(F.collect_list(F.struct("rk", shown.alias("t")))).alias("p"))
     return grouped.select("law", "concept", F.array_join(F.transform("p", lambda x: x["t"]), separator).alias("prompt"))

@@ -163,3 +163,20 @@ def test_blocks_of_one_question_lie_in_many_tasks(spark, index, nothing_broadcas
     reached = spark.createDataFrame([("AA", "Right", 0.0)], "law string, concept string, least double")
     rows = p.opened(asked, reached)
     assert rows.count() == asked.count() and rows.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_texts_stay_where_they_are_for_prompts(spark):
+    """Hits that are few, though Spark can't know."""
+    from pyspark.sql import Window
+
+    many = spark.range(1_000_000).select(F.concat(F.lit("A"), F.col("id") % 2).alias("law"), F.col("id").cast("string").alias("chunk_id"), F.lit("r").alias("article_ref"), F.concat(F.lit("t"), "id").alias("text"), F.col("id").alias("n"))
+    first = Window.partitionBy("law").orderBy("n")
+    hits = many.withColumn("rk", F.row_number().over(first)).filter("rk <= 2").select("law", F.lit("c").alias("concept"), "chunk_id", F.lit(0.5).alias("score"), "rk")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    try:
+        found = tfidf.prompt_texts(hits, many)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.filter("law = 'A0'").first()["prompt"] == "[Source: A0 | r | score=0.500]\nt0\n\n---\n\n[Source: A0 | r | score=0.500]\nt2"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
