@@ -171,8 +171,13 @@ def validate_json(name: str, raw: str | None, seed: str | None = None) -> tuple[
         value = json.loads(raw or "")
     except ValueError:
         return None, [f"{name}: not JSON"]
+    return validated(name, value, (raw or "") if seed is None else seed)
+
+
+def validated(name: str, value, seed: str) -> tuple[str | None, list[str]]:
+    """The same for JSON that is parsed already."""
     errors: list[str] = []
-    out = checked(name, value, [], errors, (raw or "") if seed is None else seed)
+    out = checked(name, value, [], errors, seed)
     return (None if errors else json.dumps(out)), errors
 
 

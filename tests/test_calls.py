@@ -87,3 +87,31 @@ def test_progress_is_what_stats_tell_after_the_run(spark, tmp_path):
     now = progress.now()
     assert {n: now[n] for n in ("calls", "requests", "absent", "failed")} == {n: told[n] for n in ("calls", "requests", "absent", "failed")}
     assert now["requests"] == 40 and now["absent"] == 10 and now["failed"] >= 10 and now["tokens_in"] == 7 * now["calls"] and now["tokens_out"] == 2 * now["calls"]
+
+
+def test_rules_are_found_as_by_expression_alone(monkeypatch):
+    """Whatever is looked for first, over texts put together of what the rules name; and no prompt is put together for them."""
+    import random
+    import re
+
+    rnd = random.Random(7)
+    parts = [w for rules in ex.RULES.values() for _, r in rules for w in re.findall(r"[a-z ]{2,}", r)] + [". ", "; ", "x", "Within 30 days ", "opt-out"]
+    monkeypatch.setattr(ex, "build_prompt", lambda *_: 1 / 0)
+    field = {"ProcessingActivity": "action", "Actor": "role", "Purpose": "category", "RetentionPolicy": "trigger", "DataTransfer": "mechanism"}
+    seen = set()
+    for _ in range(400):
+        text = "".join(rnd.choice(parts) + rnd.choice(["", " ", "x"]) for _ in range(rnd.randrange(0, 5)))
+        for concept, rules in ex.RULES.items():
+            want = next((v for v, r in rules if re.search(r, text.lower())), None)
+            seen.add((concept, want))
+            got = json.loads(ex.rules_backend(concept, "GDPR", "Article 1", text))
+            assert got.get(field.get(concept, "type"), "OnlineForm" if got else None) == want
+            (attempt,) = ex.attempts_of(concept, "GDPR", "Article 1", text, None)
+            assert attempt[1] and attempt[2] == (want is None)
+    assert len(seen) > 40
+
+
+def test_words_that_a_rule_needs():
+    assert ex.needed(r"\bcontroller|\bbusiness\b|\borgani[sz]ation") == ("controller", "business", "organi")
+    assert ex.needed("public (task|interest)|official authority") == ("public ", "official authority")
+    assert ex.needed(r"\b(use|process)") == () and ex.needed("colou?r") == ("colo",) and ex.needed("ab?c|long") == ()
