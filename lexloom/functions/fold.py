@@ -8,6 +8,8 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexloom.functions.text import let
+
 #: Syllables are decomposed by rule: the first of them, its three parts, and how many of the second and third kind there are.
 SYLLABLE, FIRST, SECOND, THIRD, SECONDS, THIRDS = 0xAC00, 0x1100, 0x1161, 0x11A7, 21, 28
 SYLLABLES = 19 * SECONDS * THIRDS
@@ -52,10 +54,9 @@ def _class(chars: list[str], gap: int = 256) -> str:
 
 
 def fold(text: Column) -> Column:
-    """The text decomposed and without combining marks, as far as the basic plane goes. Texts of plain letters pass at the cost of one
-    look-up a character; only in those with a character that becomes several are these looked for one by one."""
+    """The text decomposed and without combining marks, as far as the basic plane goes. ASCII passes as it is, other texts of plain
+    letters at the cost of one look-up a character; only in those with a character that becomes several are these looked for one by one."""
     source, target, many = tables()
-    plain = F.translate(text, source, target)
     lookup = F.str_to_map(F.lit(_NEXT.join(c + _IS + to for c, to in many.items())), F.lit(_NEXT), F.lit(_IS))
     syllables = f"\\u{SYLLABLE:04x}-\\u{SYLLABLE + SYLLABLES - 1:04x}"
     several = _class(list(many))
@@ -71,4 +72,7 @@ def fold(text: Column) -> Column:
     def one(c: Column) -> Column:
         return F.when(c.rlike(f"[{syllables}]"), syllable(c)).when(c.rlike(f"[{several}]"), F.coalesce(F.try_element_at(lookup, c), c)).otherwise(c)
 
-    return F.when(plain.rlike(r"[^\x00-\x7F]") & plain.rlike(f"[{several}{syllables}]"), F.array_join(F.transform(F.split(plain, ""), one), "")).otherwise(plain)
+    def decomposed(plain: Column) -> Column:
+        return F.when(plain.rlike(r"[^\x00-\x7F]") & plain.rlike(f"[{several}{syllables}]"), F.array_join(F.transform(F.split(plain, ""), one), "")).otherwise(plain)
+
+    return let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), let(F.translate(t, source, target), decomposed)).otherwise(t))

@@ -36,23 +36,51 @@ def counts(chunks: DataFrame) -> DataFrame:
     return rows.select("law", "chunk_id", F.inline(runs))
 
 
-#: Parts by hash that the terms of a law are ranked in first.
-PARTS = 256
+#: Parts by hash that the terms of a law are ranked in first; cells that its pairs of words are counted in first.
+PARTS, CELLS = 256, 1 << 18
+
+
+def ranked(counted: DataFrame, k: int) -> DataFrame:
+    """Of counted (law, term, ctf, ...) the k most frequent terms of each law, ties by term. Terms are ranked within parts of their law
+    first, and only the first k of each part with those of the others: Spark itself limits no group of more than 1,000 rows."""
+    kept = counted.withColumn("_p", F.pmod(F.xxhash64("term"), F.lit(PARTS)))
+    for keys in (["law", "_p"], ["law"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ctf"), "term"))
+        kept = kept.withColumn("_k", rank).filter(F.col("_k") <= k)
+    return kept.drop("_p", "_k")
+
+
+def cell(term: Column) -> Column:
+    """Of a law and a term, as one number; two laws that share some only let through more."""
+    return F.shiftleft(F.xxhash64("law"), 18) + F.pmod(F.xxhash64(term), F.lit(CELLS))
+
+
+def likely(chunks: DataFrame, max_terms: int = MAX_TERMS) -> tuple[DataFrame, DataFrame]:
+    """(law, least) and (cell): what a term has to reach to be among the max_terms most frequent of its law, and the cells of all terms
+    that can. Words are counted one by one: the last of the first max_terms of them is reached by whatever comes before it. Pairs of
+    words, of which most occur once, are counted by cell, and none occurs more often than its cell. Laws of fewer words have no row."""
+    single = ~F.contains("term", F.lit(" "))
+    found = chunks.select("law", F.explode(terms(F.col("text"))).alias("term"))
+    keys = F.when(single, F.col("term")).alias("term"), F.when(~single, cell(F.col("term"))).alias("cell")
+    counted = shared_table(chunks.sparkSession, found.select("law", *keys).groupBy("law", "term", "cell").agg(F.count(F.lit(1)).alias("ctf")), "cells")
+    words = ranked(counted.filter("term IS NOT NULL").select("law", "term", "ctf"), max_terms)
+    least = words.groupBy("law").agg(F.count(F.lit(1)).alias("n"), F.min("ctf").alias("least")).filter((F.col("n") == max_terms) & (F.col("least") > 1))
+    least = shared_table(chunks.sparkSession, least.select("law", "least"), "least")
+    reached = counted.join(least, "law").filter("ctf >= least").select(F.coalesce("cell", cell(F.col("term"))).alias("cell"))
+    return least, shared_table(chunks.sparkSession, reached.distinct(), "likely")
 
 
 def fit(chunks: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
-    """(law, term, ctf, df, idf): the most frequent terms of each law; ties by term. Every occurrence and, beside it, every term of a
-    chunk once are counted in one aggregation, combined before its shuffle. Terms are ranked within parts of their law first, and only
-    the first max_terms of each part with those of the others: Spark itself limits no group of more than 1,000 rows."""
+    """(law, term, ctf, df, idf): the most frequent terms of each law; ties by term. Chunks are read twice: for the cells of the terms that
+    can be among them, then to count these. Every occurrence and, beside it, every term of a chunk once are counted in one aggregation,
+    combined before its shuffle."""
     n = chunks.groupBy("law").agg(F.count(F.lit(1)).alias("n"))
-    found = chunks.select("law", terms(F.col("text")).alias("t"))
-    both = found.select("law", F.posexplode(F.array("t", F.array_distinct("t"))).alias("once", "t")).select("law", "once", F.explode("t").alias("term"))
+    least, reached = likely(chunks, max_terms)
+    found = chunks.join(least, "law", "left").select("law", "least", terms(F.col("text")).alias("t"))
+    both = found.select("law", "least", F.posexplode(F.array("t", F.array_distinct("t"))).alias("once", "t")).select("law", "least", "once", F.explode("t").alias("term"))
+    both = both.withColumn("cell", cell(F.col("term"))).join(reached.withColumn("_in", F.lit(True)), "cell", "left").filter("_in OR least IS NULL")
     vocabulary = both.groupBy("law", "term").agg(F.count_if(F.col("once") == 0).alias("ctf"), F.count_if(F.col("once") == 1).alias("df"))
-    kept = vocabulary.withColumn("_p", F.pmod(F.xxhash64("term"), F.lit(PARTS)))
-    for keys in (["law", "_p"], ["law"]):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ctf"), "term"))
-        kept = kept.withColumn("_k", rank).filter(F.col("_k") <= max_terms)
-    return kept.join(n, "law").select("law", "term", "ctf", "df", (F.log((F.lit(1) + F.col("n")) / (F.lit(1) + F.col("df"))) + 1).alias("idf"))
+    return ranked(vocabulary, max_terms).join(n, "law").select("law", "term", "ctf", "df", (F.log((F.lit(1) + F.col("n")) / (F.lit(1) + F.col("df"))) + 1).alias("idf"))
 
 
 def fitted(chunks: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
@@ -105,14 +133,24 @@ def retrieve(chunks: DataFrame, queries: DataFrame, top_k: int = TOP_K, min_scor
     """(law, concept, chunk_id, score, rk) for all laws and queries (concept, query) at once. Only chunks that carry the concept's
     tag are candidates; ties go by chunk_id; candidates without a common term score 0.
 
-    Chunks are read twice: for the vocabulary, unless one is given, and for their vectors; `Postings` keeps these. Of the candidates
-    that score 0 only as many as could be wanted are made.
+    Chunks are read for the vocabulary, unless one is given, and for their vectors; `Postings` keeps these. With tags, those with one
+    that is asked for are found first, and only they get vectors. Of the candidates that score 0 only as many as could be wanted are made.
     """
     vocabulary = fitted(chunks, max_terms) if vocabulary is None else vocabulary
     q = shared_table(chunks.sparkSession, query_weights(queries, vocabulary), "asked")
     rows = chunks if "concept_tags" in chunks.columns else chunks.withColumn("concept_tags", F.lit(None).cast("array<string>"))
+    own = carriers(rows, queries) if tagged else rows
+    if tagged:
+        rows = rows.join(own, ["law", "chunk_id"], "left_semi")
     sums = vectors(rows, vocabulary).join(q, ["law", "term"]).groupBy("law", "concept", "chunk_id").agg(F.sum(F.col("q") * F.col("w")).alias("score"))
-    return best(tagged_only(sums, chunks) if tagged else sums, chunks, queries, top_k, min_score, tagged)
+    return best(tagged_only(sums, own) if tagged else sums, own, queries, top_k, min_score, tagged)
+
+
+def carriers(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(law, chunk_id, concept_tags) of the chunks with a tag that is a concept of queries, written once."""
+    every = queries.agg(F.collect_set("concept").alias("every"))  # one row
+    rows = chunks.select("law", "chunk_id", "concept_tags").crossJoin(F.broadcast(every)).filter(F.arrays_overlap("concept_tags", "every"))
+    return shared_table(chunks.sparkSession, rows.drop("every"), "carriers")
 
 
 def query_weights(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -180,3 +180,41 @@ def test_texts_stay_where_they_are_for_prompts(spark):
         assert found.filter("law = 'A0'").first()["prompt"] == "[Source: A0 | r | score=0.500]\nt0\n\n---\n\n[Source: A0 | r | score=0.500]\nt2"
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rare_pairs_are_not_counted_one_by_one(spark, monkeypatch):
+    """Frequent words in rare pairs: only what can be among the first is counted by term, and the first are right, ties at their end
+    and a law of few words too."""
+    from collections import Counter
+
+    rnd = random.Random(3)
+    rows = [("AA", f"{i:03d}", " ".join([*rnd.choices([f"f{k}" for k in range(12)], k=40), *(f"r{rnd.randrange(9000)}" for _ in range(60))]), []) for i in range(40)]
+    rows += [("BB", "1", "one two one two", []), (None, "2", "nowhere at all", []), ("AA", "none", None, [])]
+    chunks, seen, ranked = spark.createDataFrame(rows, CHUNKS), [], tfidf.ranked
+    monkeypatch.setattr(tfidf, "ranked", lambda df, k: seen.append(df) or ranked(df, k))
+    for most in (10, 30):
+        want = []
+        for law in ("AA", "BB"):
+            of = [(t, set(t)) for t in ([*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))] for r in rows if r[0] == law and r[2] for w in [r[2].split()])]
+            ctf, df = Counter(x for t, _ in of for x in t), Counter(x for _, t in of for x in t)
+            want += [(law, t, n, df[t]) for t, n in sorted(ctf.items(), key=lambda x: (-x[1], x[0]))[:most]]
+        seen.clear()
+        assert sorted((r["law"], r["term"], r["ctf"], r["df"]) for r in tfidf.fit(chunks, most).collect()) == sorted(want)
+        assert seen[-1].filter("law = 'AA'").count() < 300 < 2000 < len({x for r in rows[:40] for w in [r[2].split()] for x in zip(w, w[1:])})
+
+
+def test_only_chunks_with_a_tag_asked_for_get_vectors(spark, monkeypatch):
+    """Rows that share an id, of which one has the tag and the other the word, stay together."""
+    rows = [("AA", f"{i:03d}", "alpha beta", ["Other"]) for i in range(50)] + [("AA", "x", "beta", ["Right"]), ("AA", "x", "alpha alpha", []), ("AA", "y", "alpha", ["Right", "Other"]), ("AA", "z", None, None)]
+    chunks, seen, sparse = spark.createDataFrame(rows, CHUNKS), [], tfidf.sparse
+    monkeypatch.setattr(tfidf, "sparse", lambda c, v: seen.append(c) or sparse(c, v))
+    found = tfidf.retrieve(chunks, tfidf.queries_table(spark, {"Right": "alpha"}), 5).collect()
+    assert [(r["chunk_id"], r["rk"]) for r in sorted(found, key=lambda r: r["rk"])] == [("y", 1), ("x", 2)]
+    assert sorted(r["chunk_id"] for r in seen[0].collect()) == ["x", "x", "y"]
+
+
+def test_ascii_is_not_looked_up(spark):
+    """Each character is looked up once, and those of ASCII texts not at all."""
+    from lexloom.functions.fold import fold
+
+    assert str(fold(F.col("t"))).count("translate(") == 1
