@@ -41,12 +41,12 @@ def tables() -> tuple[str, str, dict[str, str]]:
     return "".join(one) + "".join(gone), "".join(one.values()), many
 
 
-def _class(chars: list[str], gap: int = 256) -> str:
-    """The inside of a regular expression's class that holds the characters, in few ranges, and with them what lies between near ones."""
+def _class(chars: list[str]) -> str:
+    """The inside of a regular expression's class that holds the characters and no others."""
     codes, out = sorted(map(ord, chars)), []
     start = last = codes[0]
     for c in [*codes[1:], 1 << 20]:
-        if c > last + gap:
+        if c > last + 1:
             out.append(f"\\u{start:04x}-\\u{last:04x}")
             start = c
         last = c
@@ -55,7 +55,7 @@ def _class(chars: list[str], gap: int = 256) -> str:
 
 def fold(text: Column) -> Column:
     """The text decomposed and without combining marks, as far as the basic plane goes. ASCII passes as it is, other texts of plain
-    letters at the cost of one look-up a character; only in those with a character that becomes several are these looked for one by one."""
+    letters at the cost of one look-up a character; in those with a character that becomes several, what is not ASCII goes one by one."""
     source, target, many = tables()
     lookup = F.str_to_map(F.lit(_NEXT.join(c + _IS + to for c, to in many.items())), F.lit(_NEXT), F.lit(_IS))
     syllables = f"\\u{SYLLABLE:04x}-\\u{SYLLABLE + SYLLABLES - 1:04x}"
@@ -70,9 +70,11 @@ def fold(text: Column) -> Column:
         return F.concat(letter(F.lit(FIRST) + F.floor(n / (SECONDS * THIRDS))), letter(F.lit(SECOND) + F.floor(n % (SECONDS * THIRDS) / THIRDS)), third)
 
     def one(c: Column) -> Column:
-        return F.when(c.rlike(f"[{syllables}]"), syllable(c)).when(c.rlike(f"[{several}]"), F.coalesce(F.try_element_at(lookup, c), c)).otherwise(c)
+        return F.when(F.ascii(c) < 0x80, c).when(c.rlike(f"[{syllables}]"), syllable(c)).when(c.rlike(f"[{several}]"), F.coalesce(F.try_element_at(lookup, c), c)).otherwise(c)
 
     def decomposed(plain: Column) -> Column:
-        return F.when(plain.rlike(r"[^\x00-\x7F]") & plain.rlike(f"[{several}{syllables}]"), F.array_join(F.transform(F.split(plain, ""), one), "")).otherwise(plain)
+        pieces = F.regexp_extract_all(plain, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]"), F.lit(0))
+        # the many ranges are looked through for what is not ASCII only
+        return F.when(plain.rlike(f"(?=[^\\x00-\\x7F])[{several}{syllables}]"), F.array_join(F.transform(pieces, one), "")).otherwise(plain)
 
     return let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), let(F.translate(t, source, target), decomposed)).otherwise(t))

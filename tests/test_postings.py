@@ -218,3 +218,17 @@ def test_ascii_is_not_looked_up(spark):
     from lexloom.functions.fold import fold
 
     assert str(fold(F.col("t"))).count("translate(") == 1
+
+
+def test_letters_that_stay_are_not_gone_through_one_by_one(spark):
+    """What is not decomposed is in no class that sends a text the slow way, and there ASCII goes in pieces."""
+    import re
+
+    from lexloom.functions import fold as f
+
+    many = f.tables()[2]
+    shown = f._class(list(many))
+    assert all(re.match(f"[{shown}]", c) for c in many) and not re.search(f"[{shown}]", "ß–“”„æœøł€")
+    text = "Straße – “naïve”\r\nœuvre ½ ﬁn… 한글 \U0001f600 é x"
+    want = "".join(f.folded(c) if ord(c) < 0x10000 else c for c in text)
+    assert spark.createDataFrame([(text,)], "t string").select(f.fold(F.col("t"))).first()[0] == want
